@@ -27,8 +27,8 @@ w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 2 THEN [array_to_string(a, ' ')]
       ELSE list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * both >= 80 * (x.k + y.k - both)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * n_both >= 80 * (x.k + y.k - n_both)),
 b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
 r(node, seen) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.seen),
 c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
