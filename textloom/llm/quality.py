@@ -140,22 +140,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> dict:
     return fit(labelled(docs, labels, "quality", most), (n["good"] or 0) / max(n["all"] or 0, 1))
 
 
+def verdicts(model: dict, texts: pa.Array, least_words: int = 10, most_repeat: int = 20, threshold: float = 0.3) -> dict[str, np.ndarray]:
+    """The counts, base_failed, p_good and kept of each text."""
+    out: dict[str, list] = {}
+    for _, _, buf, off in T.slices(texts):
+        c = counts(buf, off)
+        c["base_failed"] = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > most_repeat * c["n_words"])
+        c["p_good"] = sigmoid(model["a"] * logits(model["w"], model["bias"], buf, off) + model["b"])
+        c["kept"] = ~c["base_failed"] & (c["p_good"] >= threshold)
+        for k, v in c.items():
+            out.setdefault(k, []).append(v)
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
 def quality_rules(docs: DataFrame, model: dict, least_words: int = 10, most_repeat: int = 20, threshold: float = 0.3) -> DataFrame:
     """doc_id, the counts, base_failed, p_good (calibrated probability of quality), kept.
 
     base_failed: fewer than ``least_words`` words, or more than ``most_repeat`` hundredths of them repeated.
     kept: not base_failed, and p_good at least ``threshold``.
     """
-
-    def run(texts: pa.Array) -> dict:
-        out: dict[str, list] = {}
-        for _, _, buf, off in T.slices(texts):
-            c = counts(buf, off)
-            c["base_failed"] = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > most_repeat * c["n_words"])
-            c["p_good"] = sigmoid(model["a"] * logits(model["w"], model["bias"], buf, off) + model["b"])
-            c["kept"] = ~c["base_failed"] & (c["p_good"] >= threshold)
-            for k, v in c.items():
-                out.setdefault(k, []).append(v)
-        return {k: np.concatenate(v) for k, v in out.items()}
-
-    return scored(docs, run, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_good double", ["doc_id"])
+    return scored(docs, lambda texts: verdicts(model, texts, least_words, most_repeat, threshold), "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_good double", ["doc_id"])
