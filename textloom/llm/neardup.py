@@ -14,7 +14,7 @@ Whole results:
 * a star can miss a link between two members that are both unlike the hub.
   Buckets whose members still lie in different components get further stars
   around other hubs, until each pair of a bucket is either in one component or
-  was compared. A round takes 4, 16, 64, ... hubs of a bucket, one of each of its
+  was compared. A round takes 64, 256, 1024, ... hubs of a bucket, one of each of its
   components and the smallest components first. There is no cap on bucket sizes or rounds.
 
 With 64 bands of 8 values a pair at similarity 0.8 shares no bucket with a
@@ -41,6 +41,8 @@ from . import _text as T
 from ._io import stored
 
 U64 = T.U64
+#: Hubs of a bucket in the second round.
+FIRST_HUBS = 64
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -153,7 +155,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
-        nearer = stored(labels.join(near, "node").select("node", F.least("label", "m").alias("new"), F.col("label").alias("old")), "labels")
+        nearer = labels.join(near, "node").select("node", F.least("label", "m").alias("new"), F.col("label").alias("old"))
         up = nearer.select(F.col("node").alias("new"), F.col("new").alias("top"))
         after = stored(nearer.join(up, "new").select("node", F.least("new", "top").alias("label"), "old"), "labels")
         labels = after.select("node", "label")
@@ -186,10 +188,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
         full = right.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
         return confirmed(full, n, part, whole)
 
-    edges = [stored(check(pairs), "edges")]
-    labels = components(edges[0])
+    edges = stored(check(pairs), "edges")
+    labels = components(edges)
     # pairs in a bucket of two have been compared; larger buckets may need other hubs
-    pool, hubs = stored(met.where("m > 2 and rep <> hub").select("key", "rep", "n"), "pool"), 4
+    pool, hubs = met.where("m > 2 and rep <> hub").select("key", "rep", "n"), FIRST_HUBS
     while True:
         known = labels.select(F.col("node").alias("rep"), "label")
         at = stored(pool.join(known, "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "pool")
@@ -199,24 +201,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
         turn = by.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs)
         spread = by.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
         turn = stored(turn.join(spread, "key").where("rank < parts").select("key", F.col("x.rep").alias("hub"), F.col("x.n").alias("hub_n"), F.col("label").alias("own")), "hubs")
-        close = (whole * F.least("n", "hub_n") >= part * F.greatest("n", "hub_n")) & (F.col("label") != F.col("own"))
-        more = stored(at.join(turn, "key").where(close).select(F.least("hub", "rep").alias("u"), F.greatest("hub", "rep").alias("v")).distinct(), "pairs")
         if turn.isEmpty():
             break
-        if not more.isEmpty():
-            edges.append(stored(check(more), "edges"))
-            if not edges[-1].isEmpty():
-                merged = edges[0]
-                for e in edges[1:]:
-                    merged = merged.unionByName(e)
-                labels = components(merged)
+        close = (whole * F.least("n", "hub_n") >= part * F.greatest("n", "hub_n")) & (F.col("label") != F.col("own"))
+        more = at.join(turn, "key").where(close).select(F.least("hub", "rep").alias("u"), F.greatest("hub", "rep").alias("v")).distinct()
+        new = stored(check(more), "edges")
+        if not new.isEmpty():
+            edges = edges.unionByName(new)
+            labels = components(edges)
         # what is not in an open bucket is done, and so is each hub
-        pool = stored(at.join(spread, "key", "left_semi").join(turn.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n"), "pool")
+        open_keys = turn.select("key").distinct()
+        pool = at.join(open_keys, "key", "left_semi").join(turn.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
         hubs *= 4
-    links = edges[0]
-    for e in edges[1:]:
-        links = links.unionByName(e)
-    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("class_links"))
+    degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("class_links"))
     top = stored(reps.select("c1", "c2", "rep").join(labels.select(F.col("node").alias("rep"), F.col("label").alias("top")), "rep", "left").join(degree, "rep", "left").select("c1", "c2", F.coalesce("top", "rep").alias("top"), F.coalesce("class_links", F.lit(0)).alias("class_links")), "members")
     placed = feats.select("doc_id", "n_shingles", "c1", "c2").join(top, ["c1", "c2"], "left")
     group = F.coalesce("top", "doc_id")
