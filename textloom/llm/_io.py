@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Names of working columns start with this, so that none clashes with a column of the input.
 PREFIX = "__tl_"
 
@@ -71,6 +73,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, spread:
     return [(r["text"], int(r["y"])) for r in got.collect()]
 
 
+def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow, with this package on the executors' path."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def scored(df: DataFrame, fn, fields: str, keep: list[str] | None = None) -> DataFrame:
     """Adds what ``fn(texts) -> dict of arrays`` gives for column text, in Arrow batches; no shuffle."""
     kept = [c for c in (df.columns if keep is None else keep)]
@@ -86,4 +94,4 @@ def scored(df: DataFrame, fn, fields: str, keep: list[str] | None = None) -> Dat
                 cols = [*b.columns[:at], *(v if isinstance(v, pa.Array) else pa.array(v) for v in (made[n] for n in names))]
                 yield pa.RecordBatch.from_arrays(cols, [*kept, *names])
 
-    return src.mapInArrow(run, schema)
+    return mapped(src, run, schema)

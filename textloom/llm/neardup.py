@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._io import stored
+from ._io import mapped, stored
 
 U64 = T.U64
 #: Hubs of a bucket in the second round.
@@ -99,31 +99,53 @@ class Sketcher:
                 out[empty] = out[full[self.order[np.ix_(empty, full)].argmin(axis=1)]]
         return out
 
-    def bands(self, shingles: np.ndarray) -> np.ndarray:
-        rows = self.signature(shingles).reshape(-1, self.rows)
+    def bands(self, signature: np.ndarray) -> np.ndarray:
+        rows = signature.reshape(-1, self.rows)
         return T.mix((rows * self.factor).sum(axis=1, dtype=U64) ^ self.salt)
 
+    def bits(self, signature: np.ndarray) -> np.ndarray:
+        """One bit of each bin, as longs; two sets of similarity J agree in (1 + J) / 2 of them."""
+        return np.packbits((signature >> U64(9)).astype(np.uint8) & 1).view(np.int64)
+
 
 def features(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, c1 and c2 (128 bits that name the set), bands; the last three null for an empty set."""
+    """doc_id, n_shingles, c1 and c2 (128 bits that name the set), bands and bits; the last four null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketcher(bins, rows)
         for b in batches:
-            sizes, c1, c2, bands = [], [], [], []
+            sizes, c1, c2, bands, bits = [], [], [], [], []
             for s in shingle_sets(b.column(1), n):
                 sizes.append(len(s))
                 if len(s):
                     c1.append(int(T.signed(np.bitwise_xor.reduce(T.mix(s), keepdims=True))[0]))
                     c2.append(int(T.signed(T.mix(s ^ U64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=U64))[0]))
-                    bands.append(T.signed(sketch.bands(s)))
+                    sign = sketch.signature(s)
+                    bands.append(T.signed(sketch.bands(sign)))
+                    bits.append(sketch.bits(sign))
                 else:
                     c1.append(None)
                     c2.append(None)
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "c1", "c2", "bands"])
+                    bits.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "c1", "c2", "bands", "bits"])
+
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, bits array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>")
+def likely(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The docs whose id may be among ids, by a bit for each hash of an id.
+
+    The bits are at most 2^25 (4 MB) whatever the number of ids, which bounds what is
+    broadcast; the more ids, the less it filters. It spares the shuffle most of the texts
+    before the exact semi-join.
+    """
+    place = F.xxhash64("doc_id").bitwiseAND((1 << 25) - 1)
+    bit = place.bitwiseAND((1 << 15) - 1)
+    bits = ids.select(F.shiftright(place, 15).alias("block"), bit.alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at = docs.withColumn("block", F.shiftright(place, 15)).join(F.broadcast(bits), "block")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return at.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(7))), F.lit(2)) == 1).select(docs.columns)
 
 
 def confirmed(pairs: DataFrame, n: int, part: int, whole: int) -> DataFrame:
@@ -141,7 +163,7 @@ def confirmed(pairs: DataFrame, n: int, part: int, whole: int) -> DataFrame:
                 keep.append(both > 0 and whole * both >= part * (len(s) + len(last_set) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return pairs.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
+    return mapped(pairs.select("u", "v", "u_text", "v_text"), run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,7 +195,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
     part, whole = round(similarity * 100), 100
     feats = stored(features(docs, n, bins, rows), "features")
     some = feats.where("n_shingles > 0 and doc_id is not null")
-    reps = stored(some.groupBy("c1", "c2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
+    reps = stored(some.groupBy("c1", "c2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min_by("bits", "doc_id").alias("bits"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     # two classes with one id (an id given to two texts) are one node; their copies elsewhere join through it
     buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
     crowd = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("m")).where("hub < last")
@@ -181,11 +203,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
     pairs = stored(met.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     # a further star pairs only members of these buckets, so these texts are enough for all rounds
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = stored(likely(ids, named).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    signs = reps.select("rep", "n", "bits")
 
     def check(found: DataFrame) -> DataFrame:
-        right = found.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
-        full = right.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
+        """Pairs of large sets whose bits differ in more than a quarter are far below the similarity (by five
+        standard deviations or more) and need no texts; all others are confirmed on their whole sets."""
+        left = signs.select(F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("bits").alias("u_bits"))
+        right = signs.select(F.col("rep").alias("v"), F.col("n").alias("v_n"), F.col("bits").alias("v_bits"))
+        apart = F.aggregate(F.zip_with("u_bits", "v_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        near = (F.least("u_n", "v_n") < 100) | (F.lit(1 - similarity + 0.05) * bins >= apart)
+        some = found.join(left, "u").join(right, "v").where((whole * F.least("u_n", "v_n") >= part * F.greatest("u_n", "v_n")) & near).select("u", "v").distinct()
+        one = some.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
+        full = one.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
         return confirmed(full, n, part, whole)
 
     edges = stored(check(pairs), "edges")
@@ -199,8 +230,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
         # hubs are of the components with the fewest members there: what remains is soon of one component
         rank = Window.partitionBy("key").orderBy("m", "x")
         turn = by.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs)
-        spread = by.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
-        turn = stored(turn.join(spread, "key").where("rank < parts").select("key", F.col("x.rep").alias("hub"), F.col("x.n").alias("hub_n"), F.col("label").alias("own")), "hubs")
+        spread = by.groupBy("key").agg(F.count("*").alias("parts"), F.count_if(F.col("m") > 1).alias("large")).where("parts > 1")
+        turn = stored(turn.join(spread, "key").where("rank < parts").select("key", ((F.col("large") > 1) | (F.col("parts") > hubs + 1)).alias("again"), F.col("x.rep").alias("hub"), F.col("x.n").alias("hub_n"), F.col("label").alias("own")), "hubs")
         if turn.isEmpty():
             break
         close = (whole * F.least("n", "hub_n") >= part * F.greatest("n", "hub_n")) & (F.col("label") != F.col("own"))
@@ -209,8 +240,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
         if not new.isEmpty():
             edges = edges.unionByName(new)
             labels = components(edges)
-        # what is not in an open bucket is done, and so is each hub
-        open_keys = turn.select("key").distinct()
+        # hubs are done; so is a bucket in which what is no hub is of one component
+        open_keys = turn.where("again").select("key").distinct()
         pool = at.join(open_keys, "key", "left_semi").join(turn.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
         hubs *= 4
     degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("class_links"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._io import stored
+from ._io import mapped, stored
 
 _SCHEMA = "doc_id long, start long, ids binary, length long, doc_tokens long, sequence_id long, offset long, grp int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("grp", pa.int32())])
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, w
         out = list(_batches(_merged(rows, window, (1 << 62) + (rows[0][7] << 32))))
         return pa.Table.from_batches(out, _ARROW)
 
-    first = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA), "packed")
+    first = stored(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _SCHEMA), "packed")
     late = first.where("grp is not null").groupBy("grp").applyInArrow(finish, _SCHEMA)
     return first.where("grp is null").unionByName(late).drop("grp")
 
