@@ -154,6 +154,7 @@ def confirmed(pairs: DataFrame, n: int, part: int, whole: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
         for b in batches:
+            b = b.take(pa.array(np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable")))  # a hub's set is made once
             keep = []
             us = b.column(0).to_pylist()
             for i, s in enumerate(shingle_sets(b.column(3), n)):
