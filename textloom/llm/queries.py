@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, linecrf, maxent, neardup, packing, quality, toxicity
+from . import htmltext, langid, linecrf, maxent, neardup, packing, quality, subword, toxicity
 from ._io import table
 
 
@@ -54,6 +54,15 @@ def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_subword_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids_crc32 is of the sampled pieces; lossless says that they decode to the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model = tokenizer_path("piece_bpe_32k.model")
+    sampled = subword.sample_pieces(docs, model)
+    back = subword.decode_pieces(sampled.select("doc_id", "text", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "ids"), model)
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.equal_null("decoded", "text").alias("lossless"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
