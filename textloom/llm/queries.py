@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, linecrf, maxent, neardup, packing, quality, subword, toxicity
+from . import chroma, htmltext, langid, linecrf, maxent, neardup, packing, quality, subword, toxicity
 from ._io import table
 
 
+def op1_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio: each embedding is played as a tune of 64 notes and the tunes are fingerprinted and aligned."""
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.tune)
+    return chroma.aligned(prints).withColumnRenamed("id", "vec_id")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), n=2, similarity=0.8)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
