@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import workloads
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(workloads.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(workloads.ORACLES)
