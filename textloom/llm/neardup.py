@@ -23,9 +23,9 @@ frequent word pairs with low hashes filled buckets with hundreds of documents
 that are not alike.
 
 Nulls and ties: a null, empty or wordless text has an empty set and is linked
-with nothing. Repeated rows are copies. Two rows with one doc_id and different
-texts are linked through that id. A row without a doc_id takes part as a copy
-only. Other columns of the input are ignored.
+with nothing. Repeated rows are copies. Rows with one doc_id and different texts
+are placed each by its own text. A row without a doc_id takes part as a copy only.
+Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -197,7 +197,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
     feats = stored(features(docs, n, bins, rows), "features")
     some = feats.where("n_shingles > 0 and doc_id is not null")
     reps = stored(some.groupBy("c1", "c2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min_by("bits", "doc_id").alias("bits"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    # two classes with one id (an id given to two texts) are one node; their copies elsewhere join through it
     buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
     crowd = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("m")).where("hub < last")
     met = stored(buckets.join(crowd, "key").select("key", "rep", "n", "hub", "m"), "buckets")
