@@ -56,6 +56,11 @@ def plain_number(c: str | Column, p: Profile = GENERIC) -> Column:
     return F.when(digits == "", "").otherwise(F.regexp_replace(digits, "^0+(?=[0-9])", ""))
 
 
+def cues(words: tuple[str, ...], p: Profile) -> list[str]:
+    """Cue words as normalised text has them; spaces at their ends are kept, as they mark whole words."""
+    return [w.translate(str.maketrans(p.fold_from, p.fold_to, p.deleted)) for w in words]
+
+
 def contains_any(c: Column, words: tuple[str, ...] | list[str]) -> Column:
     return reduce(lambda a, w: a | c.contains(w), words, F.lit(False))
 
@@ -199,12 +204,12 @@ def is_overview(c: str | Column, p: Profile = GENERIC) -> Column:
 
 def is_exact_lookup(c: str | Column, p: Profile = GENERIC) -> Column:
     left = normalize(F.regexp_replace(F.regexp_replace(col(c), p.reference, " "), p.shorthand, " "), p)
-    return article_asked(c, p).isNotNull() & ~contains_any(left, p.analytical_cues)
+    return article_asked(c, p).isNotNull() & ~contains_any(left, cues(p.analytical_cues, p))
 
 
 def instrument_count(c: str | Column, p: Profile = GENERIC) -> Column:
     n = F.size(F.filter(instrument_phrases(c, p), lambda x: F.length(x) >= 6))
-    return F.when(contains_any(normalize(c, p), [fold(w, p) if w.strip() == w else w for w in p.comparative]), F.greatest(n, F.lit(2))).otherwise(n)
+    return F.when(contains_any(normalize(c, p), cues(p.comparative, p)), F.greatest(n, F.lit(2))).otherwise(n)
 
 
 def title_penalty(title_norm: Column, question_norm: Column, p: Profile = GENERIC) -> Column:

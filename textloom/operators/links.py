@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bounded_in, citations, contains_any, core_title, instrument_kind, normalize
+from ..functions.text import bounded_in, citations, contains_any, core_title, cues, instrument_kind, normalize
 from ..profile import GENERIC, Profile
 
 
@@ -74,7 +74,7 @@ def amendment_edges(rows: DataFrame, amending: Column, p: Profile = GENERIC, key
 
 def repeal_edges(rows: DataFrame, p: Profile = GENERIC, key: str = "law_book_id") -> DataFrame:
     """(base, amender): a record's notes say that it was repealed and cite exactly one other record."""
-    cued = rows.where(contains_any(F.col("notes"), [normal for normal in p.repeal_cues])).select(F.col(key).alias("base"), "num", "year", F.explode("cites").alias("c"))
+    cued = rows.where(contains_any(F.col("notes"), cues(p.repeal_cues, p))).select(F.col(key).alias("base"), "num", "year", F.explode("cites").alias("c"))
     other = rows.select(F.col(key).alias("amender"), F.col("num").alias("o_num"), F.col("year").alias("o_year"))
     met = cued.where(~((F.col("c.num") == F.col("num")) & (F.col("c.year") == F.col("year")))).join(other, (F.col("c.num") == F.col("o_num")) & (F.col("c.year") == F.col("o_year")) & (F.col("amender") != F.col("base")))
     n = F.count("*").over(Window.partitionBy("base"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import article_asked, contains_any, content_tokens, first_citation, instrument_count, is_exact_lookup, is_overview, normalize
+from ..functions.text import article_asked, contains_any, content_tokens, cues, first_citation, instrument_count, is_exact_lookup, is_overview, normalize
 from ..profile import GENERIC, Profile
 
 #: Fixed values: (leg, weight, quota at k = 6) and the most rows of one law, for each shape.
@@ -32,8 +32,8 @@ def features(questions: DataFrame, text: str = "question", p: Profile = GENERIC)
             "exact_lookup": is_exact_lookup(q, p),
             "citation": first_citation(q, p),
             "instruments": instrument_count(q, p),
-            "comparative": contains_any(norm, [c for c in p.comparative]),
-            "draft": contains_any(norm, p.draft_cues),
+            "comparative": contains_any(norm, cues(p.comparative, p)),
+            "draft": contains_any(norm, cues(p.draft_cues, p)),
             "overview": is_overview(q, p),
             "n_tokens": F.size(content_tokens(q, p)),
         }

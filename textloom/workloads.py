@@ -441,12 +441,12 @@ def link_boundary_containment(spark, d):
     return read(spark, d, "part").select("p_partkey", w.alias("core"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("h")).select("p_partkey", "core", T.bounded_in(F.col("core"), F.col("h"), SHORT).alias("inside"))
 
 
-@query("""WITH c AS (SELECT p_partkey AS amender, s_suppkey AS base, CASE WHEN s_suppkey % 3 = p_partkey % 3 THEN 1 ELSE 0 END AS kind, (s_suppkey * 13) % 5 AS cls FROM part JOIN supplier ON s_suppkey % 10 = p_partkey % 10),
+@query("""WITH c AS (SELECT p_partkey AS amender, s_suppkey AS base, CASE WHEN s_suppkey % 3 = p_partkey % 3 THEN 1 ELSE 0 END AS kind, ((s_suppkey // 10) * 13) % 5 AS cls FROM part JOIN supplier ON s_suppkey % 10 = p_partkey % 10),
  k AS (SELECT *, max(kind) OVER (PARTITION BY amender) AS any_kind FROM c), f AS (SELECT * FROM k WHERE kind = 1 OR any_kind = 0), n AS (SELECT *, count(*) OVER (PARTITION BY amender) AS n, max(cls) OVER (PARTITION BY amender) AS best FROM f),
  l AS (SELECT *, count(*) OVER (PARTITION BY amender) AS n2 FROM n WHERE n = 1 OR (cls = best AND cls > 0)) SELECT amender, base FROM l WHERE n2 = 1""")
 def link_ladder(spark, d):
     """Several candidates for each part: kind first, then class words in common, else refused."""
-    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("base"), F.lit("").alias("base_core"), F.concat(F.lit("k"), (F.col("s_suppkey") % 3).cast("string")).alias("base_kind"), F.array_join(F.slice(F.array(*[F.lit(f"word{i}") for i in range(5)]), 1, ((F.col("s_suppkey") * 13) % 5).cast("int")), " ").alias("base_class"))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("base"), F.lit("").alias("base_core"), F.concat(F.lit("k"), (F.col("s_suppkey") % 3).cast("string")).alias("base_kind"), F.array_join(F.slice(F.array(*[F.lit(f"word{i}") for i in range(5)]), 1, (F.floor(F.col("s_suppkey") / 10) * 13 % 5).cast("int")), " ").alias("base_class"))
     p = read(spark, d, "part").select(F.col("p_partkey").alias("amender"), F.concat(F.lit("k"), (F.col("p_partkey") % 3).cast("string")).alias("kind"), F.lit("word0 word1 word2 word3 word4").alias("class_blob"), F.lit("").alias("hay"))
     return links.decide(p.join(s, F.col("base") % 10 == F.col("amender") % 10), SHORT).select("amender", "base")
 
