@@ -31,7 +31,7 @@ from ._io import PREFIX, mapped
 U64 = T.U64
 _PRIME = U64(0x100000001B3)
 _BASIS = U64(0xCBF29CE484222325)
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 @lru_cache(4)
