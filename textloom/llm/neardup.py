@@ -14,8 +14,11 @@ Whole results:
 * a star can miss a link between two members that are both unlike the hub.
   Buckets whose members still lie in different components get further stars
   around other hubs, until each pair of a bucket is either in one component or
-  was compared. A round takes 64, 256, 1024, ... hubs of a bucket, one of each of its
-  components and the smallest components first. There is no cap on bucket sizes or rounds.
+  was compared. A round takes up to 64 hubs of a bucket, one of each of its components
+  and the smallest components first. There is no cap on bucket sizes or rounds.
+* the first hub of a bucket is the member that shares most bucket places with others:
+  of a large group of changed copies that is the text they come from, so that one star
+  joins the group and little is left for the rounds after it.
 
 With 64 bands of 8 values a pair at similarity 0.8 shares no bucket with a
 probability of (1 - 0.8^8)^64, about 8e-6. Bands of 4 values were tried and left:
@@ -41,8 +44,8 @@ from . import _text as T
 from ._io import mapped, stored
 
 U64 = T.U64
-#: Hubs of a bucket in the second round.
-FIRST_HUBS = 64
+#: Hubs of a bucket in a later round.
+HUBS = 64
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -133,19 +136,19 @@ def features(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, bits array<long>")
 
 
-def likely(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The docs whose id may be among ids, by a bit for each hash of an id.
+def likely(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of df whose ``on`` may be among keys, by a bit for each hash of a key.
 
-    The bits are at most 2^25 (4 MB) whatever the number of ids, which bounds what is
-    broadcast; the more ids, the less it filters. It spares the shuffle most of the texts
-    before the exact semi-join.
+    The bits are at most 2^25 (4 MB) whatever the number of keys, which bounds what is
+    broadcast; the more keys, the less it filters. It spares the shuffle most rows before
+    the exact join.
     """
-    place = F.xxhash64("doc_id").bitwiseAND((1 << 25) - 1)
+    place = F.xxhash64(on).bitwiseAND((1 << 25) - 1)
     bit = place.bitwiseAND((1 << 15) - 1)
-    bits = ids.select(F.shiftright(place, 15).alias("block"), bit.alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    at = docs.withColumn("block", F.shiftright(place, 15)).join(F.broadcast(bits), "block")
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return at.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(7))), F.lit(2)) == 1).select(docs.columns)
+    bits = keys.select(F.shiftright(place, 15).alias("_block"), bit.alias("_bit")).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = df.withColumn("_block", F.shiftright(place, 15)).join(F.broadcast(bits), "_block")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return at.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(7))), F.lit(2)) == 1).select(df.columns)
 
 
 def confirmed(pairs: DataFrame, n: int, part: int, whole: int) -> DataFrame:
@@ -198,13 +201,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
     some = feats.where("n_shingles > 0 and doc_id is not null")
     reps = stored(some.groupBy("c1", "c2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min_by("bits", "doc_id").alias("bits"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
-    crowd = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("m")).where("hub < last")
-    met = stored(buckets.join(crowd, "key").select("key", "rep", "n", "hub", "m"), "buckets")
-    pairs = stored(met.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
+    crowd = stored(buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "crowd")
+    met = stored(likely(buckets, crowd, "key").join(crowd, "key").select("key", "rep", "n", "m"), "buckets")
+    # the hub is the member that meets most others over all its buckets: of copies of one text, the text rather than a copy
+    central = stored(met.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("meets")), "central")
+    met = stored(met.join(central, "rep").select("key", "rep", "n", "m", F.struct((-F.col("meets")).alias("far"), "rep").alias("place")), "placed")
+    hub = met.groupBy("key").agg(F.min("place").alias("hub")).select("key", F.col("hub.rep").alias("hub"))
+    met = stored(met.join(hub, "key"), "stars")
+    pairs = stored(met.where("rep <> hub").select(F.least("hub", "rep").alias("u"), F.greatest("hub", "rep").alias("v")).distinct(), "pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     # a further star pairs only members of these buckets, so these texts are enough for all rounds
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = stored(likely(ids, named).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    texts = stored(likely(named, ids, "doc_id").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     signs = reps.select("rep", "n", "bits")
 
     def check(found: DataFrame) -> DataFrame:
@@ -222,16 +230,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
     edges = stored(check(pairs), "edges")
     labels = components(edges)
     # pairs in a bucket of two have been compared; larger buckets may need other hubs
-    pool, hubs = met.where("m > 2 and rep <> hub").select("key", "rep", "n"), FIRST_HUBS
+    pool = met.where("m > 2 and rep <> hub").select("key", "rep", "n", "place")
     while True:
         known = labels.select(F.col("node").alias("rep"), "label")
-        at = stored(pool.join(known, "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "pool")
-        by = at.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("x"))
-        # hubs are of the components with the fewest members there: what remains is soon of one component
+        at = stored(pool.join(known, "rep", "left").select("key", "rep", "n", "place", F.coalesce("label", "rep").alias("label")), "pool")
+        by = at.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct("place", "n")).alias("x"))
+        # one hub of each component but the largest there, the smallest components first
         rank = Window.partitionBy("key").orderBy("m", "x")
-        turn = by.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs)
+        turn = by.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= HUBS)
         spread = by.groupBy("key").agg(F.count("*").alias("parts"), F.count_if(F.col("m") > 1).alias("large")).where("parts > 1")
-        turn = stored(turn.join(spread, "key").where("rank < parts").select("key", ((F.col("large") > 1) | (F.col("parts") > hubs + 1)).alias("again"), F.col("x.rep").alias("hub"), F.col("x.n").alias("hub_n"), F.col("label").alias("own")), "hubs")
+        turn = stored(turn.join(spread, "key").where("rank < parts").select("key", ((F.col("large") > 1) | (F.col("parts") > HUBS + 1)).alias("again"), F.col("x.place.rep").alias("hub"), F.col("x.n").alias("hub_n"), F.col("label").alias("own")), "hubs")
         if turn.isEmpty():
             break
         close = (whole * F.least("n", "hub_n") >= part * F.greatest("n", "hub_n")) & (F.col("label") != F.col("own"))
@@ -242,8 +250,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
             labels = components(edges)
         # hubs are done; so is a bucket in which what is no hub is of one component
         open_keys = turn.where("again").select("key").distinct()
-        pool = at.join(open_keys, "key", "left_semi").join(turn.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
-        hubs *= 4
+        pool = at.join(open_keys, "key", "left_semi").join(turn.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "place")
     degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("class_links"))
     top = stored(reps.select("c1", "c2", "rep").join(labels.select(F.col("node").alias("rep"), F.col("label").alias("top")), "rep", "left").join(degree, "rep", "left").select("c1", "c2", F.coalesce("top", "rep").alias("top"), F.coalesce("class_links", F.lit(0)).alias("class_links")), "members")
     placed = feats.select("doc_id", "n_shingles", "c1", "c2").join(top, ["c1", "c2"], "left")
