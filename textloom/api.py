@@ -34,7 +34,7 @@ def retrieve(questions: DataFrame, store: DataFrame, law: str, k: int = 6, depth
     mixed = hybrid(text_hits, near, depth).select("qid", "chunk_id", "rank")
     legs = with_fallback(mixed, near.select("qid", "chunk_id", "rank")).select("qid", F.lit("hybrid").alias("leg"), (F.col("rank") - 1).alias("rank"), "chunk_id")
     cited = wants("article_exact").where("article_label is not null").select("qid", "article_label")
-    exact = rows.select("chunk_id", law, F.explode("article_arr").alias("article_label")).join(F.broadcast(cited), "article_label")
+    exact = rows.select("chunk_id", law, F.explode("article_arr").alias("article_label")).join(cited, "article_label")
     exact = exact.select("qid", "chunk_id").distinct().withColumn("rank", F.lit(0)).select("qid", F.lit("article_exact").alias("leg"), "rank", "chunk_id")
     hits = legs.unionByName(exact).join(rows.select("chunk_id", F.col(law).cast("bigint").alias("law_book_id"), "article_arr"), "chunk_id")
     hits = hits.withColumn("key", slot_key(F.col("law_book_id"), F.lit(None).cast("string"), F.col("article_arr"), F.col("chunk_id")))

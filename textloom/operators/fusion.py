@@ -28,9 +28,9 @@ def fuse(hits: DataFrame, plans: DataFrame, guaranteed: DataFrame | None = None)
     Admission depends on what was admitted before, so it is a fold over each question's few candidates.
     """
     legs = plans.select("qid", F.explode("legs").alias("l")).select("qid", F.col("l.name").alias("leg"), F.col("l.weight").alias("w"))
-    scored = hits.join(F.broadcast(legs), ["qid", "leg"])
+    scored = hits.join(legs, ["qid", "leg"])
     if guaranteed is not None:
-        scored = scored.join(F.broadcast(guaranteed.select("qid", "law_book_id", "slot")), ["qid", "law_book_id"], "left")
+        scored = scored.join(guaranteed.select("qid", "law_book_id", "slot"), ["qid", "law_book_id"], "left")
     else:
         scored = scored.withColumn("slot", F.lit(None).cast("int"))
     row = F.struct((-(F.col("w") / (RRF + F.col("rank") + 1))).cast("double").alias("neg"), "leg", F.col("rank").cast("int").alias("rank"), F.col("key"), F.coalesce("law_book_id", F.lit(0)).cast("bigint").alias("law"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("slot").cast("int").alias("slot"))

@@ -65,7 +65,7 @@ def seed_hits(questions: DataFrame, registry: DataFrame, seeds: DataFrame, p: Pr
     fired = q.join(F.broadcast(s), F.col("_q").contains(F.col("_a")))
     rule = fired.groupBy(qid, "_q", "rule_id", "_n").agg(F.max_by("_a", F.struct(F.length("_a"), "_a")).alias("_a"))
     r = registry.select(key, normalize("title", p).alias("_t"), F.coalesce(F.col("year").try_cast("int"), F.lit(0)).alias("_y"))
-    met = r.join(F.broadcast(rule), F.col("_t").contains(F.col("_n")))
+    met = r.join(rule, F.col("_t").contains(F.col("_n")))
     score = F.length("_a") + F.col("_y") / 200.0 + phrase_fit(F.col("_t"), F.col("_a")) - title_penalty(F.col("_t"), F.col("_q"), p)
     best = met.withColumn("_s", score).where("_s > 0").groupBy(qid, key).agg(F.round(F.max("_s"), 6).alias("score"))
     return top_k(best, qid, [F.desc("score"), F.desc(key)], limit)
@@ -76,7 +76,7 @@ def phrase_hits(questions: DataFrame, registry: DataFrame, p: Profile = GENERIC,
     q = questions.select(qid, normalize(text, p).alias("_q"), F.explode(instrument_phrases(text, p)).alias("_p"))
     r = registry.select(key, normalize("title", p).alias("_t"), F.coalesce(F.col("year").try_cast("int"), F.lit(0)).alias("_y"), F.filter(F.transform(F.slice("aliases", 1, 6), lambda a: normalize(a, p)), lambda a: F.length(a) >= 6).alias("_al"))
     hit = F.get(F.filter("_al", lambda a: F.col("_p").contains(a) | a.contains(F.col("_p"))), F.lit(0))
-    met = r.join(F.broadcast(q), F.col("_t").contains(F.col("_p")) | F.exists("_al", lambda a: F.col("_p").contains(a) | a.contains(F.col("_p"))))
+    met = r.join(q, F.col("_t").contains(F.col("_p")) | F.exists("_al", lambda a: F.col("_p").contains(a) | a.contains(F.col("_p"))))
     size = F.when(F.col("_t").contains(F.col("_p")), F.length("_p")).otherwise(F.least(F.length(hit), F.length("_p")))
     score = size + F.col("_y") / 200.0 + phrase_fit(F.col("_t"), F.col("_p")) - title_penalty(F.col("_t"), F.col("_q"), p)
     best = met.withColumn("_s", score).where("_s > 0").groupBy(qid, key).agg(F.round(F.max("_s"), 6).alias("score"))

@@ -79,7 +79,7 @@ def until_known_streak(catalog: DataFrame, known: DataFrame, key: str, pos: str,
     paged = streak.withColumn("_page", F.floor(F.col(pos) / page))
     ends = paged.groupBy(*by, "_page").agg(F.max_by("_streak", pos).alias("_end"))
     stop = ends.where(F.col("_end") >= least).groupBy(*by).agg(F.min("_page").alias("_stop"))
-    both = paged.join(F.broadcast(stop), by, "left") if by else paged.crossJoin(F.broadcast(stop.agg(F.min("_stop").alias("_stop"))))
+    both = paged.join(stop, by, "left") if by else paged.crossJoin(F.broadcast(stop.agg(F.min("_stop").alias("_stop"))))
     return both.where((F.col("_known") == 0) & (F.col("_stop").isNull() | (F.col("_page") <= F.col("_stop")))).drop("_known", "_isle", "_streak", "_page", "_stop")
 
 
