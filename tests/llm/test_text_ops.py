@@ -242,6 +242,7 @@ def test_subwords_are_lossless_and_reproducible(spark):
     a = {r.doc_id: bytes(r.ids) for r in subword.sample_pieces(df, path).collect()}
     b = {r.doc_id: bytes(r.ids) for r in subword.sample_pieces(df.repartition(5), path).collect()}
     assert a == b and a != {r.doc_id: bytes(r.ids) for r in subword.sample_pieces(df, path, seed=1, alpha=0.2).collect()}
+    assert all(r.lossless for r in subword.sample_pieces(df, path, verify=True).collect())
     back = {r.doc_id: r.decoded for r in subword.decode_pieces(subword.sample_pieces(df, path), path).collect()}
     assert [back[i] for i in range(len(ODD))] == [t or "" for t in ODD]
     assert subword.sample_pieces(frame(spark, []), path).count() == 0

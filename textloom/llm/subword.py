@@ -31,7 +31,7 @@ from ._io import PREFIX, mapped
 U64 = T.U64
 _PRIME = U64(0x100000001B3)
 _BASIS = U64(0xCBF29CE484222325)
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 
 
 @lru_cache(4)
@@ -177,9 +177,13 @@ class Pieces:
         return out[1:].tobytes()
 
 
-def sample_pieces(docs: DataFrame, model: str, key: str = "doc_id", column: str = "text", seed: int = 0, alpha: float = 1.0) -> DataFrame:
-    """The input's columns and ids: the sampled pieces as little-endian unsigned 32-bit numbers (binary)."""
-    rest = [c for c in docs.columns if c != "ids"]
+def sample_pieces(docs: DataFrame, model: str, key: str = "doc_id", column: str = "text", seed: int = 0, alpha: float = 1.0, verify: bool = False) -> DataFrame:
+    """The input's columns and ids: the sampled pieces as little-endian unsigned 32-bit numbers (binary).
+
+    ``verify`` adds lossless: whether the ids decode to the text, byte for byte (in the same pass, so that a task
+    has one Python worker).
+    """
+    rest = [c for c in docs.columns if c not in ("ids", *(["lossless"] if verify else []))]
     src = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias(PREFIX + "key"), F.col(column).alias(PREFIX + "text"))
     n = len(rest)
 
@@ -191,10 +195,13 @@ def sample_pieces(docs: DataFrame, model: str, key: str = "doc_id", column: str
                 ids, count = table.sample(buf, off, keys[lo:hi], seed)
                 data = ids.astype("<u4").tobytes()
                 at = 4 * np.r_[0, np.cumsum(count)]
-                made = pa.array([data[at[k] : at[k + 1]] for k in range(hi - lo)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:n]), made], [*rest, "ids"])
+                made = [pa.array([data[at[k] : at[k + 1]] for k in range(hi - lo)], pa.binary())]
+                if verify:
+                    cut = np.r_[0, np.cumsum(count)]
+                    made.append(pa.array([table.decode(ids[cut[k] : cut[k + 1]]) == buf[off[k] : off[k + 1]].tobytes() for k in range(hi - lo)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:n]), *made], [*rest, "ids", *(["lossless"] if verify else [])])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n]] + ["ids binary"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n]] + ["ids binary"] + (["lossless boolean"] if verify else []))
     return mapped(src, run, schema)
 
 
