@@ -25,7 +25,7 @@ def retrieve(questions: DataFrame, store: DataFrame, law: str, k: int = 6, depth
     Legs that no plan names are never computed: each leg's questions are those whose plan has it.
     """
     rows = store.where(in_force) if in_force is not None else store
-    plans = plan(features(questions, "question", p), k)
+    plans = plan(features(questions, "question", p), k).persist()  # a row a question; five places read it
     wants = lambda leg: plans.where(F.exists("legs", lambda x: x["name"] == leg))
     q = wants("hybrid").select("qid", "question", hashed_vector(F.col("question"), dim).alias("qvec"))
     index = postings(rows, "chunk_id", "chunk_text")

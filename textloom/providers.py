@@ -30,7 +30,9 @@ class Chat(Protocol):
 def hashed_vector(text: Column, dim: int = 64) -> Column:
     """A bag of hashed words as a vector: the offline stand-in for an embedding model, without Python."""
     slots = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("float"))
+    # bound by an outer lambda, so that the words are split and hashed once and not for each place
+    count = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(own, lambda s: s == k)).cast("float"))
+    return F.get(F.transform(F.array(slots), count), F.lit(0))
 
 
 def embedded(df: DataFrame, text: str, provider: Embedder, to: str = "vector", batch: int = 64, cap: int = 6000) -> DataFrame:

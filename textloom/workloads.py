@@ -617,6 +617,6 @@ def article_index_roles(spark, d):
 def ask_end_to_end(spark, d):
     """Flagship: in-force documents are chunked and indexed; each benchmark question is planned, retrieved over two legs and fused."""
     docs = inforce_filter(spark, d).select("doc_id").join(read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("title")), "doc_id")
-    store = api.build_store(docs, "doc_id", "text")
+    store = api.build_store(docs, "doc_id", "text").persist()  # each leg reads it
     questions = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"))
     return api.retrieve(questions, store, "doc_id")
