@@ -230,6 +230,31 @@ def test_language_model_counts(spark):
     assert maxent.lm_scores(frame(spark, [])).count() == 0
 
 
+def test_language_model_learns_from_all_rows(spark):
+    """More rows than any sample held: the gradient is that of each token of each row, over contexts of whole words."""
+    texts = ["kaggabcd x", "kuggabcd y", "a b"] * 3000
+    df = frame(spark, texts, extra=False)
+    of = np.arange(maxent.BUCKETS) % maxent.CLASSES
+    rows = maxent.context_counts(df, of).collect()
+    assert sum(r.n for r in rows) == 3 * len(texts)
+    rng = np.random.default_rng(2)
+    w, bias = rng.normal(size=(maxent.FEATURES, maxent.CLASSES)), rng.normal(size=maxent.CLASSES)
+    got = maxent.gradient(np.array([r.key for r in rows]), np.array([r.n for r in rows]), w, bias)
+    want = np.zeros_like(w)
+    for _, _, buf, off in T.slices(pa.array(texts)):
+        h, b, d = maxent.tokens(buf, off)
+        f = maxent.features(maxent.contexts(h, b, d))
+        err = np.exp(maxent.class_logs(w, bias, f))
+        err[np.arange(len(b)), of[b]] -= 1
+        for k in f:
+            np.add.at(want, k, err)
+    assert np.allclose(got[0], want) and got[2] == 3 * len(texts)
+    # words with one ending are different contexts
+    h, b, d = maxent.tokens(np.frombuffer(b"kaggabcd xkuggabcd x", np.uint8), np.array([0, 10, 20]))
+    f = maxent.features(maxent.contexts(h, b, d))
+    assert b[0] == b[3] and f[3, 1] == f[3, 4] and f[0, 1] != f[0, 4]
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     lp = maxent.class_logs(rng.normal(size=(maxent.FEATURES, maxent.CLASSES)), rng.normal(size=maxent.CLASSES), rng.integers(0, maxent.FEATURES, (3, 50)))

@@ -8,16 +8,17 @@ join, where no key is frequent.
 
 The model is a class-factored softmax: log P(word | context) = log P(class | context) +
 log P(word | class). A word's class depends on a bucket of its last bytes, and buckets are
-clustered by their neighbours on a sample. P(class | context) is a maximum-entropy model
-over hashed features of the context (the word before, the two before, and the one before
-that alone), trained by distributed gradient updates: tasks over the stored sample give
-gradients of a fixed size, the driver adds them and steps (Adagrad). P(word | class) is
-(c + 1) / (N_class + V_class + 1) from the counts of all training documents, so that words
-never seen have a share in each class.
-
-The sample holds at most ``most`` training documents (a documented bound); counts, class
-totals and scores cover all rows. A null text is empty: one end. Repeated rows are counted
-and scored each. Other columns are ignored.
+clustered by their neighbours. P(class | context) is a maximum-entropy model over hashed
+features of the context (the word before, the two before, and the one before that alone,
+each by word and by bucket), trained by distributed gradient updates: tasks give gradients of a fixed size, the
+driver adds them and steps (Adagrad). P(word | class) is (c + 1) / (N_class + V_class + 1)
+from the counts of all training documents, so that words never seen have a share in each
+class; it does not depend on the context.
+
+Clusters, gradients, counts and scores cover all rows: nothing is sampled. A gradient needs
+of the tokens only how often each class follows each context, so these counts are a stored
+table, made once, and each step reads that table instead of the texts. A null text is empty:
+one end. Repeated rows are counted and scored each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +36,15 @@ from ._io import fold, mapped, stored
 
 U64 = T.U64
 BUCKETS = 8192
-FEATURES = 8192
+SLOTS = 1 << 16
+FEATURES = 1 << 16
 CLASSES = 16
 END = U64(0x454E44)
 _COUNT_BYTES = 4 << 20
+#: Neighbours' buckets are folded to this number for the clusters.
+_WIDE = 256
+#: Rows of the contexts that are held at once.
+_ROWS = 1 << 17
 
 
 def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,21 +68,31 @@ def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return out_h, out_b, out_d
 
 
-def contexts(bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Three feature indices for each token; before a text's start stands the end token."""
+def contexts(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A number for each token that names the two words before it, by hash slot and bucket; before a text's start stands the end token."""
     first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
-    one = np.r_[BUCKETS - 1, bucket[:-1]]
-    one[first] = BUCKETS - 1
-    two = np.r_[BUCKETS - 1, one[:-1]]
-    two[first] = BUCKETS - 1
-    key = np.stack([one, one * BUCKETS + two + (1 << 40), two + (1 << 50)]).astype(U64)
-    return (T.mix(key) % U64(FEATURES)).astype(np.int64)
+    word = (T.mix(h) % U64(SLOTS)).astype(np.int64) * BUCKETS + bucket
+    end = int(T.mix(np.array([END]))[0] % U64(SLOTS)) * BUCKETS + BUCKETS - 1
+    one = np.r_[end, word[:-1]][: len(h)]
+    one[first] = end
+    two = np.r_[end, one[:-1]][: len(h)]
+    two[first] = end
+    return one * (SLOTS * BUCKETS) + two
+
+
+def features(context: np.ndarray) -> np.ndarray:
+    """Six feature indices for each context: the word before, the two before, the one before that, by slots and by buckets."""
+    one, two = context // (SLOTS * BUCKETS), context % (SLOTS * BUCKETS)
+    by = []
+    for k, (x, y) in enumerate(((one // BUCKETS, two // BUCKETS), (one % BUCKETS, two % BUCKETS))):
+        by += [x + (6 * k + 1 << 40), x * SLOTS + y + (6 * k + 2 << 40), y + (6 * k + 3 << 40)]
+    return (T.mix(np.stack(by)) % U64(FEATURES)).astype(np.int64)
 
 
 def class_logs(w: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Natural log P(class | context), a row for each token."""
-    z = w[features[0]] + w[features[1]] + w[features[2]] + bias
-    z -= z.max(axis=1, keepdims=True)
+    z = sum((w[f] for f in features), start=bias)
+    z = z - z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
@@ -93,19 +109,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("text"), run, "h long, bucket int, n long").groupBy("h").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
 
 
-def clusters(sample: list[str], rounds: int = 12) -> np.ndarray:
-    """The class of each bucket, by spherical k-means of the neighbours' buckets."""
-    wide = 256
-    around = np.zeros(BUCKETS * 2 * wide)
-    n = np.zeros(BUCKETS, np.int64)
-    for _, _, buf, off in T.slices(pa.array(sample, pa.string())):
-        _, b, d = tokens(buf, off)
-        n += np.bincount(b, minlength=BUCKETS)
-        ok = np.flatnonzero(d[1:] == d[:-1])
-        left, right = b[ok], b[ok + 1]
-        around += np.bincount(left * 2 * wide + right % wide, minlength=len(around))
-        around += np.bincount((right * 2 + 1) * wide + left % wide, minlength=len(around))
-    x = np.sqrt(around.reshape(BUCKETS, 2 * wide)).astype(np.float32)
+def neighbours(docs: DataFrame) -> DataFrame:
+    """at and n: how often a bucket (at // (2 * _WIDE)) has a right or left neighbour, over all tokens; at most BUCKETS * 2 * _WIDE rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, off in T.slices(batch.column(0), _COUNT_BYTES):
+                _, b, d = tokens(buf, off)
+                ok = np.flatnonzero(d[1:] == d[:-1])
+                left, right = b[ok], b[ok + 1]
+                u, n = np.unique(np.r_[left * 2 * _WIDE + right % _WIDE, (right * 2 + 1) * _WIDE + left % _WIDE], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(n)], ["at", "n"])
+
+    return mapped(docs.select("text"), run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+
+
+def clusters(around: np.ndarray, n: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """The class of each bucket, by spherical k-means of the neighbours' buckets (``around``: BUCKETS x 2 * _WIDE counts); n: tokens of each bucket."""
+    x = np.sqrt(around).astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     order = np.argsort(-n, kind="stable")
     some = order[: max(int((n > 0).sum()), 1)]
@@ -115,44 +136,72 @@ def clusters(sample: list[str], rounds: int = 12) -> np.ndarray:
         near = (x[some] @ c.T).argmax(1)
         c = np.stack([(x[some] * weight)[near == k].sum(0) if (near == k).any() else c[k] for k in range(CLASSES)])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    # a bucket that the sample lacks goes by its number
+    # a bucket that no training text has goes by its number
     return np.where(n > 0, (x @ c.T).argmax(1), np.arange(BUCKETS) % CLASSES)
 
 
-def gradient(texts: pa.Array, of: np.ndarray, w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
-    """Sums over the tokens of texts: gradients of features and bias, tokens, log likelihood."""
-    gw, gb, n, ll = np.zeros((FEATURES, CLASSES)), np.zeros(CLASSES), 0, 0.0
-    for _, _, buf, off in T.slices(texts):
-        _, b, d = tokens(buf, off)
-        f = contexts(b, d)
-        lp = class_logs(w, bias, f)
-        y = of[b]
-        at = np.arange(len(y))
-        ll += float(lp[at, y].sum())
-        err = np.exp(lp)
-        err[at, y] -= 1
-        n += len(y)
-        gb += err.sum(0)
-        for k in range(CLASSES):
-            gw[:, k] += np.bincount(f.ravel(), weights=np.tile(err[:, k], 3), minlength=FEATURES)
-    return gw, gb, n, ll
-
-
-def train(sample: DataFrame, of: np.ndarray, steps: int = 8, rate: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
-    """sample: a stored table of few partitions. Each step is one job that returns a gradient of fixed size from each task."""
+def context_counts(docs: DataFrame, of: np.ndarray) -> DataFrame:
+    """key and n: how often a class follows a context, over all tokens. key packs the context and the class; each slice of texts counts its own, as few contexts recur and gradients add up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, off in T.slices(batch.column(0), _COUNT_BYTES):
+                h, b, d = tokens(buf, off)
+                u, n = np.unique(contexts(h, b, d) * CLASSES + of[b], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["key", "n"])
+
+    return mapped(docs.select("text"), run, "key long, n long")
+
+
+def gradient(key: np.ndarray, times: np.ndarray, w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sums over counted contexts: gradients of features and bias, tokens."""
+    y, f = key % CLASSES, features(key // CLASSES)
+    err = np.exp(class_logs(w, bias, f))
+    err[np.arange(len(y)), y] -= 1
+    err = err * times[:, None].astype(float)
+    gw, at = np.empty((FEATURES, CLASSES)), f.ravel()
+    for k in range(CLASSES):
+        gw[:, k] = np.bincount(at, weights=np.tile(err[:, k], len(f)), minlength=FEATURES)
+    return gw, err.sum(0), int(times.sum())
+
+
+def train(counted: DataFrame, steps: int = 8, rate: float = 0.6, groups: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """counted: the stored context counts of all training rows. In each step a task gives a gradient of fixed size; ``groups`` tasks add those up, so that the driver gets that many."""
     w, bias = np.zeros((FEATURES, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
     hw, hb = np.full(w.shape, 1e-8), np.full(CLASSES, 1e-8)
     for _ in range(steps):
 
         def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, bias: np.ndarray = bias) -> Iterator[pa.RecordBatch]:
-            total = None
-            for b in batches:
-                got = gradient(b.column(0), of, w, bias)
+            total: tuple | None = None
+            held: list[pa.RecordBatch] = []
+
+            def add() -> None:
+                nonlocal total
+                t = pa.Table.from_batches(held)
+                got = gradient(t.column(0).to_numpy(), t.column(1).to_numpy(), w, bias)
                 total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total[0].astype("<f4").tobytes()]), pa.array([total[1].astype("<f4").tobytes()]), pa.array([total[2]], pa.int64())], ["w", "b", "n"])
+                held.clear()
 
-        rows = mapped(sample.select("text"), run, "w binary, b binary, n long").collect()
+            for b in batches:
+                if b.num_rows:
+                    held.append(b)
+                if sum(x.num_rows for x in held) >= _ROWS:
+                    add()
+            if held:
+                add()
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([total[0].astype("<f4").tobytes()]), pa.array([total[1].astype("<f4").tobytes()]), pa.array([total[2]], pa.int64())], ["g", "w", "b", "n"])
+
+        def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gw, gb, n = 0.0, 0.0, 0
+            for p in parts:
+                for x, y, k in zip(p.column(1), p.column(2), p.column(3), strict=True):
+                    gw, gb, n = gw + np.frombuffer(x.as_py(), "<f4").astype(float), gb + np.frombuffer(y.as_py(), "<f4").astype(float), n + k.as_py()
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([gw.astype("<f4").tobytes()]), pa.array([gb.astype("<f4").tobytes()]), pa.array([n], pa.int64())], ["w", "b", "n"])
+
+        shape = "w binary, b binary, n long"
+        rows = mapped(mapped(counted.select("key", "n"), run, "g int, " + shape).repartition(groups, "g"), added, shape).collect()
         n = sum(r["n"] for r in rows)
         if not n:
             break
@@ -181,21 +230,22 @@ def top_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def lm_scores(docs: DataFrame, most: int = 4000, most_top: int = 262_144, sample_parts: int = 6) -> DataFrame:
+def lm_scores(docs: DataFrame, most_top: int = 262_144) -> DataFrame:
     """doc_id, held_out (fold of 7 is 2), n_tokens, n_known, train_tokens, base_score and score (log10)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     learn = docs.where(fold("doc_id", 7) != 2)
     counts = stored(word_counts(learn), "counts")
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == int(END), F.col("n"))).alias("docs")).first()
+    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, n_types = int(total["n"] or 0), int(total["v"])
-    share = min(1.0, most / max(total["docs"] or 1, 1))
-    chosen = learn.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 11) / F.lit(float(1 << 53)) < share).select("text").limit(2 * most)
-    sample = stored(chosen.repartition(sample_parts), "sample")
-    of = clusters([r["text"] for r in sample.limit(2 * most).collect()])
-    w, bias = train(sample, of)
-    size = np.full(CLASSES, 1.0)
-    for r in counts.groupBy("bucket").agg(F.sum(F.col("n") + 1).alias("z")).collect():
-        size[of[r["bucket"]]] += r["z"]
+    in_bucket, size_of = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    for r in counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("z")).collect():
+        in_bucket[r["bucket"]], size_of[r["bucket"]] = r["n"], r["z"]
+    near = neighbours(learn).toArrow()
+    around = np.zeros(BUCKETS * 2 * _WIDE)
+    around[near["at"].to_numpy()] = near["n"].to_numpy()
+    of = clusters(around.reshape(BUCKETS, 2 * _WIDE), in_bucket)
+    w, bias = train(stored(context_counts(learn, of), "contexts"))
+    size = 1.0 + np.bincount(of, weights=size_of, minlength=CLASSES)
     log_size = np.log10(size)
     top_h, top_n = top_words(counts, most_top)
     top_log = np.log10(top_n + 1.0)
@@ -212,7 +262,7 @@ def lm_scores(docs: DataFrame, most: int = 4000, most_top: int = 262_144, sample
                 for at in range(0, len(h), 1 << 16):  # bounds the rows of class scores held at once
                     to = min(at + (1 << 16), len(h))
                     back = max(at - 2, 0)
-                    f = contexts(b[back:to], d[back:to])[:, at - back :]
+                    f = features(contexts(h[back:to], b[back:to], d[back:to])[at - back :])
                     model[at:to] = class_logs(w, bias, f)[np.arange(to - at), y[at:to]]
                 place, ok = T.lookup(top_h, T.signed(h))
                 value = np.where(ok, top_log[place] if len(top_log) else 0.0, 0.0)
