@@ -31,9 +31,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the least doc_id."""
-    kept = neardup.near_duplicates(docs, n=5, similarity=0.8).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keeps one document of each group: the one with the least doc_id. Rows are told apart by id and text; one without an id stays unless it is a copy."""
+    key, text = PREFIX + "id", PREFIX + "text_hash"
+    kept = neardup.near_duplicates(docs, n=5, similarity=0.8).where("kept").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (neardup.text_hash() == F.col(text))
+    return docs.join(kept, same, "left_semi").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

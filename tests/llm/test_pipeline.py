@@ -17,3 +17,11 @@ def test_stages_take_effect(spark, data):
     assert three.columns == docs.columns and {r.doc_id for r in three.collect()} == kept
     pieces = P.run(spark, data).collect()
     assert {r.doc_id for r in pieces} == kept and [n for n, _ in P.STAGES] == ["quality_rules", "toxicity", "near_dedup", "packing"]
+
+
+def test_near_duplicate_stage_keeps_rows_without_id_and_of_reused_ids(spark):
+    a = [f"w{i}" for i in range(60)]
+    q = " ".join(f"q{i}" for i in range(60))
+    rows = [(1, " ".join(a)), (3, " ".join(a[:-1])), (3, q), (None, "a text of its own that has no id at all"), (None, " ".join(a)), (4, None)]
+    got = P.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], rows[2], rows[3], rows[5]]))

@@ -92,6 +92,14 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id is None, r.doc_id, r.component_id) for r in neardup.near_duplicates(df, n=2).collect() if r.doc_id is not None) == [(False, 0, 0), (False, 1, 0), (False, 1, 1), (False, 1, 1)]
 
 
+def test_one_id_for_two_texts(spark):
+    """A unique text is not joined to the near copies of another text that has its id."""
+    a = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (3, " ".join(a[:-1])), (3, " ".join(f"q{i}" for i in range(60)))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), n=2).collect()
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got) == [(58, 1, False), (59, 1, True), (59, 3, True)]
+
+
 def test_a_star_alone_would_miss_a_link(spark):
     """Members of one bucket that are unlike its hub are compared with each other."""
     a = [f"w{i}" for i in range(100)]

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -111,8 +111,13 @@ class Sketcher:
         return np.packbits((signature >> U64(9)).astype(np.uint8) & 1).view(np.int64)
 
 
+def text_hash() -> Column:
+    """With doc_id, the key of a document's rows: one id may stand for several texts, and a row may have none."""
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
+
+
 def features(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, c1 and c2 (128 bits that name the set), bands and bits; the last four null for an empty set."""
+    """doc_id, text_hash, n_shingles, c1 and c2 (128 bits that name the set), bands and bits; the last four null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketcher(bins, rows)
@@ -131,9 +136,9 @@ def features(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
                     c2.append(None)
                     bands.append(None)
                     bits.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "c1", "c2", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "c1", "c2", "bands", "bits"])
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, bits array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash()), run, "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, bands array<long>, bits array<long>")
 
 
 def likely(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -190,7 +195,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins: int = 512, rows: int = 8) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, class_links.
+    """One row per document: doc_id, text_hash, n_shingles, component_id, kept, class_links.
 
     component_id is the least doc_id reachable over links (sets of n-word shingles with
     a Jaccard similarity of at least ``similarity``, taken in hundredths); kept marks the row with that id.
@@ -199,7 +204,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
     part, whole = round(similarity * 100), 100
     feats = stored(features(docs, n, bins, rows), "features")
     some = feats.where("n_shingles > 0 and doc_id is not null")
-    reps = stored(some.groupBy("c1", "c2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min_by("bits", "doc_id").alias("bits"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
+    # rep is a number of the class by itself: a doc_id may stand for several texts
+    reps = stored(some.groupBy("c1", "c2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min_by("bits", "doc_id").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("x"), F.max("n_shingles").alias("n")).select("c1", "c2", "bands", "bits", "n", "x.doc_id", "x.text_hash", F.monotonically_increasing_id().alias("rep")), "classes")
     buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
     crowd = stored(buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "crowd")
     met = stored(likely(buckets, crowd, "key").join(crowd, "key").select("key", "rep", "n", "m"), "buckets")
@@ -209,10 +215,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
     hub = met.groupBy("key").agg(F.min("place").alias("hub")).select("key", F.col("hub.rep").alias("hub"))
     met = stored(met.join(hub, "key"), "stars")
     pairs = stored(met.where("rep <> hub").select(F.least("hub", "rep").alias("u"), F.greatest("hub", "rep").alias("v")).distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    ids = pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep")
     # a further star pairs only members of these buckets, so these texts are enough for all rounds
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = stored(likely(named, ids, "doc_id").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), "text")
+    texts = stored(likely(named, ids, "doc_id").join(ids, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
     signs = reps.select("rep", "n", "bits")
 
     def check(found: DataFrame) -> DataFrame:
@@ -223,8 +229,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
         apart = F.aggregate(F.zip_with("u_bits", "v_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         near = (F.least("u_n", "v_n") < 100) | (F.lit(1 - similarity + 0.05) * bins >= apart)
         some = found.join(left, "u").join(right, "v").where((whole * F.least("u_n", "v_n") >= part * F.greatest("u_n", "v_n")) & near).select("u", "v").distinct()
-        one = some.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v")
-        full = one.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
+        one = some.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("v_text")), "v")
+        full = one.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u")
         return confirmed(full, n, part, whole)
 
     edges = stored(check(pairs), "edges")
@@ -252,7 +258,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
         open_keys = turn.where("again").select("key").distinct()
         pool = at.join(open_keys, "key", "left_semi").join(turn.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "place")
     degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("class_links"))
-    top = stored(reps.select("c1", "c2", "rep").join(labels.select(F.col("node").alias("rep"), F.col("label").alias("top")), "rep", "left").join(degree, "rep", "left").select("c1", "c2", F.coalesce("top", "rep").alias("top"), F.coalesce("class_links", F.lit(0)).alias("class_links")), "members")
-    placed = feats.select("doc_id", "n_shingles", "c1", "c2").join(top, ["c1", "c2"], "left")
+    named = labels.join(reps.select(F.col("rep").alias("node"), "doc_id"), "node")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("top"))
+    tops = labels.join(least, "label").select(F.col("node").alias("rep"), "top")
+    top = stored(reps.select("c1", "c2", "rep", F.col("doc_id").alias("own")).join(tops, "rep", "left").join(degree, "rep", "left").select("c1", "c2", F.coalesce("top", "own").alias("top"), F.coalesce("class_links", F.lit(0)).alias("class_links")), "members")
+    placed = feats.select("doc_id", "text_hash", "n_shingles", "c1", "c2").join(top, ["c1", "c2"], "left")
     group = F.coalesce("top", "doc_id")
-    return placed.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.col("doc_id").isNull() & group.isNull()).alias("kept"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"))
+    return placed.select("doc_id", "text_hash", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.col("doc_id").isNull() & group.isNull()).alias("kept"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"))
