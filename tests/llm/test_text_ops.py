@@ -224,6 +224,20 @@ def test_packing_is_whole(spark):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+def test_added_tokens_are_found_as_the_tokenizer_does():
+    path = tokenizer("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y <|endoftext|><|endoftext|>", "a <|ENDOFTEXT|> É<|EndOfText|> X<|startoftext|>Y", "<|endoftext|", "|> <|endoftext|>é", "<|ENDOFTEXT|> <|endoftext|>"]
+    enc = packing.WordEncoder(path)
+    for _ in range(2):  # unknown words, then known ones
+        _, _, buf, off = next(T.slices(pa.array(texts)))
+        data, at = enc.encode(buf, off, 2)
+        ids = np.frombuffer(data, "<u4")
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+
+
 def test_language_model_counts(spark):
     texts = ODD + ["the cat sat", "The cat ran", "a dog sat"] * 5
     rows = {r.doc_id: r for r in maxent.lm_scores(frame(spark, texts), most_top=4).collect()}

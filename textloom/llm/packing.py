@@ -58,8 +58,8 @@ class WordEncoder:
     """Token ids of whole texts, word by word.
 
     A word of ASCII and Latin-1 letters, digits and signs is split and merged here, many
-    words at a time, by the tokenizer's own vocabulary and merges; any other word goes
-    through the tokenizer itself. Words are known by a 64-bit hash; the ids of the first
+    words at a time, by the tokenizer's own vocabulary and merges; any other word, and one
+    with an added token's content, goes through the tokenizer itself. Words are known by a 64-bit hash; the ids of the first
     ``kept`` words stay for later texts.
     """
 
@@ -72,7 +72,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        #: Added tokens are found in the text before it is split; a word that holds one in any case goes through the tokenizer as it was written.
+        self.added = [t["content"].encode().lower() for t in whole.get("added_tokens") or []]
         vocab, pairs = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         # the byte-level alphabet: printable Latin-1 stands for itself, the rest from U+0100 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -130,7 +133,19 @@ class WordEncoder:
         order = np.argsort(o, kind="stable")
         return s[order], o[order]
 
-    def words(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def special(self, buf: np.ndarray, w: T.Spans) -> np.ndarray:
+        """Which words of the lower-cased text hold an added token's content."""
+        out, data = np.zeros(len(w.start), bool), buf.tobytes()
+        for content in self.added:
+            at = data.find(content)
+            while at >= 0:
+                k = int(np.searchsorted(w.start, at, "right")) - 1
+                if k >= 0 and at + len(content) <= w.end[k]:
+                    out[k] = True
+                at = data.find(content, at + 1)
+        return out
+
+    def words(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, raw: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and ids of words that are not known."""
         n = end - start
         word = np.repeat(np.arange(len(n)), n)
@@ -144,6 +159,7 @@ class WordEncoder:
         kind[lead] = 1
         odd = np.zeros(len(n), bool)
         odd[word[~good]] = True
+        odd |= special
         use = ~odd[word]
         b, word, kind, follow = b[use].copy(), word[use], kind[use], follow[use]
         up = follow & (b >= 0x80) & (b <= 0x9E)
@@ -158,7 +174,7 @@ class WordEncoder:
             sym, of = np.zeros(0, np.int32), np.zeros(0, np.int64)
         strange = np.flatnonzero(odd)
         if len(strange):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([buf[start[k] : end[k]].tobytes().decode() for k in strange], add_special_tokens=False)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([(raw if special[k] else buf)[start[k] : end[k]].tobytes().decode() for k in strange], add_special_tokens=False)]
             sym = np.concatenate([sym, *(np.array(g, np.int32) for g in got)])
             of = np.concatenate([of, np.repeat(strange, [len(g) for g in got])])
             order = np.argsort(of, kind="stable")
@@ -171,10 +187,13 @@ class WordEncoder:
         docs = len(off) - 1
         w = T.spans(buf, off, T.SPACE)
         h = T.hashes(buf, w.start, w.end)
+        special = self.special(buf, w)
+        if special.any():  # known by their own case
+            h[special] = T.mix(T.hashes(raw, w.start[special], w.end[special]) ^ U64(0x5851F42D4C957F2D))
         uniq, first, inv = np.unique(h, return_index=True, return_inverse=True)
         at, ok = T.lookup(self.known, uniq)
         new = np.flatnonzero(~ok)
-        count, ids = self.words(buf, w.start[first[new]], w.end[first[new]])
+        count, ids = self.words(buf, w.start[first[new]], w.end[first[new]], raw, special[first[new]])
         begin = np.zeros(len(uniq), np.int64)
         size = np.zeros(len(uniq), np.int64)
         begin[ok], size[ok] = self.first[at[ok]], self.first[at[ok] + 1] - self.first[at[ok]]
