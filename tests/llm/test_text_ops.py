@@ -372,3 +372,19 @@ def test_fingerprints_align_and_edges(spark):
     assert (got[2].best_query, got[2].best_offset) == (0, -10) and (got[1].best_query, got[1].best_offset) == (2, 10)
     assert got[3].n_fp == 0 and got[4].best_query is None
     assert chroma.aligned(chroma.fingerprints(spark.createDataFrame([], "id bigint, a array<double>"), "id", "a")).count() == 0
+
+
+def test_aligned_equals_align_on_noisy_pairs(spark):
+    rng = np.random.default_rng(5)
+    songs, want = [], {}
+    for k, rate in enumerate((0.05, 0.15, 0.2, 0.24)):
+        a = rng.integers(0, 2**32, 48).astype(np.uint32)
+        flips = (rng.random((48, 32)) < rate * 48 / 43) @ (1 << np.arange(32, dtype=np.uint64))
+        flips[:5] = 0  # so that the pair is met
+        b = a ^ flips.astype(np.uint32)
+        songs += [(100 * k, a.view(np.int32).tolist()), (100 * k + 1, b.view(np.int32).tolist())]
+        want[100 * k + 1] = (-0, chroma.align(b, a)[1])
+    got = {r.id: r for r in chroma.aligned(spark.createDataFrame(songs, "id bigint, fp array<int>")).collect()}
+    for i, (off, err) in want.items():
+        assert got[i].n_links == (err <= 0.25) and (err > 0.25 or (got[i].best_query, got[i].best_offset) == (i - 1, off) and abs(got[i].best_error - err) < 1e-6)
+    assert sum(e <= 0.25 for _, e in want.values()) >= 3

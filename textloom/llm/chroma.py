@@ -189,7 +189,8 @@ def aligned(prints: DataFrame, every: int = 100, most_error: float = 0.25, least
     over = F.least(F.size(a), F.size(b) + off) - F.greatest(off, F.lit(0))
     left = F.slice(a, F.greatest(off, F.lit(0)) + 1, F.greatest(over, F.lit(0)))
     right = F.slice(b, F.greatest(-off, F.lit(0)) + 1, F.greatest(over, F.lit(0)))
-    wrong = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # bit_count widens a negative int to 64 bits
+    wrong = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("bigint").bitwiseAND(0xFFFFFFFF))), F.lit(0), lambda t, x: t + x)
     error = F.round(F.when(over > 0, wrong / (32 * over)).otherwise(1.0), 6)
     links = full.select("rep", "q", "off", error.alias("error")).where(F.col("error") <= most_error)
     ranked = links.groupBy("rep").agg(F.count("*").alias("n_links"), F.min(F.struct("error", "q", "off")).alias("x"))
