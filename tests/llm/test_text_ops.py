@@ -338,6 +338,21 @@ with several words, and more to read.</p><script>var t = "<p>no</p>";</script><!
 </article><aside>Related stuff to click on.</aside><div class="comments"><p>Great post, I liked it a lot!</p></div><form><p>Subscribe please</p></form><footer>&copy; me</footer>"""
 
 
+def test_hidden_is_an_attribute_of_its_own():
+    seen = ['data-hidden="false"', 'data-overflow="hidden"', 'title="Hidden gems of the coast"', 'data-page-style="display: none"', "title='a hidden b' x", 'alt="style=display:none"', "data-x=hidden", 'aria-hidden="false"', 'class="hidden-x"']
+    gone = ["hidden", "HIDDEN", 'hidden=""', "x hidden", 'style="color: red; display: none"', "style='visibility:hidden'", "aria-hidden=true", 'title="a" hidden']
+    for attrs in seen:
+        assert [v.hidden for v in htmltext.parse(f"<div {attrs}>text</div>") if v.tag == "div"] == [False], attrs
+    for attrs in gone:
+        assert [v.hidden for v in htmltext.parse(f"<div {attrs}>text</div>") if v.tag == "div"] == [True], attrs
+    assert htmltext.Node("div", None, ' class="nav x" id=main').cues == htmltext.Node("div", None, " ID='main' data-class=ad CLASS=nav").cues != ()
+
+
+def test_sentence_marks_of_a_whole_block_count():
+    rows = [htmltext.node_features(htmltext.parse(f"<p>{'word ' * 100}{end}</p>"))[0][-1] for end in ("then", "one. Two. Three. Four.")]
+    assert sum(v for _, v in rows[1]) > sum(v for _, v in rows[0]) + 0.5
+
+
 def test_main_text(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p"), (1, "u", PAGE), (5, "u", "<div>" * 3000 + "deep")], "page_id bigint, url string, html string")
     rows = htmltext.main_text(df).collect()

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from ._io import scored
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute: its whole name, and its value if it has one.
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+)?)?""")
 _WORDS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their inside is not markup.
@@ -69,7 +70,7 @@ class Node:
         self.link = 0
         self.hidden = parent.hidden if parent else False
         self.cues: tuple[int, ...] = ()
-        if attrs and "=" in attrs or attrs.strip() == "hidden":
+        if attrs:
             words: set[str] = set()
             for k, v in _ATTR.findall(attrs):
                 k, v = k.lower(), v.strip("\"'").lower()
@@ -191,7 +192,7 @@ def node_features(nodes: list[Node]) -> tuple[list[list[tuple[int, float]]], lis
             row.append((f + 11, 1.0))
         if size := len(t):
             words = t.count(" ") + 1
-            row += [(f, 1.0), (f + 1, min(log1p(size) / 6, 1.5)), (f + 5, min(v.link / size, 1.0)), (f + 6, min(len(_SENTENCE.findall(t, 0, 400)) / 3, 1.0))]
+            row += [(f, 1.0), (f + 1, min(log1p(size) / 6, 1.5)), (f + 5, min(v.link / size, 1.0)), (f + 6, min(len(_SENTENCE.findall(t)) / 3, 1.0))]
             if words >= 10:
                 row.append((f + 2, 1.0))
             if words >= 30:
