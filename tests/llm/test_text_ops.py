@@ -316,6 +316,27 @@ def test_subword_samples_follow_the_lattice():
     assert set(got) <= set(want) and all(abs(got[k] / n - w / z) < 0.015 for k, w in want.items())
 
 
+def test_subword_samples_of_runs_of_spaces_follow_the_lattice():
+    import itertools
+
+    table = subword.Pieces(tokenizer("piece_bpe_32k.model"), 0.3)
+    assert not any(b" " in t.strip(b" ") or t != b" " * len(t) and t.endswith(b" ") for t in table.text)
+    piece = {t: i for i, t in reversed(list(enumerate(table.text))) if i > 258}
+    n = 20000
+    buf = np.frombuffer(b"   a" * n, np.uint8)
+    ids, count = table.sample(buf, np.arange(n + 1) * 4, np.arange(n).astype(np.uint64), 0)
+    at = np.r_[0, np.cumsum(count)]
+    got = Counter(tuple(ids[at[i] : at[i + 1]]) for i in range(n))
+    want, word = {}, b"    a"
+    for cut in itertools.product((0, 1), repeat=4):
+        ends = [i + 1 for i, c in enumerate(cut) if c] + [5]
+        parts = [word[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        if all(p in piece for p in parts):
+            want[tuple(piece[p] for p in parts)] = np.exp(sum(table.weight[piece[p]] for p in parts))
+    z = sum(want.values())
+    assert set(got) <= set(want) and all(abs(got[k] / n - w / z) < 0.015 for k, w in want.items())
+
+
 def test_tree_marginals_equal_enumeration():
     import itertools
 

@@ -1,7 +1,8 @@
 """Sampled subword segmentations by forward filtering and backward sampling.
 
-A text starts with a space (as the piece model expects) and is cut before each space:
-no piece crosses such a cut. The pieces inside a unit form a lattice over its bytes. The
+A text starts with a space (as the piece model expects) and is cut before each run of
+spaces: a run and the word after it are one unit, and no piece crosses such a cut (a piece
+with a space after another sign is left out; the model has none). The pieces inside a unit form a lattice over its bytes. The
 forward pass sums, for each place, the weights of all segmentations up to it; sampling
 then goes backward from the end and draws the last piece, the one before, and so on, each
 from its exact conditional distribution. Equal units share one lattice; each occurrence
@@ -57,7 +58,7 @@ class Pieces:
             elif not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i)):
                 t = model.id_to_piece(i).replace("\u2581", " ").encode()
                 self.text[i] = t
-                if b" " not in t[1:]:
+                if b" " not in t.lstrip(b" "):
                     usable.append(i)
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.first = np.r_[0, np.cumsum(self.size)]
@@ -109,7 +110,10 @@ class Pieces:
         buf = np.insert(raw, off[:-1][full], 32)
         shift = np.r_[0, np.cumsum(full)]
         at = off + shift
-        start = np.flatnonzero(buf == 32)
+        space = buf == 32
+        begins = space & np.r_[True, ~space[:-1]][: len(space)]
+        begins[at[:-1][full]] = True
+        start = np.flatnonzero(begins)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(docs, np.int64)
         stop = np.r_[start[1:], len(buf)]
