@@ -18,9 +18,11 @@ PREFIX = "__tl_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all machines share; one of our own only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, which all machines share; where it is unset, one of our own in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,11 +33,33 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
 
     The folder goes when the driver's Python ends.
     """
+    return _written(df, what, codec)[0]
+
+
+def _written(df: DataFrame, what: str, codec: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/textloom/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Tables:
+    """Stored tables by name. A new table of a name takes the place of the old one, whose files go at once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        made, path = _written(df, name, codec)
+        self.drop(name)
+        self.paths[name] = path
+        return made
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                _remove(self.spark, self.paths.pop(name))
 
 
 def _remove(spark: SparkSession, path: str) -> None:

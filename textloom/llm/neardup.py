@@ -11,15 +11,22 @@ Whole results:
 * exact copies of a shingle set are one class from the start, so a group of
   copies costs one row per band;
 * every candidate edge is confirmed on the full shingle sets;
-* a star can miss a link between two members that are both unlike the hub.
-  Buckets whose members still lie in different components get further stars
-  around other hubs, until each pair of a bucket is either in one component or
-  was compared. A round takes up to 64 hubs of a bucket, one of each of its components
-  and the smallest components first. There is no cap on bucket sizes or rounds.
+* a star can miss a link between two members that are both unlike the hub. All members of a
+  hub's buckets form the hub's group; while a group holds members of several components, those
+  outside its largest component are compared with the whole group. There is no cap on groups or rounds.
 * the first hub of a bucket is the member that shares most bucket places with others:
   of a large group of changed copies that is the text they come from, so that one star
   joins the group and little is left for the rounds after it.
 
+No pair is written out before it has passed an exact bound. A set's histogram is the number of
+its shingles in each of 512 bins; the bins' smaller counts add up to an upper bound of the
+intersection, so a pair whose bound lies under the similarity has no link, whatever its texts are.
+Groups are sorted with their heads (the hub, or the members to compare) before the others and
+stream through a task in Arrow batches: a group costs a row for each member and holds no more than its heads
+(``HEADS``) in memory; large groups are cut by a salt, with a copy of the heads for each cut.
+What is quadratic is only the comparing of histograms inside a batch, heads by members.
+Pairs that pass are confirmed the same way on their whole texts, each text once for each group.
+
 With 64 bands of 8 values a pair at similarity 0.8 shares no bucket with a
 probability of (1 - 0.8^8)^64, about 8e-6. Bands of 4 values were tried and left:
 frequent word pairs with low hashes filled buckets with hundreds of documents
@@ -28,7 +35,8 @@ that are not alike.
 Nulls and ties: a null, empty or wordless text has an empty set and is linked
 with nothing. Repeated rows are copies. Rows with one doc_id and different texts
 are placed each by its own text. A row without a doc_id takes part as a copy only.
-Other columns of the input are ignored.
+Other columns of the input are ignored, whatever their names. An empty table gives no rows.
+Very long texts: a text's set must fit in a task; nothing else grows with it.
 """
 
 from __future__ import annotations
@@ -41,11 +49,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._io import mapped, stored
+from ._io import Tables, mapped
 
 U64 = T.U64
-#: Hubs of a bucket in a later round.
-HUBS = 64
+#: Members of a group that are compared with the whole group in one round; the rest follow in the next rounds.
+HEADS = 4096
+#: Members of a group that one task compares; a larger group is cut.
+CUT = 5000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -106,9 +116,10 @@ class Sketcher:
         rows = signature.reshape(-1, self.rows)
         return T.mix((rows * self.factor).sum(axis=1, dtype=U64) ^ self.salt)
 
-    def bits(self, signature: np.ndarray) -> np.ndarray:
-        """One bit of each bin, as longs; two sets of similarity J agree in (1 + J) / 2 of them."""
-        return np.packbits((signature >> U64(9)).astype(np.uint8) & 1).view(np.int64)
+    def counts(self, shingles: np.ndarray) -> bytes | None:
+        """Shingles in each bin; None where one holds more than a byte can count."""
+        n = np.bincount((T.mix(shingles) >> self.shift).astype(np.int64), minlength=self.bins)
+        return n.astype(np.uint8).tobytes() if n.max() < 256 else None
 
 
 def text_hash() -> Column:
@@ -117,38 +128,35 @@ def text_hash() -> Column:
 
 
 def features(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, c1 and c2 (128 bits that name the set), bands and bits; the last four null for an empty set."""
+    """doc_id, text_hash, n_shingles, c1 and c2 (128 bits that name the set), bands and counts; the last four null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketcher(bins, rows)
         for b in batches:
-            sizes, c1, c2, bands, bits = [], [], [], [], []
+            made: list[tuple] = []
             for s in shingle_sets(b.column(1), n):
-                sizes.append(len(s))
                 if len(s):
-                    c1.append(int(T.signed(np.bitwise_xor.reduce(T.mix(s), keepdims=True))[0]))
-                    c2.append(int(T.signed(T.mix(s ^ U64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=U64))[0]))
-                    sign = sketch.signature(s)
-                    bands.append(T.signed(sketch.bands(sign)))
-                    bits.append(sketch.bits(sign))
+                    c1 = int(T.signed(np.bitwise_xor.reduce(T.mix(s), keepdims=True))[0])
+                    c2 = int(T.signed(T.mix(s ^ U64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=U64))[0])
+                    made.append((len(s), c1, c2, T.signed(sketch.bands(sketch.signature(s))), sketch.counts(s)))
                 else:
-                    c1.append(None)
-                    c2.append(None)
-                    bands.append(None)
-                    bits.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "c1", "c2", "bands", "bits"])
+                    made.append((0, None, None, None, None))
+            kinds = [("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bands", pa.list_(pa.int64())), ("counts", pa.binary())]
+            found = [pa.array([m[i] for m in made], kind) for i, (_, kind) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *found], ["doc_id", "text_hash", *(name for name, _ in kinds)])
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash()), run, "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, bands array<long>, bits array<long>")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash())
+    return mapped(src, run, "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, bands array<long>, counts binary")
 
 
 def likely(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows of df whose ``on`` may be among keys, by a bit for each hash of a key.
 
-    The bits are at most 2^25 (4 MB) whatever the number of keys, which bounds what is
+    The bits are at most 2^27 (16 MB) whatever the number of keys, which bounds what is
     broadcast; the more keys, the less it filters. It spares the shuffle most rows before
     the exact join.
     """
-    place = F.xxhash64(on).bitwiseAND((1 << 25) - 1)
+    place = F.xxhash64(on).bitwiseAND((1 << 27) - 1)
     bit = place.bitwiseAND((1 << 15) - 1)
     bits = keys.select(F.shiftright(place, 15).alias("_block"), bit.alias("_bit")).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     at = df.withColumn("_block", F.shiftright(place, 15)).join(F.broadcast(bits), "_block")
@@ -156,41 +164,115 @@ def likely(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return at.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(7))), F.lit(2)) == 1).select(df.columns)
 
 
-def confirmed(pairs: DataFrame, n: int, part: int, whole: int) -> DataFrame:
-    """Of rows (u, v, u_text, v_text), the (u, v) whose sets have whole * intersection >= part * union."""
+def linked(n1, n2, both, part: int, whole: int):
+    """Whether sets of n1 and n2 elements with ``both`` in common are similar enough."""
+    return (both > 0) & (whole * both >= part * (n1 + n2 - both))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
-        for b in batches:
-            b = b.take(pa.array(np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable")))  # a hub's set is made once
-            keep = []
-            us = b.column(0).to_pylist()
-            for i, s in enumerate(shingle_sets(b.column(3), n)):
-                if last != us[i] or last_set is None:
-                    last, last_set = us[i], next(shingle_sets(b.column(2).slice(i, 1), n))
-                both = len(np.intersect1d(s, last_set, assume_unique=True))
-                keep.append(both > 0 and whole * both >= part * (len(s) + len(last_set) - both))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return mapped(pairs.select("u", "v", "u_text", "v_text"), run, "u long, v long")
+def meet(heads: DataFrame, members: DataFrame, items: DataFrame, prepare, judge) -> DataFrame:
+    """(u, v) of heads and members (g, rep, label) of equal g for which ``judge`` finds a link; items has (rep, n, data) of each.
 
+    ``prepare`` turns a batch's data into a list of arrays with an entry for each row. ``judge(heads, members)``
+    takes [rep, label, n, *prepared] of both sides in one group and returns index arrays into both.
+    """
+    salts = members.groupBy("g").agg(F.ceil(F.count("*") / CUT).cast("int").alias("salts"))
+    rest = members.join(salts, "g").select("g", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "rep", "label")
+    first = heads.join(salts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "rep", "label")
+    both = rest.unionByName(first).join(items, "rep").select("g", "salt", "kind", "rep", "label", "n", "data")
 
-def components(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, salt, kind, *own = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            rows = [*own, *prepare(b.column(6))]
+            cuts = np.flatnonzero((g[1:] != g[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])) + 1
+            us, vs = [], []
+            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                part = [c[lo:hi] for c in rows]
+                if group != (g[lo], salt[lo]):
+                    group, held = (g[lo], salt[lo]), []
+                if kind[lo] == 0:
+                    held = [np.concatenate(x) for x in zip(held, part, strict=True)] if held else part
+                elif held:
+                    at, of = judge(held, part)
+                    us.append(held[0][at])
+                    vs.append(part[0][of])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], ["u", "v"])
+
+    return mapped(both.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind"), run, "u long, v long")
+
+
+def histograms(col: pa.Array) -> list[np.ndarray]:
+    """The counts as a matrix, and which rows have some."""
+    some = np.asarray(col.is_valid())
+    got = [x for x in col.to_pylist() if x is not None]
+    out = np.zeros((len(col), len(got[0]) if got else 1), np.uint8)
+    if got:
+        out[some] = np.frombuffer(b"".join(got), np.uint8).reshape(len(got), -1)
+    return [out, some]
+
+
+def bounded(part: int, whole: int):
+    """Judges by sizes and histograms: no only where a link is impossible. Members of one label need no further link."""
+
+    def judge(heads: list[np.ndarray], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        v, labels, size, counts, some = rows
+        at, of = [], []
+        for i, (u, label, n, own, known) in enumerate(zip(*heads, strict=True)):
+            near = np.flatnonzero((labels != label) & (v != u) & (whole * np.minimum(size, n) >= part * np.maximum(size, n)))
+            if known and len(near):
+                ok = ~some[near]
+                for lo in range(0, len(near), 4096):
+                    j = near[lo : lo + 4096]
+                    if counts.shape[1] == len(own):
+                        most = np.minimum(counts[j], own).sum(axis=1, dtype=np.int64)
+                        ok[lo : lo + 4096] |= linked(n, size[j], most, part, whole)
+                near = near[ok]
+            at.append(np.full(len(near), i))
+            of.append(near)
+        return np.concatenate(at), np.concatenate(of)
+
+    return judge
+
+
+def exact(part: int, whole: int):
+    """Judges by whole sets; a group has one head."""
+
+    def judge(heads: list[np.ndarray], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own = heads[3][0]
+        ok = [i for i, s in enumerate(rows[3]) if linked(len(own), len(s), len(np.intersect1d(own, s, assume_unique=True)), part, whole)]
+        return np.zeros(len(ok), np.int64), np.array(ok, np.int64)
+
+    return judge
+
+
+def objects(items: Iterator[np.ndarray], n: int) -> list[np.ndarray]:
+    out = np.empty(n, object)
+    for i, x in enumerate(items):
+        out[i] = x
+    return [out]
+
+
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, label): the least node of each component of the edges (u, v).
 
     Each round takes the least label among a node, its neighbours and their
     labels' labels. Sums over a hub's edges are partial aggregates; joins on a hub
     can be split by adaptive execution. Each round ends in a stored table.
     """
-    both = stored(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    both = tables.put("links", edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = tables.put("labels", both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
         nearer = labels.join(near, "node").select("node", F.least("label", "m").alias("new"), F.col("label").alias("old"))
         up = nearer.select(F.col("node").alias("new"), F.col("new").alias("top"))
-        after = stored(nearer.join(up, "new").select("node", F.least("new", "top").alias("label"), "old"), "labels")
+        after = tables.put("labels", nearer.join(up, "new").select("node", F.least("new", "top").alias("label"), "old"))
         labels = after.select("node", "label")
         if after.where("label <> old").isEmpty():
+            tables.drop("links")
             return labels
 
 
@@ -202,66 +284,76 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
     class_links is the number of confirmed links of the document's class of equal sets that were followed.
     """
     part, whole = round(similarity * 100), 100
-    feats = stored(features(docs, n, bins, rows), "features")
+    tables = Tables(docs.sparkSession)
+    feats = tables.put("features", features(docs, n, bins, rows))
     some = feats.where("n_shingles > 0 and doc_id is not null")
     # rep is a number of the class by itself: a doc_id may stand for several texts
-    reps = stored(some.groupBy("c1", "c2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min_by("bits", "doc_id").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("x"), F.max("n_shingles").alias("n")).select("c1", "c2", "bands", "bits", "n", "x.doc_id", "x.text_hash", F.monotonically_increasing_id().alias("rep")), "classes")
-    buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
-    crowd = stored(buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "crowd")
-    met = stored(likely(buckets, crowd, "key").join(crowd, "key").select("key", "rep", "n", "m"), "buckets")
+    least = some.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.max("n_shingles").alias("n"))
+    classes = tables.put("classes", least.select("c1", "c2", "n", "x.doc_id", "x.text_hash", F.monotonically_increasing_id().alias("rep")))
+    # keys that more than one row has; then, of these few, each class once
+    buckets = some.select("c1", "c2", F.explode("bands").alias("key"))
+    crowd = tables.put("crowd", buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    each = likely(buckets, crowd, "key").distinct().join(classes, ["c1", "c2"]).select("key", "rep")
+    met = tables.put("buckets", each)
+    size = met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     # the hub is the member that meets most others over all its buckets: of copies of one text, the text rather than a copy
-    central = stored(met.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("meets")), "central")
-    met = stored(met.join(central, "rep").select("key", "rep", "n", "m", F.struct((-F.col("meets")).alias("far"), "rep").alias("place")), "placed")
-    hub = met.groupBy("key").agg(F.min("place").alias("hub")).select("key", F.col("hub.rep").alias("hub"))
-    met = stored(met.join(hub, "key"), "stars")
-    pairs = stored(met.where("rep <> hub").select(F.least("hub", "rep").alias("u"), F.greatest("hub", "rep").alias("v")).distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep")
-    # a further star pairs only members of these buckets, so these texts are enough for all rounds
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), "text")
-    texts = stored(likely(named, ids, "doc_id").join(ids, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
-    signs = reps.select("rep", "n", "bits")
-
-    def check(found: DataFrame) -> DataFrame:
-        """Pairs of large sets whose bits differ in more than a quarter are far below the similarity (by five
-        standard deviations or more) and need no texts; all others are confirmed on their whole sets."""
-        left = signs.select(F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("bits").alias("u_bits"))
-        right = signs.select(F.col("rep").alias("v"), F.col("n").alias("v_n"), F.col("bits").alias("v_bits"))
-        apart = F.aggregate(F.zip_with("u_bits", "v_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        near = (F.least("u_n", "v_n") < 100) | (F.lit(1 - similarity + 0.05) * bins >= apart)
-        some = found.join(left, "u").join(right, "v").where((whole * F.least("u_n", "v_n") >= part * F.greatest("u_n", "v_n")) & near).select("u", "v").distinct()
-        one = some.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("v_text")), "v")
-        full = one.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u")
-        return confirmed(full, n, part, whole)
-
-    edges = stored(check(pairs), "edges")
-    labels = components(edges)
-    # pairs in a bucket of two have been compared; larger buckets may need other hubs
-    pool = met.where("m > 2 and rep <> hub").select("key", "rep", "n", "place")
+    central = met.join(size, "key").groupBy("rep").agg(F.sum(F.col("m") - 1).alias("meets"))
+    placed = tables.put("placed", met.join(central, "rep").select("key", "rep", "meets"))
+    hub = placed.groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("far"), "rep")).alias("hub")).select("key", F.col("hub.rep").alias("g"))
+    group = tables.put("groups", placed.join(hub, "key").where("rep <> g").select("g", "rep").distinct())
+    tables.drop("crowd", "buckets", "placed")
+    # only these take part in any round
+    ids = group.select("rep").unionByName(group.select(F.col("g").alias("rep"))).distinct().join(classes.select("rep", "n", "doc_id", "text_hash"), "rep")
+    ids = tables.put("ids", ids)
+    key = ["doc_id", "text_hash"]
+
+    def of_ids(rows: DataFrame) -> DataFrame:
+        return likely(rows, ids, "doc_id").dropDuplicates(key).join(ids, key).select("rep", "n", "data")
+
+    sketches = tables.put("sketches", of_ids(feats.select(*key, F.col("counts").alias("data"))))
+    texts = tables.put("texts", of_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("data"))))
+
+    def possible(heads: DataFrame, members: DataFrame) -> DataFrame:
+        return meet(heads, members, sketches, histograms, bounded(part, whole))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        heads = pairs.select(F.col("u").alias("g"), F.col("u").alias("rep"), F.col("u").alias("label")).distinct()
+        members = pairs.select(F.col("u").alias("g"), F.col("v").alias("rep"), F.col("v").alias("label"))
+        return meet(heads, members, texts, lambda col: objects(shingle_sets(col, n), len(col)), exact(part, whole))
+
+    hubs = group.select("g", F.col("g").alias("rep"), F.col("g").alias("label")).distinct()
+    star = possible(hubs, group.select("g", "rep", F.col("rep").alias("label")))
+    edges = tables.put("edges-0", confirmed(tables.put("pairs", star)))
+    labels = components(edges, tables)
+    # a hub has met its group; the group's members have yet to meet each other
+    rest, rounds = group, 0
     while True:
-        known = labels.select(F.col("node").alias("rep"), "label")
-        at = stored(pool.join(known, "rep", "left").select("key", "rep", "n", "place", F.coalesce("label", "rep").alias("label")), "pool")
-        by = at.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct("place", "n")).alias("x"))
-        # one hub of each component but the largest there, the smallest components first
-        rank = Window.partitionBy("key").orderBy("m", "x")
-        turn = by.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= HUBS)
-        spread = by.groupBy("key").agg(F.count("*").alias("parts"), F.count_if(F.col("m") > 1).alias("large")).where("parts > 1")
-        turn = stored(turn.join(spread, "key").where("rank < parts").select("key", ((F.col("large") > 1) | (F.col("parts") > HUBS + 1)).alias("again"), F.col("x.place.rep").alias("hub"), F.col("x.n").alias("hub_n"), F.col("label").alias("own")), "hubs")
+        at = rest.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("g", "rep", F.coalesce("label", "rep").alias("label"))
+        at = tables.put("open", at)
+        by = at.groupBy("g", "label").agg(F.count("*").alias("m"), F.min("rep").alias("first"))
+        top = by.groupBy("g").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("g", F.col("top.label").alias("largest"))
+        small = by.join(top, "g").where("label <> largest").select("g", "label", "m", "first")
+        apart = at.join(small, ["g", "label"])
+        if rounds == 0:  # one of each component first: components that belong together are then joined at little cost
+            apart = apart.where("rep = first")
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("m", "rep"))
+        turn = tables.put("turn", apart.withColumn("rank", rank).where(F.col("rank") <= HEADS).select("g", "rep", "label"))
         if turn.isEmpty():
             break
-        close = (whole * F.least("n", "hub_n") >= part * F.greatest("n", "hub_n")) & (F.col("label") != F.col("own"))
-        more = at.join(turn, "key").where(close).select(F.least("hub", "rep").alias("u"), F.greatest("hub", "rep").alias("v")).distinct()
-        new = stored(check(more), "edges")
+        rest = at.join(top.select("g"), "g", "left_semi")
+        found = possible(turn, rest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        rounds += 1
+        new = tables.put(f"edges-{rounds}", confirmed(tables.put("pairs", found)))
         if not new.isEmpty():
             edges = edges.unionByName(new)
-            labels = components(edges)
-        # hubs are done; so is a bucket in which what is no hub is of one component
-        open_keys = turn.where("again").select("key").distinct()
-        pool = at.join(open_keys, "key", "left_semi").join(turn.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "place")
+            labels = components(edges, tables)
+        rest = rest.join(turn.select("g", "rep"), ["g", "rep"], "left_anti").select("g", "rep")
     degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("class_links"))
-    named = labels.join(reps.select(F.col("rep").alias("node"), "doc_id"), "node")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("top"))
+    least = labels.join(classes.select(F.col("rep").alias("node"), "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("top"))
     tops = labels.join(least, "label").select(F.col("node").alias("rep"), "top")
-    top = stored(reps.select("c1", "c2", "rep", F.col("doc_id").alias("own")).join(tops, "rep", "left").join(degree, "rep", "left").select("c1", "c2", F.coalesce("top", "own").alias("top"), F.coalesce("class_links", F.lit(0)).alias("class_links")), "members")
+    linked_ = classes.select("c1", "c2", "rep", F.col("doc_id").alias("own")).join(tops, "rep", "left").join(degree, "rep", "left")
+    top = tables.put("members", linked_.select("c1", "c2", F.coalesce("top", "own").alias("top"), F.coalesce("class_links", F.lit(0)).alias("class_links")))
+    tables.drop("classes", "groups", "ids", "sketches", "texts", "pairs", "open", "turn", "labels", *(f"edges-{i}" for i in range(rounds + 1)))
     placed = feats.select("doc_id", "text_hash", "n_shingles", "c1", "c2").join(top, ["c1", "c2"], "left")
     group = F.coalesce("top", "doc_id")
     return placed.select("doc_id", "text_hash", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.col("doc_id").isNull() & group.isNull()).alias("kept"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"))
