@@ -252,34 +252,84 @@ def test_language_model_counts(spark):
     assert maxent.lm_scores(frame(spark, [])).count() == 0
 
 
-def test_language_model_learns_from_all_rows(spark):
-    """More rows than any sample held: the gradient is that of each token of each row, over contexts of whole words."""
-    texts = ["kaggabcd x", "kuggabcd y", "a b"] * 3000
+def plain_contexts(texts):
+    """(word, two words before) of each token, ends included, by plain loops."""
+    out = []
+    for t in texts:
+        before = [None, None]
+        for w in [*WORD.findall(lower(t)), None]:
+            out.append((w, before[1], before[0]))
+            before = [before[1], w]
+    return out
+
+
+def test_language_model_trains_on_every_row_and_scores_plainly(spark):
+    """Weights and scores equal plain loops over all tokens of all learning rows."""
+    rng = random.Random(7)
+    vocab = [f"{a}{b}" for a in "kst" for b in ("agg", "ugg", "ing", "ed", "o")]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 9))) for _ in range(60)]
     df = frame(spark, texts, extra=False)
-    of = np.arange(maxent.BUCKETS) % maxent.CLASSES
-    rows = maxent.context_counts(df, of).collect()
-    assert sum(r.n for r in rows) == 3 * len(texts)
-    rng = np.random.default_rng(2)
-    w, bias = rng.normal(size=(maxent.FEATURES, maxent.CLASSES)), rng.normal(size=maxent.CLASSES)
-    got = maxent.gradient(np.array([r.key for r in rows]), np.array([r.n for r in rows]), w, bias)
-    want = np.zeros_like(w)
-    for _, _, buf, off in T.slices(pa.array(texts)):
-        h, b, d = maxent.tokens(buf, off)
-        f = maxent.features(maxent.contexts(h, b, d))
-        err = np.exp(maxent.class_logs(w, bias, f))
-        err[np.arange(len(b)), of[b]] -= 1
-        for k in f:
-            np.add.at(want, k, err)
-    assert np.allclose(got[0], want) and got[2] == 3 * len(texts)
-    # words with one ending are different contexts
-    h, b, d = maxent.tokens(np.frombuffer(b"kaggabcd xkuggabcd x", np.uint8), np.array([0, 10, 20]))
-    f = maxent.features(maxent.contexts(h, b, d))
-    assert b[0] == b[3] and f[3, 1] == f[3, 4] and f[0, 1] != f[0, 4]
-
-
-def test_class_probabilities_sum_to_one():
+    model = maxent.learn(df, most_top=1000, steps=2)
+    slots = model.slots
+    step = {r.doc_id: r.k for r in df.selectExpr("doc_id", "pmod(xxhash64(9, doc_id), 2) as k").collect()}
+    lore = {}
+    for w in [*vocab, "unseen", None]:
+        buf = np.frombuffer((w or "").encode(), np.uint8)
+        h, b, _ = maxent.tokens(buf, np.array([0, len(buf)]))
+        y, s, own = slots.find(h[:1], b[:1])
+        lore[w] = (h[0], b[0], int(y[0]), int(s[0]), bool(own[0]))
+
+    def active(one, two):
+        h, b = np.array([lore[two][0], lore[one][0], 0], np.uint64), np.array([0, lore[one][1], 0])
+        f = maxent.features(h, b, np.zeros(3, int))[:, 2:]
+        return f, [int(x) for x in f[:, 0]]
+
+    def softmax(table, prior, at):
+        z = np.array(prior, float) + sum(table[i].astype(float) for i in at)
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    w, v = np.zeros_like(model.w), np.zeros_like(model.v)
+    p, q = np.exp(slots.class_prior), np.exp(slots.slot_prior).mean(0)
+    for k in range(2):
+        ga, gb, na, nb = np.zeros(w.shape), np.zeros(v.shape), np.zeros(len(w)), np.zeros(len(v))
+        for x, one, two in plain_contexts([t for i, t in enumerate(texts) if step[i] == k and zlib.crc32(str(i).encode()) % 7 != 2]):
+            _, _, y, s, _ = lore[x]
+            f, at = active(one, two)
+            rows = [int(r) for r in maxent.rows_of(f, np.array([y]))[:, 0]]
+            ea, eb = -softmax(w, slots.class_prior, at), -softmax(v, slots.slot_prior[y], rows)
+            ea[y] += 1
+            eb[s] += 1
+            for i in at:
+                ga[i] += ea
+                na[i] += 1
+            for i in rows:
+                gb[i] += eb
+                nb[i] += 1
+        w = w + np.clip(0.3 * ga / (na[:, None] * p * (1 - p) + 4), -1, 1).astype(np.float32)
+        v = v + np.clip(0.3 * gb / (nb[:, None] * q * (1 - q) + 4), -1, 1).astype(np.float32)
+    assert np.allclose(w, model.w, atol=1e-4) and np.allclose(v, model.v, atol=1e-4) and np.abs(w).max() > 0.1
+    count = {None: 0}
+    for x, _, _ in plain_contexts([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]):
+        count[x] = count.get(x, 0) + 1
+
+    def chance(x, one, two):
+        _, _, y, s, own = lore[x]
+        f, at = active(one, two)
+        got = softmax(w, slots.class_prior, at)[y] * softmax(v, slots.slot_prior[y], maxent.rows_of(f, np.array([y]))[:, 0])[s]
+        same = [k for k in count if lore[k][2:] == (y, s, False)]
+        return got if own else got * (count.get(x, 0) + 1) / (sum(count[k] + 1 for k in same) + 1)
+
+    scores = {r.doc_id: r.score for r in maxent.lm_scores(df, most_top=1000).collect()}
+    other = maxent.learn(df, most_top=1000)
+    w, v = other.w, other.v
+    for i, t in enumerate(texts):
+        assert scores[i] == pytest.approx(sum(np.log10(chance(*c)) for c in plain_contexts([t])), abs=1e-3)
+    assert sum(chance(x, "kagg", "so") for x in count) <= 1 + 1e-6  # the rest is the share of words never seen
+
+
+def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    lp = maxent.class_logs(rng.normal(size=(maxent.FEATURES, maxent.CLASSES)), rng.normal(size=maxent.CLASSES), rng.integers(0, maxent.FEATURES, (3, 50)))
+    lp = maxent.logs(rng.normal(size=(maxent.FEATURES, maxent.CLASSES)), rng.normal(size=maxent.CLASSES), rng.integers(0, maxent.FEATURES, (3, 50)))
     assert np.allclose(np.exp(lp).sum(1), 1)
 
 

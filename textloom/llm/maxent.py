@@ -6,24 +6,28 @@ it is never collected. The most frequent words, at most ``most_top``, are shippe
 the scoring tasks (a bounded table); the rest of a text's words meet their counts in a
 join, where no key is frequent.
 
-The model is a class-factored softmax: log P(word | context) = log P(class | context) +
-log P(word | class). A word's class depends on a bucket of its last bytes, and buckets are
-clustered by their neighbours. P(class | context) is a maximum-entropy model over hashed
-features of the context (the word before, the two before, and the one before that alone,
-each by word and by bucket), trained by distributed gradient updates: tasks give gradients of a fixed size, the
-driver adds them and steps (Adagrad). P(word | class) is (c + 1) / (N_class + V_class + 1)
-from the counts of all training documents, so that words never seen have a share in each
-class; it does not depend on the context.
-
-Clusters, gradients, counts and scores cover all rows: nothing is sampled. A gradient needs
-of the tokens only how often each class follows each context, so these counts are a stored
-table, made once, and each step reads that table instead of the texts. A null text is empty:
-one end. Repeated rows are counted and scored each. Other columns are ignored.
+The model is a class-factored softmax: P(word | context) = P(class | context) P(slot | class,
+context) P(word | slot). A word's class depends on a bucket of its last bytes, and buckets are
+clustered by their neighbours. Inside a class the ``OWN`` most frequent words have a slot each;
+the class's other words share ``REST`` slots by hash, and inside such a slot P(word | slot) is
+(c + 1) / (N_slot + V_slot + 1), so that words never seen have a share. Both softmaxes are
+maximum-entropy models over hashed features of the context: the word before, the two before
+(n-grams), the one before that alone (a skip) and, for the classes, the bucket of the word
+before; their priors are the exact counts.
+
+Training is distributed: each step takes the learning rows of one fold of the ids (each row
+gives its gradient once in ``steps`` steps), a task sends the sums of its gradients, which have a fixed
+size, and the driver adds them up and steps by gradient over expected count, damped and clipped.
+
+Clusters, gradients, counts and scores cover all rows: nothing is sampled. A null text is empty:
+one end. Repeated rows are counted and scored each; a null id is of fold 0. Other columns are ignored.
+An empty table gives no rows. A very long text is read as a slice of its own and must fit in a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +40,17 @@ from ._io import fold, mapped, stored
 
 U64 = T.U64
 BUCKETS = 8192
-SLOTS = 1 << 16
 FEATURES = 1 << 16
 CLASSES = 16
+#: Slots of a class: one for each of its most frequent words, and shared ones for all others.
+OWN, REST = 24, 8
+SLOTS_IN = OWN + REST
 END = U64(0x454E44)
 _COUNT_BYTES = 4 << 20
 #: Neighbours' buckets are folded to this number for the clusters.
 _WIDE = 256
-#: Rows of the contexts that are held at once.
-_ROWS = 1 << 17
+#: Tokens whose scores are held at once.
+_ROWS = 1 << 15
 
 
 def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,32 +74,76 @@ def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return out_h, out_b, out_d
 
 
-def contexts(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """A number for each token that names the two words before it, by hash slot and bucket; before a text's start stands the end token."""
-    first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
-    word = (T.mix(h) % U64(SLOTS)).astype(np.int64) * BUCKETS + bucket
-    end = int(T.mix(np.array([END]))[0] % U64(SLOTS)) * BUCKETS + BUCKETS - 1
-    one = np.r_[end, word[:-1]][: len(h)]
-    one[first] = end
-    two = np.r_[end, one[:-1]][: len(h)]
-    two[first] = end
-    return one * (SLOTS * BUCKETS) + two
-
-
-def features(context: np.ndarray) -> np.ndarray:
-    """Six feature indices for each context: the word before, the two before, the one before that, by slots and by buckets."""
-    one, two = context // (SLOTS * BUCKETS), context % (SLOTS * BUCKETS)
-    by = []
-    for k, (x, y) in enumerate(((one // BUCKETS, two // BUCKETS), (one % BUCKETS, two % BUCKETS))):
-        by += [x + (6 * k + 1 << 40), x * SLOTS + y + (6 * k + 2 << 40), y + (6 * k + 3 << 40)]
-    return (T.mix(np.stack(by)) % U64(FEATURES)).astype(np.int64)
+def features(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashed features of the context of each token: the word before, the two before, the one before that, the bucket of the word before.
 
-
-def class_logs(w: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Natural log P(class | context), a row for each token."""
-    z = sum((w[f] for f in features), start=bias)
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    Before a text's start stands the end token.
+    """
+    first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
+    one, two, tail = (np.full(len(h), END, U64) for _ in range(3))
+    one[1:] = h[:-1]
+    tail[1:] = bucket[:-1].astype(U64)
+    one[first], tail[first] = END, U64(BUCKETS - 1)
+    two[1:] = one[:-1]
+    two[first] = END
+    pair = one * U64(0x9E3779B97F4A7C15) + T.mix(two)
+    return np.stack([(T.mix(x + U64(k << 40)) >> U64(48)).astype(np.int64) % FEATURES for k, x in enumerate((one, pair, two, tail), 1)])
+
+
+def rows_of(features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows of the slots' weights: each n-gram and skip feature, joined with the class and hashed again."""
+    return (T.mix((features[:3] * CLASSES + y).astype(U64) * U64(0xD6E8FEB86659FD93)) >> U64(48)).astype(np.int64) % FEATURES
+
+
+def logs(w: np.ndarray, prior: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Natural logs of a softmax: a row for each token. prior: logs, one row or a row for each token."""
+    z = w[features[0]]
+    for f in features[1:]:
+        z += w[f]
+    z += prior
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+class Slots:
+    """Classes of buckets, slots of words, and their counts."""
+
+    def __init__(self, of: np.ndarray, top: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray):
+        """top: hashes (signed), counts and buckets of the most frequent words; sizes: BUCKETS x REST x (tokens, tokens and types)."""
+        h, n, bucket = top
+        y = of[bucket]
+        order = np.lexsort((h, -n, y))
+        place = np.arange(len(order)) - np.searchsorted(y[order], y[order])
+        own = order[place < OWN]
+        slot = place[place < OWN]
+        back = np.argsort(h[own])
+        self.of, self.h, self.slot = of, h[own][back], slot[back]
+        full = np.zeros((CLASSES, REST, 2))
+        np.add.at(full, of, sizes)
+        np.add.at(full, (y[own], rest_slot(h[own])), -np.stack([n[own], n[own] + 1], 1).astype(float))
+        self.log_size = np.log10(np.maximum(full[:, :, 1], 0) + 1)
+        own_n = np.zeros((CLASSES, OWN))
+        own_n[y[own], slot] = n[own]
+        mass = np.concatenate([own_n, np.maximum(full[:, :, 0], 0)], 1)
+        live = np.concatenate([own_n > 0, np.ones((CLASSES, REST), bool)], 1)
+        per = mass.sum(1) + 1
+        self.class_prior = np.log(per / per.sum()).astype(np.float32)
+        # a slot that no word has is out of the softmax
+        self.slot_prior = np.where(live, np.log((mass + 0.5) / (mass.sum(1, keepdims=True) + 0.5 * SLOTS_IN)), -1e4).astype(np.float32)
+
+    def find(self, h: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, slot, whether the slot is the word's own) of each token."""
+        y = self.of[bucket]
+        at, ok = T.lookup(self.h, T.signed(h))
+        slot = rest_slot(T.signed(h)) + OWN
+        if len(self.h):
+            slot[ok] = self.slot[at[ok]]
+        return y, slot, ok
+
+
+def rest_slot(h: np.ndarray) -> np.ndarray:
+    return (h >> 40) & (REST - 1)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -140,81 +190,69 @@ def clusters(around: np.ndarray, n: np.ndarray, rounds: int = 12) -> np.ndarray:
     return np.where(n > 0, (x @ c.T).argmax(1), np.arange(BUCKETS) % CLASSES)
 
 
-def context_counts(docs: DataFrame, of: np.ndarray) -> DataFrame:
-    """key and n: how often a class follows a context, over all tokens. key packs the context and the class; each slice of texts counts its own, as few contexts recur and gradients add up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, buf, off in T.slices(batch.column(0), _COUNT_BYTES):
-                h, b, d = tokens(buf, off)
-                u, n = np.unique(contexts(h, b, d) * CLASSES + of[b], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["key", "n"])
-
-    return mapped(docs.select("text"), run, "key long, n long")
-
-
-def gradient(key: np.ndarray, times: np.ndarray, w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sums over counted contexts: gradients of features and bias, tokens."""
-    y, f = key % CLASSES, features(key // CLASSES)
-    err = np.exp(class_logs(w, bias, f))
-    err[np.arange(len(y)), y] -= 1
-    err = err * times[:, None].astype(float)
-    gw, at = np.empty((FEATURES, CLASSES)), f.ravel()
-    for k in range(CLASSES):
-        gw[:, k] = np.bincount(at, weights=np.tile(err[:, k], len(f)), minlength=FEATURES)
-    return gw, err.sum(0), int(times.sum())
-
-
-def train(counted: DataFrame, steps: int = 8, rate: float = 0.6, groups: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """counted: the stored context counts of all training rows. In each step a task gives a gradient of fixed size; ``groups`` tasks add those up, so that the driver gets that many."""
-    w, bias = np.zeros((FEATURES, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
-    hw, hb = np.full(w.shape, 1e-8), np.full(CLASSES, 1e-8)
-    for _ in range(steps):
-
-        def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, bias: np.ndarray = bias) -> Iterator[pa.RecordBatch]:
-            total: tuple | None = None
-            held: list[pa.RecordBatch] = []
-
-            def add() -> None:
-                nonlocal total
-                t = pa.Table.from_batches(held)
-                got = gradient(t.column(0).to_numpy(), t.column(1).to_numpy(), w, bias)
-                total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
-                held.clear()
-
-            for b in batches:
-                if b.num_rows:
-                    held.append(b)
-                if sum(x.num_rows for x in held) >= _ROWS:
-                    add()
-            if held:
-                add()
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([total[0].astype("<f4").tobytes()]), pa.array([total[1].astype("<f4").tobytes()]), pa.array([total[2]], pa.int64())], ["g", "w", "b", "n"])
+def scatter(f: np.ndarray, err: np.ndarray) -> np.ndarray:
+    """Sums of err's rows by each of their features."""
+    out, at, many = np.empty((err.shape[1], FEATURES)), f.ravel(), len(f)
+    for k in range(err.shape[1]):
+        out[k] = np.bincount(at, weights=np.tile(err[:, k], many), minlength=FEATURES)
+    return out.T
+
+
+def gradient(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray, slots: Slots, w: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """Sums over the tokens: the log-likelihood's gradient of class weights and of slot weights, and how often each of their features is met."""
+    y, s, _ = slots.find(h, bucket)
+    every = features(h, bucket, doc)
+    total: list[np.ndarray] = []
+    for lo in range(0, len(y), _ROWS):
+        cut = slice(lo, lo + _ROWS)
+        f, c = every[:, cut], y[cut]
+        r = rows_of(f, c)
+        at = np.arange(len(c))
+        a, b = -np.exp(logs(w, slots.class_prior, f)), -np.exp(logs(v, slots.slot_prior[c], r))
+        a[at, c] += 1
+        b[at, s[cut]] += 1
+        got = [scatter(f, a), scatter(r, b), np.bincount(f.ravel(), minlength=FEATURES), np.bincount(r.ravel(), minlength=FEATURES)]
+        total = [x + z for x, z in zip(total, got, strict=True)] if total else got
+    return total
+
+
+def train(docs: DataFrame, slots: Slots, steps: int = 8, rate: float = 0.3, damp: float = 4.0, groups: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and of slots. In each step a task sums the gradients of its rows; ``groups`` tasks add those up, so that the driver gets that many."""
+    w, v = np.zeros((FEATURES, CLASSES), np.float32), np.zeros((FEATURES, SLOTS_IN), np.float32)
+    p, q = np.exp(slots.class_prior), np.exp(slots.slot_prior).mean(0)
+    turn = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(steps))
+    for step in range(steps):
+
+        def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, v: np.ndarray = v) -> Iterator[pa.RecordBatch]:
+            total: list[np.ndarray] = []
+            for batch in batches:
+                for _, _, buf, off in T.slices(batch.column(0), _COUNT_BYTES):
+                    got = gradient(*tokens(buf, off), slots, w, v)
+                    total = [x + z for x, z in zip(total, got, strict=True)] if total else got
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), *(pa.array([x.astype("<f4").tobytes()]) for x in total)], ["g", "a", "b", "c", "d"])
 
         def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            gw, gb, n = 0.0, 0.0, 0
-            for p in parts:
-                for x, y, k in zip(p.column(1), p.column(2), p.column(3), strict=True):
-                    gw, gb, n = gw + np.frombuffer(x.as_py(), "<f4").astype(float), gb + np.frombuffer(y.as_py(), "<f4").astype(float), n + k.as_py()
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([gw.astype("<f4").tobytes()]), pa.array([gb.astype("<f4").tobytes()]), pa.array([n], pa.int64())], ["w", "b", "n"])
-
-        shape = "w binary, b binary, n long"
-        rows = mapped(mapped(counted.select("key", "n"), run, "g int, " + shape).repartition(groups, "g"), added, shape).collect()
-        n = sum(r["n"] for r in rows)
-        if not n:
-            break
-        gw = sum(np.frombuffer(r["w"], "<f4").reshape(w.shape).astype(float) for r in rows) / n
-        gb = sum(np.frombuffer(r["b"], "<f4").astype(float) for r in rows) / n
-        hw, hb = hw + gw * gw, hb + gb * gb
-        w = (w - rate * gw / np.sqrt(hw)).astype(np.float32)
-        bias = (bias - rate * gb / np.sqrt(hb)).astype(np.float32)
-    return w, bias
-
-
-def top_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and counts, of the most frequent words: all from the least count at which they are at most ``most``."""
+            total = None
+            for part in parts:
+                for row in range(part.num_rows):
+                    got = [np.frombuffer(part.column(k)[row].as_py(), "<f4") for k in range(1, 5)]
+                    total = [x + z for x, z in zip(total, got, strict=True)] if total else got
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()]) for x in total], ["a", "b", "c", "d"])
+
+        kinds = "a binary, b binary, c binary, d binary"
+        made = mapped(mapped(docs.where(turn == step).select("text"), run, "g int, " + kinds).repartition(groups, "g"), added, kinds).collect()
+        if not made:
+            continue
+        a, b, c, d = (sum(np.frombuffer(r[k], "<f4") for r in made) for k in "abcd")
+        w = w + np.clip(rate * a.reshape(w.shape) / (c[:, None] * p * (1 - p) + damp), -1, 1).astype(np.float32)
+        v = v + np.clip(rate * b.reshape(v.shape) / (d[:, None] * q * (1 - q) + damp), -1, 1).astype(np.float32)
+    return w, v
+
+
+def top_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, counts and buckets of the most frequent words: all from the least count at which they are at most ``most``."""
     step = F.floor(F.log2("n") * 8).cast("int")
     bars = {r["s"]: r["k"] for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect()}
     held, least = 0, None
@@ -223,31 +261,47 @@ def top_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             break
         held, least = held + bars[s], s
     if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    got = counts.where(step >= least).select("h", "n").toArrow()
-    h, n = got["h"].to_numpy(), got["n"].to_numpy()
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = counts.where(step >= least).select("h", "n", "bucket").toArrow()
+    h, n, bucket = (got[c].to_numpy() for c in ("h", "n", "bucket"))
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order], n[order], bucket[order].astype(np.int64)
 
 
-def lm_scores(docs: DataFrame, most_top: int = 262_144) -> DataFrame:
-    """doc_id, held_out (fold of 7 is 2), n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    learn = docs.where(fold("doc_id", 7) != 2)
-    counts = stored(word_counts(learn), "counts")
+class Model(NamedTuple):
+    """counts: h, bucket and n of every training token's word, a stored table; all else is of bounded size."""
+
+    counts: DataFrame
+    tokens: int
+    types: int
+    top: tuple[np.ndarray, np.ndarray, np.ndarray]
+    slots: Slots
+    w: np.ndarray
+    v: np.ndarray
+
+
+def learn(docs: DataFrame, most_top: int = 262_144, steps: int = 8) -> Model:
+    """Learns from the rows of docs (doc_id, text without nulls) whose fold of 7 is not 2."""
+    rows = docs.where(fold("doc_id", 7) != 2)
+    counts = stored(word_counts(rows), "counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_all, n_types = int(total["n"] or 0), int(total["v"])
-    in_bucket, size_of = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
-    for r in counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("z")).collect():
-        in_bucket[r["bucket"]], size_of[r["bucket"]] = r["n"], r["z"]
-    near = neighbours(learn).toArrow()
+    sizes = np.zeros((BUCKETS, REST, 2))
+    part = F.shiftright("h", 40).bitwiseAND(REST - 1)
+    for r in counts.groupBy("bucket", part.alias("part")).agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("z")).collect():
+        sizes[r["bucket"], r["part"]] = r["n"], r["z"]
+    near = neighbours(rows).toArrow()
     around = np.zeros(BUCKETS * 2 * _WIDE)
     around[near["at"].to_numpy()] = near["n"].to_numpy()
-    of = clusters(around.reshape(BUCKETS, 2 * _WIDE), in_bucket)
-    w, bias = train(stored(context_counts(learn, of), "contexts"))
-    size = 1.0 + np.bincount(of, weights=size_of, minlength=CLASSES)
-    log_size = np.log10(size)
-    top_h, top_n = top_words(counts, most_top)
+    of = clusters(around.reshape(BUCKETS, 2 * _WIDE), sizes[:, :, 0].sum(1))
+    top = top_words(counts, most_top)
+    slots = Slots(of, top, sizes)
+    return Model(counts, int(total["n"] or 0), int(total["v"]), top, slots, *train(rows, slots, steps))
+
+
+def lm_scores(docs: DataFrame, most_top: int = 262_144) -> DataFrame:
+    """doc_id, held_out (fold of 7 is 2), n_tokens, n_known, train_tokens, base_score and score (log10)."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts, n_all, n_types, (top_h, top_n, _), slots, w, v = learn(docs, most_top)
     top_log = np.log10(top_n + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,16 +311,17 @@ def lm_scores(docs: DataFrame, most_top: int = 262_144) -> DataFrame:
             for lo, hi, buf, off in T.slices(batch.column(1)):
                 docs = hi - lo
                 h, b, d = tokens(buf, off)
-                y = of[b]
+                y, s, own = slots.find(h, b)
+                every = features(h, b, d)
                 model = np.empty(len(h))
-                for at in range(0, len(h), 1 << 16):  # bounds the rows of class scores held at once
-                    to = min(at + (1 << 16), len(h))
-                    back = max(at - 2, 0)
-                    f = features(contexts(h[back:to], b[back:to], d[back:to])[at - back :])
-                    model[at:to] = class_logs(w, bias, f)[np.arange(to - at), y[at:to]]
+                for at in range(0, len(h), _ROWS):
+                    cut = slice(at, at + _ROWS)
+                    n = np.arange(len(y[cut]))
+                    model[cut] = logs(w, slots.class_prior, every[:, cut])[n, y[cut]] + logs(v, slots.slot_prior[y[cut]], rows_of(every[:, cut], y[cut]))[n, s[cut]]
                 place, ok = T.lookup(top_h, T.signed(h))
                 value = np.where(ok, top_log[place] if len(top_log) else 0.0, 0.0)
-                parts = np.bincount(d, weights=model / np.log(10) - log_size[y], minlength=docs)
+                # logs holds log10(count + 1) of each word, which a word with a slot of its own takes off again
+                parts = np.bincount(d, weights=model / np.log(10) - np.where(own, value, slots.log_size[y, np.maximum(s - OWN, 0)]), minlength=docs)
                 rare = np.flatnonzero(~ok)
                 # one row for each of a text's rare words
                 order = rare[np.lexsort((h[rare], d[rare]))]
