@@ -100,6 +100,46 @@ def test_one_id_for_two_texts(spark):
     assert sorted((r.n_shingles, r.component_id, r.kept) for r in got) == [(58, 1, False), (59, 1, True), (59, 3, True)]
 
 
+def test_a_hot_group_loses_no_link(spark):
+    """Hundreds of changed copies of one text, many of them too far from it, over several rounds and cuts: all links of all pairs."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(400)]
+    base = [rng.choice(vocab) for _ in range(70)]
+    texts = [" ".join(base)] * 3
+    for _ in range(420):
+        t = list(base)
+        for _ in range(rng.randint(1, 7)):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], [rng.choice(vocab)], [rng.choice(vocab), t[k]]])
+        texts.append(" ".join(t))
+    texts += [None, "", "alone here"]
+    want = components_plainly(texts, 2, 80)
+    assert len({c for _, _, c in want}) > 12
+    heads, cut = neardup.HEADS, neardup.CUT
+    try:
+        neardup.HEADS, neardup.CUT = 25, 40
+        got = neardup.near_duplicates(frame(spark, texts), n=2).collect()
+    finally:
+        neardup.HEADS, neardup.CUT = heads, cut
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_bounds_never_deny_a_link():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)) for _ in range(20)]
+    for s in list(sets):
+        for share in (0.02, 0.1, 0.15):
+            keep = rng.random(len(s)) > share
+            if keep.any():
+                sets.append(np.unique(np.r_[s[keep], rng.integers(0, 2**63, int(share * len(s) / 4)).astype(np.uint64)]))
+    k = neardup.Sketcher(bins=64, rows=1)
+    rows = [np.arange(len(sets)), np.arange(len(sets)), np.array([len(s) for s in sets]), *neardup.histograms(pa.array([k.counts(s) if i % 7 else None for i, s in enumerate(sets)], pa.binary()))]
+    at, of = neardup.bounded(80, 100)(rows, rows)
+    passed = set(zip(at.tolist(), of.tolist(), strict=True))
+    links = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and neardup.linked(len(a), len(b), len(np.intersect1d(a, b)), 80, 100)}
+    assert links <= passed and len(links) > 20 and len(passed) < len(sets) ** 2 / 2
+
+
 def test_a_star_alone_would_miss_a_link(spark):
     """Members of one bucket that are unlike its hub are compared with each other."""
     a = [f"w{i}" for i in range(100)]
@@ -194,6 +234,48 @@ def test_language_edges(spark):
     assert langid.language(frame(spark, []), langid.train(frame(spark, []))).count() == 0
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    """Letters are those of Unicode's categories L*; every language of the learning rows can be named."""
+    model = langid.fit([("der hund und die katze", "de"), ("the dog and the cat", "en")])
+    texts = ["\u2014", "\U0001f642\U0001f642", "\u0661\u0662\u0663", "\u00a9", "\uff0c\u3002", "\uff11\uff12", "12 !", "", None]
+    got = langid.predict(model, pa.array([*texts, "\u00e9", "\u65e5\u672c", "the dog"]))
+    assert got["lang_pred"].to_pylist()[: len(texts)] == ["und"] * len(texts) and got["score"][: len(texts)].sum() == 0
+    assert "und" not in got["lang_pred"].to_pylist()[len(texts) :] and got["lang_pred"][-1].as_py() == "en"
+    df = spark.createDataFrame([(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3, f"l{i:04d}") for i in range(600)], "doc_id long, text string, lang string")
+    assert len(langid.train(df)["names"]) == len({r.lang for r in df.where("pmod(crc32(cast(doc_id as string)), 4) <> 2").collect()})
+
+
+def test_nearest_centroid_equals_a_plain_search():
+    """Ties go to the first language; vectors and cosines are those of plain loops."""
+    from collections import Counter
+    from math import log, sqrt
+
+    rows = [("aa bb ab", "x"), ("ab ba aa", "x"), ("cc dd cd", "y"), ("cd dc", "y"), ("aa bb ab", "z")]
+    model = langid.fit(rows, clusters=1)
+
+    def grams(t):
+        b = "".join(c if c.isalpha() else " " for c in t.lower())
+        ids = []
+        for n in (2, 3):
+            for i in range(len(b) - n + 1):
+                if b[i : i + n].count(" ") < n - 1:
+                    ids.append(((int.from_bytes(b[i : i + n].encode(), "big") + (n << 24)) * 2654435761 % 2**32) >> 20)
+        return Counter(ids)
+
+    def plain(t):
+        x = [log(1 + grams(t)[k]) * model["idf"][k] for k in range(langid.BUCKETS)]
+        norm = sqrt(sum(v * v for v in x)) or 1
+        return [v / norm for v in x]
+
+    texts = ["aa bb", "cd cc dd", "ab aa bb cc", "zz"]
+    got = langid.predict(model, pa.array(texts))
+    for i, t in enumerate(texts):
+        x = plain(t)
+        sims = [sum(a * b for a, b in zip(x, c, strict=True)) for c in model["centroids"].tolist()]
+        best = max(range(len(sims)), key=lambda k: (round(sims[k], 5), -k))
+        assert got["lang_pred"][i].as_py() == model["names"][model["of"][best]] and got["score"][i] == pytest.approx(max(max(sims), 0), abs=1e-4)
+
+
 def test_packing_is_whole(spark):
     path = tokenizer("word_bpe_49k.json")
     from tokenizers import Tokenizer
@@ -387,6 +469,42 @@ def test_subword_samples_of_runs_of_spaces_follow_the_lattice():
     assert set(got) <= set(want) and all(abs(got[k] / n - w / z) < 0.015 for k, w in want.items())
 
 
+def test_subword_samples_do_not_depend_on_neighbours(monkeypatch):
+    """Alone, together, in parts and place by place: the same pieces."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("etaoin") for _ in range(rng.choice([1, 4, 9, 700]))) for _ in range(rng.randint(0, 12))) for _ in range(12)]
+    table = subword.pieces(tokenizer("piece_bpe_32k.model"))
+
+    def ids(some, keys):
+        got = []
+        for lo, hi, buf, off in T.slices(pa.array(some, pa.string())):
+            i, n = table.sample(buf, off, np.array(keys[lo:hi], np.uint64), 5)
+            got += [x.tolist() for x in np.split(i, np.cumsum(n)[:-1])]
+        return got
+
+    together = ids(texts, range(12))
+    assert together == [ids([t], [k])[0] for k, t in enumerate(texts)]
+    monkeypatch.setattr(subword, "_SLICE", 100)
+    assert together == ids(texts, range(12))
+    monkeypatch.setattr(subword, "_DEEP", 3)
+    assert sum(a != b for a, b in zip(together, ids(texts, range(12)), strict=True)) <= 1  # one ulp may differ
+
+
+def test_quotes_open_a_value_only_after_an_equals_sign():
+    """An apostrophe in an unquoted value, or alone in a tag, swallows nothing."""
+    for bad in ("<p class=don't>", "<p don't>", "<p class=a'b id=\"x\">", '<p title="a > b">', "<p title='say \"x\" > y'>"):
+        nodes = htmltext.parse(f"<div>{bad}one</p><p>two</p></div>")
+        assert ["".join(x for _, x in v.text) for v in nodes if v.tag == "p"] == ["one", "two"]
+
+
+def test_stray_closing_tags_cost_no_walk():
+    import time
+
+    began = time.perf_counter()
+    assert len(htmltext.parse("<div>" * 20000 + "x</p>" * 20000)) == 20001
+    assert time.perf_counter() - began < 5
+
+
 def test_tree_marginals_equal_enumeration():
     import itertools
 

@@ -81,19 +81,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, spread: tuple[int, ...] = (0, 1)) -> list[tuple[str, int]]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, spread: tuple[int, ...] = (0, 1), most_chars: int = 50_000) -> list[tuple[str, int]]:
     """(text, label) of at most ``most`` labelled training rows for each label value.
 
     Training rows are those whose fold of 5 is not 0. Rows are taken in the order of a
     hash of their ids, so the sample is the same at each run. Null texts read as empty.
-    The bound is what makes the collected rows and the broadcast ids small.
+    The bound is what makes the collected rows and the broadcast ids small; for the same reason
+    rows of more than ``most_chars`` characters are no part of the sample (they are scored as all others).
     """
     known = labels.where(F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).select("doc_id", F.col(label).alias("y"))
     parts = [known.where(F.col("y") == v).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in spread]
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most * len(spread)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    got = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= most_chars).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most * len(spread)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
     return [(r["text"], int(r["y"])) for r in got.collect()]
 
 

@@ -70,8 +70,8 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(at)
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yields (first row, end row, bytes, offsets); null reads as empty."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yields (first row, end row, bytes, offsets) of at most ``rows`` rows; null reads as empty."""
     if not len(texts):
         return
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -81,7 +81,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
-        hi = min(hi, len(texts))
+        hi = min(hi, len(texts), lo + (rows or len(texts)))
         yield lo, hi, whole[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 

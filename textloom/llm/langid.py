@@ -6,9 +6,13 @@ several centroids from spherical k-means. The nearest centroid by cosine names t
 language; a cosine below the language's rejection distance (a low quantile of its training
 rows) marks the answer as rejected.
 
-Centroids are fitted on about ``per_language`` documents of each language, chosen by a hash
-of the id (a documented bound); all rows are scored, in Arrow batches and with no shuffle.
-A text that is null or without a letter is ``und`` with score 0.
+Centroids are fitted on at most ``per_language`` documents of each language, chosen by a hash
+of the id, and of at most ``most_chars`` characters each (documented bounds); with very many
+languages each gets fewer, so that ``most_rows`` rows are about enough for all, but four at least.
+Every language of the learning rows has centroids, and all rows are scored, in Arrow batches and
+with no shuffle. A text that is null or has no letter (Unicode categories L*) is ``und`` with
+score 0. Equal cosines go to the language that sorts first. Repeated rows are scored each; other
+columns are ignored; very long texts are counted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from . import _text as T
 from ._io import fold, scored
 
 BUCKETS = 1 << 12
+#: Rows whose vectors are held at once.
+_ROWS = 512
 _MAP = np.full(256, 32, np.uint8)
 _MAP[T.LETTER] = np.arange(256, dtype=np.uint8)[T.LETTER]
 
@@ -60,7 +66,7 @@ def fit(rows: list[tuple[str, str]], clusters: int = 4, rounds: int = 12, reject
     names = sorted({v for _, v in rows})
     if not rows:
         return {"names": [], "of": np.zeros(0, int), "centroids": np.zeros((0, BUCKETS)), "idf": np.ones(BUCKETS), "floor": np.zeros(0)}
-    x = np.concatenate([vectors(buf, off) for _, _, buf, off in T.slices(pa.array([t for t, _ in rows], pa.string()))])
+    x = np.concatenate([vectors(buf, off) for _, _, buf, off in T.slices(pa.array([t for t, _ in rows], pa.string()), rows=_ROWS)])
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
     x = unit(x * idf)
     lang = np.array([names.index(v) for _, v in rows])
@@ -78,22 +84,32 @@ def fit(rows: list[tuple[str, str]], clusters: int = 4, rounds: int = 12, reject
     return {"names": names, "of": np.array(of), "centroids": np.concatenate(centroids).astype(np.float32), "idf": idf.astype(np.float32), "floor": np.array(floor)}
 
 
-def train(docs: DataFrame, per_language: int = 300, most_languages: int = 500) -> dict:
+def train(docs: DataFrame, per_language: int = 300, most_rows: int = 30_000, most_chars: int = 50_000) -> dict:
     """Learns from rows whose fold of 4 is not 2 and that have a language and a text."""
-    known = docs.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    known = docs.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
+    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return fit([])
+    each = min(per_language, max(4, most_rows // len(n)))
     unit_hash = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
-    share = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, 1.5 * per_language / c))])
-    rows = known.where(unit_hash < share[F.col("lang")]).select("text", "lang").limit(2 * per_language * len(n)).collect()
+    share = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, (1.5 * each + 20) / c))])
+    # repeated rows count once, so that what is collected is bounded
+    rows = known.where(unit_hash < share[F.col("lang")]).select("text", "lang").distinct().collect()
     by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], hash_of(r["text"]))):
-        if len(got := by.setdefault(r["lang"], [])) < per_language:
+    for r in sorted(rows, key=lambda r: (r["lang"], hash_of(r["text"]), r["text"])):
+        if len(got := by.setdefault(r["lang"], [])) < each:
             got.append((r["text"], r["lang"]))
     return fit([r for v in by.values() for r in v])
 
 
+def lettered(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which texts have a letter: A-Z and a-z are seen in the bytes, texts with other high bytes are asked for Unicode letters."""
+    out = T.sums(T.LETTER[buf] & (buf < 128), off) > 0
+    for i in np.flatnonzero(~out & (T.sums(buf > 127, off) > 0)):
+        out[i] = any(map(str.isalpha, buf[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")))
+    return out
+
+
 def hash_of(text: str) -> int:
     import zlib
 
@@ -102,8 +118,8 @@ def hash_of(text: str) -> int:
 
 def predict(model: dict, texts: pa.Array) -> dict:
     names, cos, rejected = [], [], []
-    for lo, hi, buf, off in T.slices(texts):
-        letter = T.sums(T.LETTER[buf], off) > 0
+    for lo, hi, buf, off in T.slices(texts, rows=_ROWS):
+        letter = lettered(buf, off)
         if not model["names"]:
             names += [None if x else "und" for x in letter]
             cos.append(np.zeros(hi - lo))
