@@ -12,7 +12,8 @@ The text directly inside a block whose marginal is at least a half is kept. Elem
 that never hold readable text (scripts, styles, forms and the like) are left out
 beforehand. White space inside a block is one space; blocks are joined by two ``\\n``
 in page order; nothing else is dropped and no length is capped. Null or empty html
-gives an empty text. Repeated rows give repeated rows.
+gives an empty text. Repeated rows give repeated rows. Columns named like the results
+are replaced, others are kept. An empty table gives no rows; a very long page must fit in a task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 from math import exp, log1p
 
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame
 
 from ._io import scored
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: In a tag, a quote opens a value only right after ``=``; elsewhere it is a sign like others.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+)?)*+)(?:>|\Z)""", re.S)
 #: One attribute: its whole name, and its value if it has one.
 _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+)?)?""")
 _WORDS = re.compile(r"[a-z]+")
@@ -86,6 +89,7 @@ def parse(page: str) -> list[Node]:
     root = Node("html", None)
     blocks, at, place = [root], root, 0
     inline: list[str] = []
+    opened: Counter[str] = Counter()  # open blocks by tag, so that a stray closing tag costs no walk to the root
     pos, end = 0, len(page)
 
     def say(raw: str) -> None:
@@ -99,6 +103,11 @@ def parse(page: str) -> list[Node]:
                     at.link += len(piece.strip())
 
     def up(node: Node) -> Node:
+        k = at
+        while k is not node:
+            opened[k.tag] -= 1
+            k = k.parent
+        opened[k.tag] -= 1
         inline.clear()
         return node.parent or root
 
@@ -133,19 +142,19 @@ def parse(page: str) -> list[Node]:
                 inline.append(tag)
             continue
         if closing:
-            k = at
-            while k.parent and k.tag != tag:
-                k = k.parent
-            if k.tag == tag and k.parent:
+            if opened[tag]:
+                k = at
+                while k.tag != tag:
+                    k = k.parent
                 at = up(k)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             k = at
             while k.parent and k.tag not in SCOPE and k.tag != "p":
                 k = k.parent
             if k.tag == "p":
                 at = up(k)
-        if tag in ENDS:
+        if tag in ENDS and any(opened[x] for x in ENDS[tag]):
             k = at
             while k.parent and k.tag not in SCOPE - {tag} and k.tag not in ENDS[tag]:
                 k = k.parent
@@ -160,6 +169,7 @@ def parse(page: str) -> list[Node]:
         at.kids.append(new)
         blocks.append(new)
         at = new
+        opened[tag] += 1
         inline.clear()
     return blocks
 
