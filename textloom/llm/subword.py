@@ -13,13 +13,18 @@ A piece's log weight is ``-alpha * log(id)``: the model is a list of merges in o
 frequency, and ranks follow Zipf's law (its own scores are ranks, no probabilities). A
 character that is no piece is written as byte pieces, so that every text can be written and
 ``decode`` gives it back byte for byte; a U+2581 in the text is written in bytes too and stays
-apart from a space. A null or empty text has no pieces and decodes to an empty text.
+apart from a space. A null or empty text has no pieces and decodes to an empty text. Repeated
+rows are sampled each, alike where their keys are; a null key counts as one key. Columns named
+like the results are replaced, others are kept. An empty table gives no rows. A very long text
+is sampled in parts of half a megabyte, cut between units; only a single run without spaces is
+held whole (its lattice takes about 250 bytes a byte).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,8 @@ U64 = T.U64
 _PRIME = U64(0x100000001B3)
 _BASIS = U64(0xCBF29CE484222325)
 _SLICE = 1 << 19
+#: Bytes into a unit beyond which its places are passed one by one.
+_DEEP = 512
 
 
 @lru_cache(4)
@@ -108,8 +115,7 @@ class Pieces:
         docs = len(off) - 1
         full = np.diff(off) > 0
         buf = np.insert(raw, off[:-1][full], 32)
-        shift = np.r_[0, np.cumsum(full)]
-        at = off + shift
+        at = off + np.r_[0, np.cumsum(full)]
         space = buf == 32
         begins = space & np.r_[True, ~space[:-1]][: len(space)]
         begins[at[:-1][full]] = True
@@ -118,6 +124,19 @@ class Pieces:
             return np.zeros(0, np.int64), np.zeros(docs, np.int64)
         stop = np.r_[start[1:], len(buf)]
         doc = np.searchsorted(at, start, "right") - 1
+        salt = T.mix(key[doc].astype(U64) ^ T.mix(np.full(1, seed, U64))) + (start - at[doc]).astype(U64) * U64(0x9E3779B97F4A7C15)
+        ids, count = [], []
+        lo = 0
+        while lo < len(start):  # units are independent, so a very long text is sampled in parts
+            hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + _SLICE, "right")))
+            i, n = self._units(buf, start[lo:hi], stop[lo:hi], salt[lo:hi])
+            ids.append(i)
+            count.append(n)
+            lo = hi
+        return np.concatenate(ids), np.bincount(doc, weights=np.concatenate(count), minlength=docs).astype(np.int64)
+
+    def _units(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the units in order, and how many each has."""
         _, first, inv = np.unique(T.hashes(buf, start, stop), return_index=True, return_inverse=True)
         a, n = start[first], (stop - start)[first]
         base = np.r_[0, np.cumsum(n)]
@@ -127,14 +146,14 @@ class Pieces:
         # a unit's places are its bytes' starts and its end: place = byte + number of units before it
         node_f, node_t = f + unit[f], t + unit[f]
         deep = t - base[:-1][unit[f]]
-        order = np.lexsort((node_t, deep))
+        order = np.lexsort((node_f, node_t, deep))
         node_f, node_t, p, deep = node_f[order], node_t[order], p[order], deep[order]
         places = len(b) + len(n)
         ahead = np.full(places, -np.inf)
         ahead[base[:-1] + np.arange(len(n))] = 0
         w = self.weight[p]
         value = np.empty(len(p))
-        bound = np.searchsorted(deep, np.arange(1, int(deep[-1]) + 2))
+        bound = np.searchsorted(deep, np.arange(1, min(int(deep[-1]), _DEEP) + 2))
         for lo, hi in zip(bound[:-1], bound[1:], strict=True):
             if lo < hi:
                 v = ahead[node_f[lo:hi]] + w[lo:hi]
@@ -142,26 +161,31 @@ class Pieces:
                 cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
                 ahead[to[cut]] = np.logaddexp.reduceat(v, cut)
                 value[lo:hi] = v
+        if bound[-1] < len(p):  # the far places of very long units, few at each depth
+            self._far(node_f, node_t, w, value, ahead, int(bound[-1]))
         # into each place the longest piece, most often the likeliest, comes first
         order = np.lexsort((node_f, node_t))
         node_f, node_t, p = node_f[order], node_t[order], p[order]
-        chance = np.exp(value[order] - ahead[node_t])
-        total = np.cumsum(chance)
         upto = np.cumsum(np.bincount(node_t, minlength=places))
         begin = np.r_[0, upto[:-1]]
-        before = np.r_[0, total][begin]
+        # chances are summed inside each place, so that no sum depends on other units
+        total = np.exp(value[order] - ahead[node_t])
+        turn = np.arange(len(p)) - begin[node_t]
+        by = np.argsort(turn, kind="stable")
+        cuts = np.searchsorted(turn[by], np.arange(1, int(turn.max()) + 2))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            total[by[lo:hi]] += total[by[lo:hi] - 1]
         # backward, all occurrences at once
         here = base[1:][inv] + inv
         root = base[:-1][inv] + inv
         live = np.arange(len(start))
-        salt = T.mix(key[doc].astype(U64) ^ T.mix(np.full(1, seed, U64))) + (start - at[doc]).astype(U64) * U64(0x9E3779B97F4A7C15)
         got: list[tuple] = []
         step = 0
         while len(live):
             u = (T.mix(salt[live] ^ T.mix(np.full(1, step + 1, U64))) >> U64(11)).astype(float) * 2.0**-53
             v = here[live]
-            mass = total[upto[v] - 1] - before[v]
-            aim, e, end = before[v] + u * mass, begin[v], upto[v] - 1
+            e, end = begin[v], upto[v] - 1
+            aim = u * total[end]
             more = np.flatnonzero((total[e] <= aim) & (e < end))
             while len(more):
                 e[more] += 1
@@ -172,7 +196,26 @@ class Pieces:
             step += 1
         who = np.concatenate([g[0] for g in reversed(got)])
         ids = np.concatenate([g[1] for g in reversed(got)])[np.argsort(who, kind="stable")]
-        return ids, np.bincount(doc[who], minlength=docs)
+        return ids, np.bincount(who, minlength=len(start))
+
+    @staticmethod
+    def _far(node_f: np.ndarray, node_t: np.ndarray, w: np.ndarray, value: np.ndarray, ahead: np.ndarray, lo: int) -> None:
+        """The forward pass from edge ``lo`` on, place by place."""
+        places = {int(k): float(ahead[k]) for k in np.unique(node_f[lo:])}
+        v = w[lo:].tolist()
+        at, came, n = 0, node_f[lo:].tolist(), len(v)
+        to = node_t[lo:].tolist()
+        while at < n:
+            k = at
+            while k < n and to[k] == to[at]:
+                v[k] += places[came[k]]
+                k += 1
+            top = max(v[at:k])
+            places[to[at]] = top + log(sum([exp(x - top) for x in v[at:k]]))
+            at = k
+        value[lo:] = v
+        new = np.unique(node_t[lo:])
+        ahead[new] = [places[int(k)] for k in new]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the pieces of one text write."""
