@@ -49,13 +49,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._io import Tables, mapped
+from ._io import PREFIX, Tables, mapped
 
 U64 = T.U64
 #: Members of a group that are compared with the whole group in one round; the rest follow in the next rounds.
 HEADS = 4096
-#: Members of a group that one task compares; a larger group is cut.
-CUT = 5000
+#: Members of a group between two cuts, at least; with many heads it is half as many as these, as each cut gets a copy of the heads.
+CUT = 500
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -149,8 +149,8 @@ def features(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
     return mapped(src, run, "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, bands array<long>, counts binary")
 
 
-def likely(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows of df whose ``on`` may be among keys, by a bit for each hash of a key.
+def likely(df: DataFrame, keys: DataFrame, on: str, mark: str | None = None) -> DataFrame:
+    """The rows of df whose ``on`` may be among keys, by a bit for each hash of a key; with ``mark``, all rows and a column that tells.
 
     The bits are at most 2^27 (16 MB) whatever the number of keys, which bounds what is
     broadcast; the more keys, the less it filters. It spares the shuffle most rows before
@@ -158,10 +158,11 @@ def likely(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """
     place = F.xxhash64(on).bitwiseAND((1 << 27) - 1)
     bit = place.bitwiseAND((1 << 15) - 1)
-    bits = keys.select(F.shiftright(place, 15).alias("_block"), bit.alias("_bit")).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    at = df.withColumn("_block", F.shiftright(place, 15)).join(F.broadcast(bits), "_block")
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return at.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(7))), F.lit(2)) == 1).select(df.columns)
+    bits = keys.select(F.shiftright(place, 15).alias(PREFIX + "block"), bit.alias(PREFIX + "bit")).groupBy(PREFIX + "block").agg(F.bitmap_construct_agg(PREFIX + "bit").alias(PREFIX + "bits"))
+    at = df.withColumn(PREFIX + "block", F.shiftright(place, 15)).join(F.broadcast(bits), PREFIX + "block", "left" if mark else "inner")
+    byte = F.conv(F.hex(F.substring(PREFIX + "bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(7))), F.lit(2)) == 1, F.lit(False))
+    return at.withColumn(mark, hit).select(*df.columns, mark) if mark else at.where(hit).select(df.columns)
 
 
 def linked(n1, n2, both, part: int, whole: int):
@@ -175,7 +176,8 @@ def meet(heads: DataFrame, members: DataFrame, items: DataFrame, prepare, judge)
     ``prepare`` turns a batch's data into a list of arrays with an entry for each row. ``judge(heads, members)``
     takes [rep, label, n, *prepared] of both sides in one group and returns index arrays into both.
     """
-    salts = members.groupBy("g").agg(F.ceil(F.count("*") / CUT).cast("int").alias("salts"))
+    size = members.groupBy("g").agg(F.count("*").alias("m")).join(heads.groupBy("g").agg(F.count("*").alias("k")), "g")
+    salts = size.select("g", F.ceil(F.col("m") / F.greatest(F.lit(CUT), F.col("k") / 2)).cast("int").alias("salts"))
     rest = members.join(salts, "g").select("g", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "rep", "label")
     first = heads.join(salts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "rep", "label")
     both = rest.unionByName(first).join(items, "rep").select("g", "salt", "kind", "rep", "label", "n", "data")
