@@ -3,7 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes each
 stage's result as Parquet in the shared folder and reads it back as the next stage's
 docs, so a lost executor never recomputes an earlier stage. All stages but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and further columns as they are.
+
+A null, empty or very short text fails the quality rules, so it goes in the first stage. A null
+id counts as others do (of fold 0) and is packed under a null id. Repeated rows pass the first two stages
+together; near_dedup keeps one. Very long texts are judged and packed whole. Empty tables give
+no rows; without labels the models give one verdict for all: everything is kept.
 """
 
 from __future__ import annotations
@@ -31,11 +36,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the least doc_id. Rows are told apart by id and text; one without an id stays unless it is a copy."""
+    """Keeps one document of each group: the one with the least doc_id.
+
+    Rows are told apart by id and text; one without an id stays unless it is a copy of a text that has one. Of rows that repeat an
+    id and its text, one stays: the first by its other columns. Rows that nothing touches (told by a bitmap of bounded
+    size) stay where they are, so only copies and the few rows that share a bit with them are shuffled.
+    """
     key, text = PREFIX + "id", PREFIX + "text_hash"
-    kept = neardup.near_duplicates(docs, n=5, similarity=0.8).where("kept").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (neardup.text_hash() == F.col(text))
-    return docs.join(kept, same, "left_semi").select(docs.columns)
+    found = neardup.near_duplicates(docs, n=5, similarity=0.8)
+    groups = found.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).agg(F.bool_or("kept").alias(PREFIX + "kept"), F.count("*").alias(PREFIX + "n"))
+    touched = stored(groups.where(f"not {PREFIX}kept or {PREFIX}n > 1").select(key, text, PREFIX + "kept"), "touched")
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(text, neardup.text_hash())
+    some = neardup.likely(rows, touched, text, PREFIX + "hit")
+    apart = some.where(PREFIX + "hit").alias("r").join(touched.alias("t"), F.expr(f"r.{key} <=> t.{key} AND r.{text} = t.{text}"), "left").select("r.*", f"t.{PREFIX}kept")
+    alone = apart.where(f"{PREFIX}kept is null").select(docs.columns)
+    again = apart.where(PREFIX + "kept").groupBy(key, text).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*").select(docs.columns)
+    return some.where(f"not {PREFIX}hit").select(docs.columns).unionByName(alone).unionByName(again)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
