@@ -25,3 +25,44 @@ def test_near_duplicate_stage_keeps_rows_without_id_and_of_reused_ids(spark):
     rows = [(1, " ".join(a)), (3, " ".join(a[:-1])), (3, q), (None, "a text of its own that has no id at all"), (None, " ".join(a)), (4, None)]
     got = P.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], rows[2], rows[3], rows[5]]))
+
+
+def test_near_duplicate_stage_on_repeated_rows_and_clashing_names(spark):
+    """Of rows that repeat an id and its text one stays, the first by its other columns; further columns stay as they are."""
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, t, "b", True), (1, t, "a", False), (2, t, "c", True), (3, "", "d", None), (3, "", "d", None), (4, "", "e", None), (5, "only this", "f", True)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kept string, n boolean")
+    got = sorted(map(tuple, P.near_duplicate_stage(spark, df, "").collect()))
+    assert got == [(1, t, "a", False), (3, "", "d", None), (4, "", "e", None), (5, "only this", "f", True)]
+    assert P.near_duplicate_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_near_duplicate_stage_equals_plain_sets(spark, data):
+    """Against sets of five words compared pair by pair in plain Python, for pairs that share a shingle."""
+    import re
+    from collections import defaultdict
+
+    docs = table(spark, data, "documents")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets = {}
+    for i, x in rows.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in x))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    by = defaultdict(set)
+    for i, s in sets.items():
+        for g in s:
+            by[g].add(i)
+    top = {i: i for i in rows}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, s in sets.items():
+        for j in {j for g in s for j in by[g] if j > i}:
+            both = len(s & sets[j])
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    assert {r.doc_id for r in P.near_duplicate_stage(spark, docs, data).collect()} == {i for i in rows if find(i) == i}
