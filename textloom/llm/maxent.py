@@ -40,7 +40,9 @@ from ._io import fold, mapped, stored
 
 U64 = T.U64
 BUCKETS = 8192
-FEATURES = 1 << 16
+#: Rows of the hashed weights of classes and of slots.
+FEATURES = 1 << 15
+SLOT_ROWS = 1 << 14
 CLASSES = 16
 #: Slots of a class: one for each of its most frequent words, and shared ones for all others.
 OWN, REST = 24, 8
@@ -92,7 +94,7 @@ def features(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def rows_of(features: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Rows of the slots' weights: each n-gram and skip feature, joined with the class and hashed again."""
-    return (T.mix((features[:3] * CLASSES + y).astype(U64) * U64(0xD6E8FEB86659FD93)) >> U64(48)).astype(np.int64) % FEATURES
+    return (T.mix((features[:3] * CLASSES + y).astype(U64) * U64(0xD6E8FEB86659FD93)) >> U64(48)).astype(np.int64) % SLOT_ROWS
 
 
 def logs(w: np.ndarray, prior: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -190,11 +192,11 @@ def clusters(around: np.ndarray, n: np.ndarray, rounds: int = 12) -> np.ndarray:
     return np.where(n > 0, (x @ c.T).argmax(1), np.arange(BUCKETS) % CLASSES)
 
 
-def scatter(f: np.ndarray, err: np.ndarray) -> np.ndarray:
+def scatter(f: np.ndarray, err: np.ndarray, rows: int) -> np.ndarray:
     """Sums of err's rows by each of their features."""
-    out, at, many = np.empty((err.shape[1], FEATURES)), f.ravel(), len(f)
+    out, at, many = np.empty((err.shape[1], rows)), f.ravel(), len(f)
     for k in range(err.shape[1]):
-        out[k] = np.bincount(at, weights=np.tile(err[:, k], many), minlength=FEATURES)
+        out[k] = np.bincount(at, weights=np.tile(err[:, k], many), minlength=rows)
     return out.T
 
 
@@ -211,14 +213,18 @@ def gradient(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray, slots: Slots, w
         a, b = -np.exp(logs(w, slots.class_prior, f)), -np.exp(logs(v, slots.slot_prior[c], r))
         a[at, c] += 1
         b[at, s[cut]] += 1
-        got = [scatter(f, a), scatter(r, b), np.bincount(f.ravel(), minlength=FEATURES), np.bincount(r.ravel(), minlength=FEATURES)]
+        got = [scatter(f, a, FEATURES), scatter(r, b, SLOT_ROWS), np.bincount(f.ravel(), minlength=FEATURES), np.bincount(r.ravel(), minlength=SLOT_ROWS)]
         total = [x + z for x, z in zip(total, got, strict=True)] if total else got
     return total
 
 
-def train(docs: DataFrame, slots: Slots, steps: int = 8, rate: float = 0.3, damp: float = 4.0, groups: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of classes and of slots. In each step a task sums the gradients of its rows; ``groups`` tasks add those up, so that the driver gets that many."""
-    w, v = np.zeros((FEATURES, CLASSES), np.float32), np.zeros((FEATURES, SLOTS_IN), np.float32)
+def train(docs: DataFrame, slots: Slots, steps: int = 8, rate: float = 0.3, damp: float = 4.0, groups: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and of slots. In each step a task sums the gradients of its rows; ``groups`` tasks add those up, and one more adds theirs, so
+    that the driver gets one table. A step has at most twice as many tasks as the cluster has cores, however large the input is, so
+    that gradients, which have a fixed size, are few.
+    """
+    w, v = np.zeros((FEATURES, CLASSES), np.float32), np.zeros((SLOT_ROWS, SLOTS_IN), np.float32)
+    most = 2 * docs.sparkSession.sparkContext.defaultParallelism
     p, q = np.exp(slots.class_prior), np.exp(slots.slot_prior).mean(0)
     turn = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(steps))
     for step in range(steps):
@@ -239,13 +245,14 @@ def train(docs: DataFrame, slots: Slots, steps: int = 8, rate: float = 0.3, damp
                     got = [np.frombuffer(part.column(k)[row].as_py(), "<f4") for k in range(1, 5)]
                     total = [x + z for x, z in zip(total, got, strict=True)] if total else got
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()]) for x in total], ["a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *(pa.array([x.astype("<f4").tobytes()]) for x in total)], ["g", "a", "b", "c", "d"])
 
-        kinds = "a binary, b binary, c binary, d binary"
-        made = mapped(mapped(docs.where(turn == step).select("text"), run, "g int, " + kinds).repartition(groups, "g"), added, kinds).collect()
+        kinds = "g int, a binary, b binary, c binary, d binary"
+        each = mapped(docs.where(turn == step).select("text").coalesce(most), run, kinds)
+        made = mapped(mapped(each.repartition(groups, "g"), added, kinds).repartition(1), added, kinds).collect()
         if not made:
             continue
-        a, b, c, d = (sum(np.frombuffer(r[k], "<f4") for r in made) for k in "abcd")
+        a, b, c, d = (np.frombuffer(made[0][k], "<f4") for k in "abcd")
         w = w + np.clip(rate * a.reshape(w.shape) / (c[:, None] * p * (1 - p) + damp), -1, 1).astype(np.float32)
         v = v + np.clip(rate * b.reshape(v.shape) / (d[:, None] * q * (1 - q) + damp), -1, 1).astype(np.float32)
     return w, v
