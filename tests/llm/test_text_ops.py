@@ -411,8 +411,9 @@ def test_language_model_trains_on_every_row_and_scores_plainly(spark):
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    lp = maxent.logs(rng.normal(size=(maxent.FEATURES, maxent.CLASSES)), rng.normal(size=maxent.CLASSES), rng.integers(0, maxent.FEATURES, (3, 50)))
-    assert np.allclose(np.exp(lp).sum(1), 1)
+    w, prior, f = rng.normal(size=(maxent.FEATURES, maxent.CLASSES)), rng.normal(size=maxent.CLASSES), rng.integers(0, maxent.FEATURES, (3, 50))
+    each = np.stack([np.exp(maxent.picked(w, prior, f, np.full(50, k))) for k in range(maxent.CLASSES)])
+    assert np.allclose(each.sum(0), 1) and np.allclose(maxent.missed(w, prior, f, np.zeros(50, int))[:, 1:], -each[1:].T)
 
 
 def test_subwords_are_lossless_and_reproducible(spark):

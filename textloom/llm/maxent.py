@@ -41,7 +41,7 @@ from ._io import fold, mapped, stored
 U64 = T.U64
 BUCKETS = 8192
 #: Rows of the hashed weights of classes and of slots.
-FEATURES = 1 << 15
+FEATURES = 1 << 16
 SLOT_ROWS = 1 << 14
 CLASSES = 16
 #: Slots of a class: one for each of its most frequent words, and shared ones for all others.
@@ -97,15 +97,30 @@ def rows_of(features: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (T.mix((features[:3] * CLASSES + y).astype(U64) * U64(0xD6E8FEB86659FD93)) >> U64(48)).astype(np.int64) % SLOT_ROWS
 
 
-def logs(w: np.ndarray, prior: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Natural logs of a softmax: a row for each token. prior: logs, one row or a row for each token."""
+def raised(w: np.ndarray, prior: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all outcomes, a row for each token, and their exponentials. prior: logs, one row or a row for each token.
+
+    Weights are clipped sums of a few steps, so exponentials stay in range.
+    """
     z = w[features[0]]
     for f in features[1:]:
         z += w[f]
     z += prior
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    return z, np.exp(z)
+
+
+def picked(w: np.ndarray, prior: np.ndarray, features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of outcome y of each token."""
+    z, e = raised(w, prior, features)
+    return z[np.arange(len(y)), y] - np.log(e.sum(axis=1))
+
+
+def missed(w: np.ndarray, prior: np.ndarray, features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(outcome is y) - P(outcome), a row for each token."""
+    _, e = raised(w, prior, features)
+    e /= -e.sum(axis=1, keepdims=True)
+    e[np.arange(len(y)), y] += 1
+    return e
 
 
 class Slots:
@@ -195,8 +210,8 @@ def clusters(around: np.ndarray, n: np.ndarray, rounds: int = 12) -> np.ndarray:
 def scatter(f: np.ndarray, err: np.ndarray, rows: int) -> np.ndarray:
     """Sums of err's rows by each of their features."""
     out, at, many = np.empty((err.shape[1], rows)), f.ravel(), len(f)
-    for k in range(err.shape[1]):
-        out[k] = np.bincount(at, weights=np.tile(err[:, k], many), minlength=rows)
+    for k, column in enumerate(np.ascontiguousarray(err.T, float)):
+        out[k] = np.bincount(at, weights=np.tile(column, many), minlength=rows)
     return out.T
 
 
@@ -209,16 +224,13 @@ def gradient(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray, slots: Slots, w
         cut = slice(lo, lo + _ROWS)
         f, c = every[:, cut], y[cut]
         r = rows_of(f, c)
-        at = np.arange(len(c))
-        a, b = -np.exp(logs(w, slots.class_prior, f)), -np.exp(logs(v, slots.slot_prior[c], r))
-        a[at, c] += 1
-        b[at, s[cut]] += 1
+        a, b = missed(w, slots.class_prior, f, c), missed(v, slots.slot_prior[c], r, s[cut])
         got = [scatter(f, a, FEATURES), scatter(r, b, SLOT_ROWS), np.bincount(f.ravel(), minlength=FEATURES), np.bincount(r.ravel(), minlength=SLOT_ROWS)]
         total = [x + z for x, z in zip(total, got, strict=True)] if total else got
     return total
 
 
-def train(docs: DataFrame, slots: Slots, steps: int = 8, rate: float = 0.3, damp: float = 4.0, groups: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, slots: Slots, steps: int = 6, rate: float = 0.3, damp: float = 4.0, groups: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Weights of classes and of slots. In each step a task sums the gradients of its rows; ``groups`` tasks add those up, and one more adds theirs, so
     that the driver gets one table. A step has at most twice as many tasks as the cluster has cores, however large the input is, so
     that gradients, which have a fixed size, are few.
@@ -287,7 +299,7 @@ class Model(NamedTuple):
     v: np.ndarray
 
 
-def learn(docs: DataFrame, most_top: int = 262_144, steps: int = 8) -> Model:
+def learn(docs: DataFrame, most_top: int = 262_144, steps: int = 6) -> Model:
     """Learns from the rows of docs (doc_id, text without nulls) whose fold of 7 is not 2."""
     rows = docs.where(fold("doc_id", 7) != 2)
     counts = stored(word_counts(rows), "counts")
@@ -323,8 +335,8 @@ def lm_scores(docs: DataFrame, most_top: int = 262_144) -> DataFrame:
                 model = np.empty(len(h))
                 for at in range(0, len(h), _ROWS):
                     cut = slice(at, at + _ROWS)
-                    n = np.arange(len(y[cut]))
-                    model[cut] = logs(w, slots.class_prior, every[:, cut])[n, y[cut]] + logs(v, slots.slot_prior[y[cut]], rows_of(every[:, cut], y[cut]))[n, s[cut]]
+                    f, c = every[:, cut], y[cut]
+                    model[cut] = picked(w, slots.class_prior, f, c) + picked(v, slots.slot_prior[c], rows_of(f, c), s[cut])
                 place, ok = T.lookup(top_h, T.signed(h))
                 value = np.where(ok, top_log[place] if len(top_log) else 0.0, 0.0)
                 # logs holds log10(count + 1) of each word, which a word with a slot of its own takes off again
