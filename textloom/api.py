@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .operators import legs, routing
 from .operators.chunking import chunk_records
 from .operators.fusion import context, fuse, slot_key
-from .operators.search import bm25, hybrid, index_stats, postings, vector_top_k, with_fallback
+from .operators.search import bm25, hybrid, index_stats, postings, vector_top_k
 from .plans.planner import features, plan
 from .profile import GENERIC, Profile
 from .providers import hashed_vector
@@ -19,26 +22,47 @@ def build_store(records: DataFrame, key: str, text: str, title: str | None = Non
     return chunks.withColumn("vector", hashed_vector(F.col("chunk_text"), dim))
 
 
-def retrieve(questions: DataFrame, store: DataFrame, law: str, k: int = 6, depth: int = 20, in_force=None, p: Profile = GENERIC, dim: int = 64) -> DataFrame:
+def retrieve(
+    questions: DataFrame, store: DataFrame, law: str, k: int = 6, depth: int = 20, in_force=None, p: Profile = GENERIC, dim: int = 64,
+    title: str = "title", year: str | None = None, seeds: DataFrame | None = None, lexicon: DataFrame | None = None,
+) -> DataFrame:
     """(qid, pos, chunk_id, law_book_id, leg, score). in_force: a predicate of the store, applied before any ranking.
 
-    Legs that no plan names are never computed: each leg's questions are those whose plan has it.
+    Routing evidence (phrases, seeds, cards, citations, aliases, nearest routes) decides a question's shape, scope and legs; each of
+    the six legs runs over the questions whose plan has it and is cut at ``depth``. A question whose only legs find
+    nothing gets the hybrid leg under their name, so that every plan has rows.
     """
-    rows = store.where(in_force) if in_force is not None else store
-    plans = plan(features(questions, "question", p), k).persist()  # a row a question; five places read it
+    some = store.where(in_force) if in_force is not None else store
+    text = lambda c: F.col(c).cast("string") if c and c in store.columns else F.lit(None).cast("string")
+    rows = some.select("chunk_id", F.col(law).cast("bigint").alias("law"), text(title).alias("title"), text(year).alias("year"), "article_arr", "chunk_text", "vector")
+    asked = questions.select("qid", "question", hashed_vector(F.col("question"), dim).alias("qvec"))
+    registry = routing.registry_of(rows, "law", p)
+    routes = registry.select("law_book_id", hashed_vector(F.col("title"), dim).alias("vector"))
+    known = routing.evidence(asked, registry, routes, seeds, lexicon, p)
+    plans = plan(features(known, "question", p), k).withColumn("scope", F.col("scope_doc_ids")).persist()  # a row a question; each leg reads it
     wants = lambda leg: plans.where(F.exists("legs", lambda x: x["name"] == leg))
-    q = wants("hybrid").select("qid", "question", hashed_vector(F.col("question"), dim).alias("qvec"))
     index = postings(rows, "chunk_id", "chunk_text")
-    text_hits = bm25(q, index, index_stats(rows, "chunk_text"), depth)
-    near = vector_top_k(q, rows, depth)
-    mixed = hybrid(text_hits, near, depth).select("qid", "chunk_id", "rank")
-    legs = with_fallback(mixed, near.select("qid", "chunk_id", "rank")).select("qid", F.lit("hybrid").alias("leg"), (F.col("rank") - 1).alias("rank"), "chunk_id")
-    cited = wants("article_exact").where("article_label is not null").select("qid", "article_label")
-    exact = rows.select("chunk_id", law, F.explode("article_arr").alias("article_label")).join(cited, "article_label")
-    exact = exact.select("qid", "chunk_id").distinct().withColumn("rank", F.lit(0)).select("qid", F.lit("article_exact").alias("leg"), "rank", "chunk_id")
-    hits = legs.unionByName(exact).join(rows.select("chunk_id", F.col(law).cast("bigint").alias("law_book_id"), "article_arr"), "chunk_id")
-    hits = hits.withColumn("key", slot_key(F.col("law_book_id"), F.lit(None).cast("string"), F.col("article_arr"), F.col("chunk_id")))
-    return fuse(hits, plans.select("qid", "k", "max_per_law", "legs"))
+    near = vector_top_k(asked.select("qid", "qvec"), rows, depth)
+    mixed = hybrid(bm25(asked, index, index_stats(rows, "chunk_text"), depth), near, depth)
+    found = [
+        legs.article_leg(wants("article_exact"), rows, "law", depth),
+        legs.scoped_leg(wants("law_scoped"), rows, "law", depth),
+        legs.title_leg(wants("title_like"), rows, "law", depth, p),
+        legs.defining_leg(wants("defining_articles"), rows, "law", depth),
+        legs.scoped_leg(wants("card_route").select("qid", "qvec", F.array_distinct(F.concat("card_ids", "phrase_ids", "seed_ids")).alias("scope")), rows, "law", depth, "card_route", each=1),
+    ]
+    hits = reduce(DataFrame.unionByName, found).withColumn("spare", F.lit(False))
+    # the hybrid ranking is a leg of its own, and a spare for the first leg of a plan whose legs find nothing
+    names = plans.select("qid", F.transform("legs", lambda x: x["name"]).alias("names"))
+    use = F.when(F.array_contains("names", "hybrid"), F.array(F.struct(F.lit("hybrid").alias("leg"), F.lit(False).alias("spare")))).otherwise(F.array(F.struct(F.get("names", F.lit(0)).alias("leg"), F.lit(True).alias("spare"))))
+    general = mixed.join(names, "qid").select("qid", "chunk_id", (F.col("rank") - 1).cast("int").alias("rank"), F.explode(F.array_distinct(use)).alias("u"))
+    hits = hits.unionByName(general.select("qid", "u.leg", "rank", "chunk_id", "u.spare"))
+    hits = hits.withColumn("bare", F.min("spare").over(Window.partitionBy("qid"))).where("not spare or bare")
+    full = hits.join(rows.select("chunk_id", F.col("law").alias("law_book_id"), "article_arr"), "chunk_id")
+    full = full.withColumn("key", slot_key(F.col("law_book_id"), F.lit(None).cast("string"), F.col("article_arr"), F.col("chunk_id")))
+    # comparisons of several laws give each law of the scope a place first
+    sure = plans.where("shape = 'MULTI_INSTRUMENT'").select("qid", F.posexplode("scope").alias("slot", "law_book_id"))
+    return fuse(full, plans.select("qid", "k", "max_per_law", "legs"), sure)
 
 
 def contexts(fused: DataFrame, store: DataFrame, title: str) -> DataFrame:

@@ -94,9 +94,19 @@ def nested(edges: DataFrame, replaced: DataFrame, rows: DataFrame, key: str = "l
     return both.withColumn("builder_version", F.lit(version))
 
 
-def warnings(hits: DataFrame, edges: DataFrame, by: str, key: str = "law_book_id", most: int = 12, shown: int = 6) -> DataFrame:
-    """First hit of each amended law with its amenders (at most ``most``) as a text with "+n"."""
-    first = hits.groupBy(by, key).agg(F.min("pos").alias("pos"))
-    named = edges.groupBy(F.col("base").alias(key)).agg(F.slice(F.sort_array(F.collect_set("amender")), 1, most).alias("amenders"))
-    more = F.size("amenders") - shown
-    return first.join(named, key).withColumn("warning", F.concat(F.array_join(F.slice(F.transform("amenders", lambda a: a.cast("string")), 1, shown), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise("")))
+def warnings(hits: DataFrame, links: DataFrame, by: str, amended: str = "A", amending: str = "B", key: str = "law_book_id", most: int = 12, shown: int = 6) -> DataFrame:
+    """One warning for each flagged law among a question's hits, in order of its first hit: by, pos, key, warning.
+
+    hits: ``by``, pos, key, title, law_flag. links: ``nested`` rows. A law flagged ``amended`` lists its amenders newest first
+    (at most ``most``, the first ``shown`` by title and year, then "(+n)"); without known amenders, and for laws flagged ``amending``, the
+    warning is the title with the flag.
+    """
+    flagged = hits.where(F.trim("law_flag").isin(amended, amending))
+    first = flagged.groupBy(by, key).agg(F.min(F.struct("pos", F.coalesce("title", F.lit("")).alias("title"), F.trim("law_flag").alias("flag"))).alias("h"))
+    known = first.join(links.select(F.col("base").alias(key), F.slice("amended_by", 1, most).alias("_a")), key, "left")
+    name = lambda a: F.concat(F.substring(F.coalesce(a["title"], F.lit("")), 1, 70), F.when(F.coalesce(a["year"], F.lit("")) != "", F.concat(F.lit(" ("), a["year"], F.lit(")"))).otherwise(""))
+    names = F.array_join(F.transform(F.slice("_a", 1, shown), name), "; ")
+    more = F.when(F.size("_a") > shown, F.concat(F.lit(" (+"), (F.size("_a") - shown).cast("string"), F.lit(")"))).otherwise("")
+    head = F.concat(F.substring("h.title", 1, 120), F.lit(" ["), F.col("h.flag"), F.lit("]"))
+    listed = (F.col("h.flag") == amended) & (F.coalesce(F.size("_a"), F.lit(0)) > 0)
+    return known.select(by, F.col("h.pos").alias("pos"), key, F.when(listed, F.concat(head, F.lit("\n"), names, more)).otherwise(head).alias("warning"))

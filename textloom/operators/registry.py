@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alias_score, dangerous_alias, instrument_phrases, normalize, phrase_fit, title_aliases, title_penalty
 from ..profile import GENERIC, Profile
-from .search import near_best, top_k
+from .search import holding, near_best, top_k
 from .upsert import last_wins
 
 
@@ -49,9 +49,10 @@ def grams(words, most: int):
     return F.array_distinct(F.concat(*[F.when(F.size(words) >= n, one(n)).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1)]))
 
 
-def lexicon_hits(questions: DataFrame, lex: DataFrame, p: Profile = GENERIC, least: int = 8, within: float = 3.0, first: int = 12, qid: str = "qid", text: str = "question", key: str = "law_book_id", most_words: int = 8) -> DataFrame:
+def lexicon_hits(questions: DataFrame, lex: DataFrame, p: Profile = GENERIC, least: int = 8, within: float = 3.0, first: int = 12, qid: str = "qid", text: str = "question", key: str = "law_book_id") -> DataFrame:
     """(qid, key, score, rank). Aliases of whole words meet the question's word runs in an equi-join, so a large lexicon is
-    never compared with every question."""
+    never compared with every question. Runs are as long as the lexicon's longest alias."""
+    most_words = lex.agg(F.max(F.size(F.split("alias_norm", " ")))).first()[0] or 1
     q = questions.withColumn("_q", normalize(text, p)).withColumn("alias_norm", F.explode(grams(F.split("_q", " "), most_words)))
     met = q.where(F.length("alias_norm") >= least).join(lex, "alias_norm").withColumn("_s", alias_score(F.col("alias_norm"), normalize("title", p), F.col("_q"), p, least)).where("_s > 0")
     best = met.groupBy(qid, key).agg(F.max("_s").alias("score"))
@@ -65,7 +66,7 @@ def seed_hits(questions: DataFrame, registry: DataFrame, seeds: DataFrame, p: Pr
     fired = q.join(F.broadcast(s), F.col("_q").contains(F.col("_a")))
     rule = fired.groupBy(qid, "_q", "rule_id", "_n").agg(F.max_by("_a", F.struct(F.length("_a"), "_a")).alias("_a"))
     r = registry.select(key, normalize("title", p).alias("_t"), F.coalesce(F.col("year").try_cast("int"), F.lit(0)).alias("_y"))
-    met = r.join(rule, F.col("_t").contains(F.col("_n")))
+    met = holding(r, rule, "_t", "_n")
     score = F.length("_a") + F.col("_y") / 200.0 + phrase_fit(F.col("_t"), F.col("_a")) - title_penalty(F.col("_t"), F.col("_q"), p)
     best = met.withColumn("_s", score).where("_s > 0").groupBy(qid, key).agg(F.round(F.max("_s"), 6).alias("score"))
     return top_k(best, qid, [F.desc("score"), F.desc(key)], limit)
@@ -76,7 +77,10 @@ def phrase_hits(questions: DataFrame, registry: DataFrame, p: Profile = GENERIC,
     q = questions.select(qid, normalize(text, p).alias("_q"), F.explode(instrument_phrases(text, p)).alias("_p"))
     r = registry.select(key, normalize("title", p).alias("_t"), F.coalesce(F.col("year").try_cast("int"), F.lit(0)).alias("_y"), F.filter(F.transform(F.slice("aliases", 1, 6), lambda a: normalize(a, p)), lambda a: F.length(a) >= 6).alias("_al"))
     hit = F.get(F.filter("_al", lambda a: F.col("_p").contains(a) | a.contains(F.col("_p"))), F.lit(0))
-    met = r.join(q, F.col("_t").contains(F.col("_p")) | F.exists("_al", lambda a: F.col("_p").contains(a) | a.contains(F.col("_p"))))
+    p1, al = q.select("_p").distinct(), r.select(key, F.explode("_al").alias("_a"))
+    pairs = holding(r.select(key, "_t"), p1, "_t", "_p").select(key, "_p")
+    pairs = pairs.unionByName(holding(al, p1, "_a", "_p").select(key, "_p")).unionByName(holding(p1, al, "_p", "_a").select(key, "_p")).distinct()
+    met = q.join(pairs, "_p").join(r, key)
     size = F.when(F.col("_t").contains(F.col("_p")), F.length("_p")).otherwise(F.least(F.length(hit), F.length("_p")))
     score = size + F.col("_y") / 200.0 + phrase_fit(F.col("_t"), F.col("_p")) - title_penalty(F.col("_t"), F.col("_q"), p)
     best = met.withColumn("_s", score).where("_s > 0").groupBy(qid, key).agg(F.round(F.max("_s"), 6).alias("score"))

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 RRF = 60
+#: Questions that are shipped with a task as one matrix; more of them meet the rows in a join.
+BLOCK = 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,6 +38,10 @@ def vector_top_k(questions: DataFrame, rows: DataFrame, k: int, where: Column |
     Questions are the stated, small side of the comparison; the first k of a question on each partition leave it.
     """
     some = rows.where(where) if where is not None else rows
+    if exclude is None:
+        asked = questions.select(qid, qvec).limit(BLOCK + 1).toArrow()
+        if len(asked) <= BLOCK:
+            return _matrix_top_k(asked, questions, some, k, qid, key, vec)
     norm = F.sqrt(dot(F.col(vec), F.col(vec)))
     left = some.select(key, F.col(vec).alias("_v"), norm.alias("_vn"))
     right = questions.select(qid, F.col(qvec).alias("_q"), F.sqrt(dot(F.col(qvec), F.col(qvec))).alias("_qn"))
@@ -37,6 +50,65 @@ def vector_top_k(questions: DataFrame, rows: DataFrame, k: int, where: Column |
     return top_k(both.select(qid, key, F.round(d, 6).alias("distance")), qid, [F.col("distance"), F.col(key)], k)
 
 
+def vectors(col: pa.Array, dim: int) -> np.ndarray:
+    """A matrix of the vectors; a null or one of another length reads as zeros."""
+    out = np.zeros((len(col), dim))
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    size = np.asarray(pc.fill_null(pc.list_value_length(col), 0))
+    flat = np.asarray(pc.fill_null(pc.list_flatten(col), float("nan")), float)
+    at = np.r_[0, np.cumsum(size)]
+    ok = size == dim
+    if ok.any() and dim:
+        out[ok] = flat[(at[:-1][ok][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
+    return out
+
+
+def _matrix_top_k(asked: pa.Table, questions: DataFrame, rows: DataFrame, k: int, qid: str, key: str, vec: str) -> DataFrame:
+    """The same by a matrix product of each batch with the questions (at most BLOCK, shipped with the task); a batch gives each
+    question's first k, and those that may tie with them after rounding."""
+    dim = int(pc.max(pc.list_value_length(asked[1])).as_py() or 0) if len(asked) else 0
+    q = vectors(asked[1], dim) if len(asked) else np.zeros((0, 0))
+    q_norm = np.linalg.norm(q, axis=1)
+    names = asked[0].combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not len(q):
+                continue
+            v = vectors(b.column(1), dim)
+            both = np.linalg.norm(v, axis=1) * q_norm[:, None]
+            d = np.where(both > 0, 1 - (q @ v.T) / np.where(both > 0, both, 1), 1.0)
+            d = np.where(np.isnan(d), 1.0, d)
+            last = np.partition(d, min(k, b.num_rows) - 1, axis=1)[:, min(k, b.num_rows) - 1 : min(k, b.num_rows)]
+            i, j = np.nonzero(d <= last + 1e-6)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(d[i, j])], [qid, key, "distance"])
+
+    schema = f"`{qid}` {questions.schema[qid].dataType.simpleString()}, `{key}` {rows.schema[key].dataType.simpleString()}, distance double"
+    ship(rows.sparkSession)
+    found = rows.select(key, vec).mapInArrow(run, schema)
+    return top_k(found.withColumn("distance", F.round("distance", 6)), qid, [F.col("distance"), F.col(key)], k).select(qid, key, "distance", "rank")
+
+
+def grams_of(c: Column, n: int = 3) -> Column:
+    """The distinct runs of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
+
+
+def holding(hays: DataFrame, needles: DataFrame, hay: str, needle: str) -> DataFrame:
+    """Pairs of rows whose ``hay`` contains ``needle`` (of three characters or more), with the columns of both.
+
+    A needle meets only the texts that hold its rarest run of three characters: an equi-join, not every pair. Their
+    columns must have different names.
+    """
+    keys = [c for c in needles.columns if c != needle]
+    h = hays.withColumn("_g", F.explode(grams_of(F.col(hay))))
+    n = needles.where(F.length(needle) >= 3).select(*keys, needle, F.explode(grams_of(F.col(needle))).alias("_g"))
+    often = h.join(n.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_often"))
+    # a run that no text holds is the rarest of all, and its needle meets nothing
+    best = n.join(often, "_g", "left").groupBy(*keys, needle).agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), "_g")).alias("_rarest")).where("_rarest.often > 0")
+    return h.join(best.withColumn("_g", F.col("_rarest._g")).drop("_rarest"), "_g").where(F.col(hay).contains(F.col(needle))).drop("_g")
+
+
 def terms(c: Column) -> Column:
     """Lower-cased runs of letters and digits; no stemming, no stop words."""
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +29,15 @@ class Chat(Protocol):
 
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
-    """A bag of hashed words as a vector: the offline stand-in for an embedding model, without Python."""
-    slots = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    # bound by an outer lambda, so that the words are split and hashed once and not for each place
-    count = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(own, lambda s: s == k)).cast("float"))
-    return F.get(F.transform(F.array(slots), count), F.lit(0))
+    """A bag of hashed words as a vector: the offline stand-in for an embedding model. Words are hashed in the JVM and counted in Arrow batches."""
+
+    @F.pandas_udf("array<float>")
+    def counted(slots: pd.Series) -> pd.Series:
+        n = np.array([len(s) for s in slots], np.int64)
+        at = np.repeat(np.arange(len(n)) * dim, n) + (np.concatenate(list(slots)) if n.sum() else np.zeros(0, np.int64))
+        return pd.Series(list(np.bincount(at.astype(np.int64), minlength=len(n) * dim).astype(np.float32).reshape(len(n), dim)))
+
+    return counted(F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")))
 
 
 def embedded(df: DataFrame, text: str, provider: Embedder, to: str = "vector", batch: int = 64, cap: int = 6000) -> DataFrame:

@@ -62,15 +62,36 @@ def write_json(df: DataFrame, path: str, append: bool = False, single: bool = Fa
 
 
 def write_atomic(df: DataFrame, path: str) -> None:
-    """Replaces a table by a rename, so that readers see the old or the new one, and df may read from the old one."""
+    """Replaces a table by two renames: the old one aside, the new one in its place. df may read from the old one.
+
+    A failed second rename puts the old one back. After a crash in between, the next call (or ``recover``) does so.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(path + "._new"), jvm.org.apache.hadoop.fs.Path(path)
-    df.write.mode("overwrite").parquet(path + "._new")
+    new, old, aside = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("._new", "", "._old"))
     fs = old.getFileSystem(conf)
-    fs.delete(old, True)
+    recover(spark, path)
+    df.write.mode("overwrite").parquet(path + "._new")
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"can't move {path} aside")
     if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
         raise OSError(f"can't rename to {path}")
+    fs.delete(aside, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends what a crash inside ``write_atomic`` left: the old table goes back if no new one took its place."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old, aside = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", "._old"))
+    fs = old.getFileSystem(conf)
+    if fs.exists(aside):
+        if fs.exists(old):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, old)
 
 
 def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

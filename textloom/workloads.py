@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import api
 from .functions import text as T
 from .functions import web
-from .operators import articles, chunking, fusion, links, registry, reports, search, upsert
+from .operators import articles, chunking, fusion, legs, links, registry, reports, routing, search, upsert
 from .plans import planner
 from .profile import GENERIC
 from .streaming import jobs
@@ -349,13 +349,15 @@ def postings_index(spark, d):
     return search.postings(read(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-_HYBRID = f"WITH {_BM25}, v AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY x, chunk_id) AS rank FROM (SELECT b.qid, b.chunk_id, (b.chunk_id * 7919 + b.qid) % 1000 AS x FROM b WHERE rank <= 30)), h AS (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS relevance FROM (SELECT qid, chunk_id, rank FROM b WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, rank FROM v WHERE rank <= 20) GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, chunk_id) AS rank FROM h)"
+_HYBRID = f"WITH {_BM25}, v AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY distance, chunk_id) AS rank FROM (SELECT item_id AS qid, v.vec_id AS chunk_id, {_DIST} AS distance FROM benchmark JOIN embeddings q ON q.vec_id = item_id CROSS JOIN embeddings v)), h AS (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS relevance FROM (SELECT qid, chunk_id, rank FROM b WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, rank FROM v WHERE rank <= 20) GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, chunk_id) AS rank FROM h)"
 
 
 def _hybrid(spark, d):
-    b = _bm25(spark, d, 30)
-    other = search.top_k(b.select("qid", "chunk_id", ((F.col("chunk_id") * 7919 + F.col("qid")) % 1000).alias("x")), "qid", [F.col("x"), F.col("chunk_id")], 20)
-    return search.hybrid(b.where("rank <= 20"), other, 6), other
+    """Each question's vector is that of the embedding with its id; documents' vectors are those with theirs."""
+    e = read(spark, d, "embeddings")
+    q = read(spark, d, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("qvec"))
+    near = search.vector_top_k(q, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), 20)
+    return search.hybrid(_bm25(spark, d, 20), near, 6), near
 
 
 @query(_HYBRID + " SELECT qid, chunk_id, relevance, rank FROM o WHERE rank <= 6")
@@ -369,6 +371,81 @@ def hybrid_fallback(spark, d):
     return search.with_fallback(first.where("qid % 2 = 0").select("qid", "chunk_id", "rank"), second.select("qid", "chunk_id", "rank")).withColumn("rank", F.col("rank").cast("long"))
 
 
+# --- legs ---
+def _leg_sql(leg: str, where: str, order: str, limit: int) -> str:
+    return f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), m AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, v.label AS law, v.vec_id % 5 AS art, {_DIST} AS d FROM q CROSS JOIN embeddings v WHERE {where})
+ SELECT qid, '{leg}' AS leg, rank - 1 AS rank, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {order}) AS rank FROM m) WHERE rank <= {limit}"""
+
+
+def _leg_rows(spark, d):
+    e = read(spark, d, "embeddings")
+    article = F.array((F.col("vec_id") % 5).cast("string"))
+    rows = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("bigint").alias("law"), F.lit("").alias("title"), (2000 + F.col("label")).cast("string").alias("year"), article.alias("article_arr"), F.repeat(F.lit("x"), (F.col("vec_id") % 3).cast("int")).alias("chunk_text"), F.col("embedding").alias("vector"))
+    scope = F.when(F.col("vec_id") % 200 == 0, F.array(F.col("label").cast("bigint"), (F.col("label") + 1).cast("bigint") % 10)).otherwise(F.array().cast("array<bigint>"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), scope.alias("scope"), F.lit("3").alias("article_label"))
+    return asked, rows
+
+
+def _ranks(df):
+    return df.withColumn("rank", F.col("rank").cast("long"))
+
+
+_IN_SCOPE = "v.label IN (q.label, (q.label + 1) % 10)"
+
+
+@query(_leg_sql("law_scoped", f"q.vec_id % 200 = 0 AND {_IN_SCOPE}", "d, chunk_id", 6))
+def leg_law_scoped(spark, d):
+    asked, rows = _leg_rows(spark, d)
+    return _ranks(legs.scoped_leg(asked, rows, "law", 6))
+
+
+@query(_leg_sql("article_exact", f"v.vec_id % 5 = 3 AND (q.vec_id % 200 <> 0 OR {_IN_SCOPE})", "d, chunk_id", 4))
+def leg_article_exact(spark, d):
+    asked, rows = _leg_rows(spark, d)
+    return _ranks(legs.article_leg(asked, rows, "law", 4))
+
+
+_POINTS = "CASE WHEN qid % 200 <> 0 THEN 0 ELSE CASE art WHEN 1 THEN -5 WHEN 2 THEN -3 ELSE -1 END END, CASE WHEN qid % 200 <> 0 THEN 0 ELSE -law END, CASE WHEN qid % 200 <> 0 THEN 0 ELSE chunk_id % 3 END, d, chunk_id"
+
+
+@query(_leg_sql("defining_articles", f"v.vec_id % 5 IN (1, 2, 3) AND (q.vec_id % 200 <> 0 OR {_IN_SCOPE})", _POINTS, 5))
+def leg_defining_articles(spark, d):
+    asked, rows = _leg_rows(spark, d)
+    return _ranks(legs.defining_leg(asked, rows, "law", 5))
+
+
+@query(f"WITH t AS ({_leg_sql('card_route', f'q.vec_id % 200 = 0 AND {_IN_SCOPE}', 'd, chunk_id', 1000000)}), o AS (SELECT t.*, row_number() OVER (PARTITION BY qid, label ORDER BY rank) AS r FROM t JOIN embeddings ON vec_id = chunk_id) SELECT qid, leg, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS rank, chunk_id FROM o WHERE r = 1")
+def leg_card_route(spark, d):
+    """The nearest chunk of each law of the scope."""
+    asked, rows = _leg_rows(spark, d)
+    return _ranks(legs.scoped_leg(asked, rows, "law", 6, "card_route", each=1))
+
+
+@query("WITH n AS (SELECT DISTINCT substring(lower(p_name), 2, 6) AS needle FROM part) SELECT p_partkey, needle FROM part JOIN n ON contains(lower(p_name), needle)")
+def title_holding(spark, d):
+    """Titles that contain a needle, by the needle's rarest three characters and not pair by pair."""
+    p = read(spark, d, "part").select("p_partkey", F.lower("p_name").alias("title"))
+    needles = p.select(F.substring("title", 2, 6).alias("needle")).distinct()
+    return search.holding(p, needles, "title", "needle").select("p_partkey", "needle")
+
+
+@query("""WITH q AS (SELECT r_regionkey AS qid, 'the law of ' || (SELECT min(lower(p_name)) FROM part) AS t FROM region), r AS (SELECT p_partkey AS law, lower(p_name) AS n FROM part WHERE length(trim(p_name)) >= 4)
+ SELECT qid, CAST(max(length(n)) AS BIGINT) AS alias_len FROM q JOIN r ON contains(t, n) GROUP BY 1""")
+def routing_longest_alias(spark, d):
+    first = read(spark, d, "part").agg(F.min(F.lower("p_name")).alias("first"))
+    q = read(spark, d, "region").crossJoin(F.broadcast(first)).select(F.col("r_regionkey").alias("qid"), F.concat(F.lit("the law of "), "first").alias("question"))
+    laws = read(spark, d, "part").select(F.col("p_partkey").alias("law_book_id"), F.array("p_name").alias("aliases"))
+    return routing.longest_alias(q, laws).select("qid", F.col("alias_len").cast("long").alias("alias_len"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS law, CAST(o_custkey AS VARCHAR) AS num, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders)
+ SELECT DISTINCT c_custkey AS qid, law AS law_book_id FROM customer JOIN a ON num = CAST(c_custkey AS VARCHAR) AND y = CAST(1992 + c_custkey % 7 AS VARCHAR)""")
+def routing_cited_laws(spark, d):
+    laws = read(spark, d, "orders").select(F.col("o_orderkey").alias("law_book_id"), F.concat(F.lit("Item no. "), F.col("o_custkey").cast("string"), F.lit(" of "), F.year("o_orderdate").cast("string")).alias("title"))
+    q = read(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("what says no. "), F.col("c_custkey").cast("string"), F.lit(" of "), (1992 + F.col("c_custkey") % 7).cast("string"), F.lit("?")).alias("question"))
+    return routing.cited_laws(q, laws).select("qid", "law_book_id")
+
+
 # --- scored matching ---
 @query("SELECT p_brand, p_partkey, p_size FROM (SELECT *, max(p_size) OVER (PARTITION BY p_brand) AS b FROM part) WHERE p_size >= b - 3")
 def near_best_filter(spark, d):
@@ -615,7 +692,7 @@ def article_index_roles(spark, d):
 
 @query()
 def ask_end_to_end(spark, d):
-    """Flagship: in-force documents are chunked and indexed; each benchmark question is planned, retrieved over two legs and fused."""
+    """Flagship: in-force documents are chunked and indexed; each benchmark question is routed, planned, retrieved over six legs and fused."""
     docs = inforce_filter(spark, d).select("doc_id").join(read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("title")), "doc_id")
     store = api.build_store(docs, "doc_id", "text").persist()  # each leg reads it
     questions = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"))
