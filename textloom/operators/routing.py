@@ -26,8 +26,9 @@ def longest_alias(questions: DataFrame, registry: DataFrame, p: Profile = GENERI
 
 def cited_laws(questions: DataFrame, registry: DataFrame, p: Profile = GENERIC) -> DataFrame:
     """(qid, law_book_id) of the laws whose title has the number and year that a question cites; whole numbers are compared."""
-    own = registry.select("law_book_id", F.explode(citations("title", p)).alias("c")).select("law_book_id", "c.num", "c.year").distinct()
-    asked = questions.select("qid", first_citation("question", p).alias("c")).where("c is not null").select("qid", "c.num", "c.year")
+    text = lambda c: F.lower(c) if p.lower else F.col(c)
+    own = registry.select("law_book_id", F.explode(citations(text("title"), p)).alias("c")).select("law_book_id", "c.num", "c.year").distinct()
+    asked = questions.select("qid", first_citation(text("question"), p).alias("c")).where("c is not null").select("qid", "c.num", "c.year")
     return asked.join(own, ["num", "year"]).select("qid", "law_book_id")
 
 
