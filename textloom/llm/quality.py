@@ -114,9 +114,10 @@ def fit(rows: list[tuple[str, int]], share: float, steps: int = 60, rate: float
             n = np.bincount(doc, minlength=hi - lo)
             key, c = np.unique(doc * BUCKETS + ids, return_counts=True)
             d = key // BUCKETS
-            parts[g].append((d + at, key % BUCKETS + g * BUCKETS, (SCALE * c / n[d]).astype(np.float32)))
+            parts[g].append(((d + at).astype(np.int32), (key % BUCKETS + g * BUCKETS).astype(np.int32), (SCALE * c / n[d]).astype(np.float32)))
         at = hi
     doc, ids, x = (np.concatenate([p[k] for g in parts for p in g]) for k in range(3))
+    del parts
     calibrate = np.arange(len(y)) % 5 == 4
     weight = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
     learn = ~calibrate
