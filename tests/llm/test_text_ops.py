@@ -206,6 +206,46 @@ def test_learners_generalise_on_held_out_labels(spark):
     assert (lang.lang_pred == lang.lang).mean() > 0.97
 
 
+def test_toxicity_scores_equal_plain_loops():
+    """Distinct 1-, 2- and skip-grams of words, FTRL-proximal step by step and its score, by dictionaries."""
+    import re
+    from math import exp, sqrt
+
+    rng = random.Random(5)
+    vocab = "idiot fool nice day sun rain tree house".split()
+    rows = [(" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 8))), rng.randint(0, 1)) for _ in range(60)]
+    model = toxicity.fit(rows, 0.5, epochs=2, least_docs=2)
+
+    def grams(t):
+        w = re.findall("[a-z0-9]+", t)
+        return {(1, x) for x in w} | {(2, a, b) for a, b in zip(w, w[1:])} | {(3, a, b) for a, b in zip(w, w[2:])}  # noqa: B905
+
+    n_docs = Counter(g for t, _ in rows for g in grams(t))
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        s = max(abs(z[k]) - 1, 0)
+        return -np.sign(z[k]) * s / ((1 + sqrt(n[k])) / 0.3 + 1)
+
+    active = lambda t: [g for g in grams(t) if n_docs[g] >= 2] + ["bias"]
+    order = np.random.default_rng(3).permutation([i for i in range(len(rows)) if i % 5 != 4])
+    for _ in range(2):
+        for i in order:
+            t, y = rows[i]
+            w = {k: weight(k) for k in active(t)}
+            g = 1 / (1 + exp(-sum(w.values()))) - y
+            for k in w:
+                z[k] += g - (sqrt(n[k] + g * g) - sqrt(n[k])) / 0.3 * w[k]
+                n[k] += g * g
+    raw = [sum(weight(k) for k in active(t)) for t, _ in rows]
+    held = np.arange(len(rows)) % 5 == 4
+    y = np.array([v for _, v in rows], float)
+    share = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    a, b = toxicity.platt(np.array(raw)[held], y[held], share[held])
+    got = toxicity.score(model, pa.array([t for t, _ in rows]))
+    assert np.allclose(got, [1 / (1 + exp(-(a * x + b))) for x in raw], atol=1e-9) and np.std(got) > 0.01
+
+
 def test_chain_marginals_equal_enumeration():
     import itertools
 

@@ -73,23 +73,28 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = 4, least_docs:
         f, d = f[order], d[order]
         new = np.r_[True, (f[1:] != f[:-1]) | (d[1:] != d[:-1])] if len(f) else np.zeros(0, bool)
         found.append(f[new])
-        doc.append(d[new] + at)
+        doc.append((d[new] + at).astype(np.int32))
         at = hi
     f, d = np.concatenate(found), np.concatenate(doc)
+    del found, doc
     keys, n = np.unique(f, return_counts=True)
     keys = keys[n >= least_docs]
     place, ok = T.lookup(keys, f)
-    place, d = place[ok], d[ok]
+    place, d = place[ok].astype(np.int32), d[ok]
+    del f, n, ok
     bound = T.per_doc(d, len(y))
     calibrate = np.arange(len(y)) % 5 == 4
     learner = Ftrl(len(keys) + 1)
     order = np.random.default_rng(3).permutation(np.flatnonzero(~calibrate))
-    row = [np.r_[place[bound[i] : bound[i + 1]], len(keys)] for i in range(len(y))]
+
+    def row(i: int) -> np.ndarray:
+        return np.r_[place[bound[i] : bound[i + 1]], len(keys)]
+
     for _ in range(epochs):
         for i in order:
-            learner.step(row[i], y[i])
+            learner.step(row(i), y[i])
     w = learner.weights(np.arange(len(keys) + 1))
-    z = np.array([w[r].sum() for r in row])
+    z = np.array([w[row(i)].sum() for i in range(len(y))])
     weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
     a, b = platt(z[calibrate], y[calibrate], weight[calibrate])
     some = np.flatnonzero(w[:-1])
