@@ -101,36 +101,50 @@ def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
     return max(float(t[0]), 1e-3), float(t[1])
 
 
+def sparse(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By group: the distinct buckets of each document in turn, their scaled relative frequencies, and each document's bounds."""
+    docs, out = len(off) - 1, []
+    for ids, doc in items(buf, off):
+        n = np.bincount(doc, minlength=docs)
+        key, c = np.unique(doc * BUCKETS + ids, return_counts=True)
+        d = key // BUCKETS
+        out.append(((key % BUCKETS).astype(np.uint16), (SCALE * c / n[d]).astype(np.float32), T.per_doc(d, docs)))
+    return out
+
+
+def sums(w: np.ndarray, bias: float, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The logits of a block's documents; w holds the groups' weights one after another."""
+    z = np.full(len(groups[0][2]) - 1, bias)
+    for k, (ids, x, bound) in enumerate(groups):
+        total = np.concatenate([[0.0], np.cumsum(w[k * BUCKETS : (k + 1) * BUCKETS][ids] * x)])
+        z += total[bound[1:]] - total[bound[:-1]]
+    return z
+
+
 def fit(rows: list[tuple[str, int]], share: float, steps: int = 60, rate: float = 0.05, l2: float = 1e-6) -> dict:
     """rows: (text, label); share: of label 1 among all labelled rows."""
     if len({y for _, y in rows}) < 2:
         constant = float(rows[0][1]) if rows else 1.0
         return {"w": [np.zeros(BUCKETS, np.float32)] * 3, "bias": 0.0, "a": 1.0, "b": 40.0 if constant else -40.0}
     y = np.array([v for _, v in rows], float)
-    parts: list[list] = [[], [], []]
-    at = 0
-    for lo, hi, buf, off in T.slices(pa.array([t for t, _ in rows], pa.string())):
-        for g, (ids, doc) in enumerate(items(buf, off)):
-            n = np.bincount(doc, minlength=hi - lo)
-            key, c = np.unique(doc * BUCKETS + ids, return_counts=True)
-            d = key // BUCKETS
-            parts[g].append(((d + at).astype(np.int32), (key % BUCKETS + g * BUCKETS).astype(np.int32), (SCALE * c / n[d]).astype(np.float32)))
-        at = hi
-    doc, ids, x = (np.concatenate([p[k] for g in parts for p in g]) for k in range(3))
-    del parts
+    blocks = [(lo, hi, sparse(buf, off)) for lo, hi, buf, off in T.slices(pa.array([t for t, _ in rows], pa.string()))]
     calibrate = np.arange(len(y)) % 5 == 4
     weight = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
     learn = ~calibrate
     w, bias = np.zeros(3 * BUCKETS), 0.0
     m, v = np.zeros(3 * BUCKETS + 1), np.zeros(3 * BUCKETS + 1)
     for step in range(1, steps + 1):
-        p = sigmoid(bias + np.bincount(doc, weights=w[ids] * x, minlength=len(y)))
-        err = (p - y) * learn / learn.sum()
-        g = np.r_[np.bincount(ids, weights=err[doc] * x, minlength=len(w)) + l2 * w, err.sum()]
+        g = np.zeros(3 * BUCKETS + 1)
+        for lo, hi, groups in blocks:  # a block at a time, so that nothing but the counts themselves is as large as the sample
+            err = (sigmoid(sums(w, bias, groups)) - y[lo:hi]) * learn[lo:hi] / learn.sum()
+            for k, (ids, x, bound) in enumerate(groups):
+                g[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(ids, weights=np.repeat(err, np.diff(bound)) * x, minlength=BUCKETS)
+            g[-1] += err.sum()
+        g[:-1] += l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - float(move[-1])
-    z = bias + np.bincount(doc, weights=w[ids] * x, minlength=len(y))
+    z = np.concatenate([sums(w, bias, groups) for _, _, groups in blocks])
     a, b = platt(z[calibrate], y[calibrate], weight[calibrate])
     return {"w": [k.astype(np.float32) for k in np.split(w, 3)], "bias": bias, "a": a, "b": b}
 

@@ -25,6 +25,8 @@ from ._io import fold, labelled, scored
 from .quality import platt, sigmoid
 
 U64 = T.U64
+#: Slots of the table that tells rare features before they are held.
+SLOTS = 1 << 24
 
 
 def items(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +43,15 @@ def items(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(doc)
 
 
+def distinct(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (feature hash, document) by document."""
+    f, d = items(buf, off)
+    order = np.lexsort((f, d))
+    f, d = f[order], d[order]
+    new = np.r_[True, (f[1:] != f[:-1]) | (d[1:] != d[:-1])] if len(f) else np.zeros(0, bool)
+    return f[new], d[new]
+
+
 class Ftrl:
     """FTRL-proximal for logistic loss over binary sparse rows."""
 
@@ -62,26 +73,32 @@ class Ftrl:
 
 
 def fit(rows: list[tuple[str, int]], share: float, epochs: int = 4, least_docs: int = 4) -> dict:
+    """rows: (text, label); share: of label 1 among all labelled rows; least_docs: at most 255."""
     y = np.array([v for _, v in rows], float)
     if len(set(y.tolist())) < 2:
         constant = float(y[0]) if len(y) else 0.0
         return {"keys": np.zeros(0, U64), "w": np.zeros(0), "a": 1.0, "b": 40.0 if constant else -40.0}
-    found, doc, at = [], [], 0
-    for lo, hi, buf, off in T.slices(pa.array([t for t, _ in rows], pa.string())):
-        f, d = items(buf, off)
-        order = np.lexsort((f, d))
-        f, d = f[order], d[order]
-        new = np.r_[True, (f[1:] != f[:-1]) | (d[1:] != d[:-1])] if len(f) else np.zeros(0, bool)
-        found.append(f[new])
-        doc.append((d[new] + at).astype(np.int32))
-        at = hi
-    f, d = np.concatenate(found), np.concatenate(doc)
-    del found, doc
-    keys, n = np.unique(f, return_counts=True)
+    texts = pa.array([t for t, _ in rows], pa.string())
+    # a slot of the hash table counts at least as many documents as each of its features has; most rare features go before any is held
+    slots = np.zeros(SLOTS, np.uint8)
+    for _, _, buf, off in T.slices(texts):
+        f, _ = distinct(buf, off)
+        at, n = np.unique(f & U64(SLOTS - 1), return_counts=True)
+        slots[at] = np.minimum(slots[at] + n, 255)  # far above least_docs, so more need not be told apart
+    found = []
+    for lo, _, buf, off in T.slices(texts):
+        f, d = distinct(buf, off)
+        ok = slots[f & U64(SLOTS - 1)] >= least_docs
+        found.append((f[ok], (d[ok] + lo).astype(np.int32)))
+    del slots
+    keys, n = np.unique(np.concatenate([f for f, _ in found]), return_counts=True)
     keys = keys[n >= least_docs]
-    place, ok = T.lookup(keys, f)
-    place, d = place[ok].astype(np.int32), d[ok]
-    del f, n, ok
+    held = []
+    for f, d in found:
+        at, ok = T.lookup(keys, f)
+        held.append((at[ok].astype(np.int32), d[ok]))
+    place, d = (np.concatenate([x[k] for x in held]) for k in range(2))
+    del n, found, held
     bound = T.per_doc(d, len(y))
     calibrate = np.arange(len(y)) % 5 == 4
     learner = Ftrl(len(keys) + 1)
