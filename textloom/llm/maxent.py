@@ -17,7 +17,7 @@ before; their priors are the exact counts.
 
 Training is distributed: each step takes the learning rows of one fold of the ids (each row
 gives its gradient once in ``steps`` steps), a task sends the sums of its gradients, which have a fixed
-size, and the driver adds them up and steps by gradient over expected count, damped and clipped.
+size, tasks add them up block by block, and the driver steps by gradient over expected count, damped and clipped.
 
 Clusters, gradients, counts and scores cover all rows: nothing is sampled. A null text is empty:
 one end. Repeated rows are counted and scored each; a null id is of fold 0. Other columns are ignored.
@@ -193,15 +193,16 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def clusters(around: np.ndarray, n: np.ndarray, rounds: int = 12) -> np.ndarray:
     """The class of each bucket, by spherical k-means of the neighbours' buckets (``around``: BUCKETS x 2 * _WIDE counts); n: tokens of each bucket."""
-    x = np.sqrt(around).astype(np.float32)
+    x = np.sqrt(around, dtype=np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     order = np.argsort(-n, kind="stable")
     some = order[: max(int((n > 0).sum()), 1)]
     c = x[some[np.linspace(0, min(len(some), 400) - 1, CLASSES).astype(int)]]
-    weight = np.sqrt(n[some])[:, None].astype(np.float32)
+    weight = np.where(n > 0, np.sqrt(n), 0).astype(np.float32)
+    weight[some[:1]] = max(weight[some[0]], 1)  # an empty corpus has one bucket
     for _ in range(rounds):
-        near = (x[some] @ c.T).argmax(1)
-        c = np.stack([(x[some] * weight)[near == k].sum(0) if (near == k).any() else c[k] for k in range(CLASSES)])
+        near = np.where(weight > 0, (x @ c.T).argmax(1), -1)
+        c = np.stack([weight[at] @ x[at] if len(at := np.flatnonzero(near == k)) else c[k] for k in range(CLASSES)])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
     # a bucket that no training text has goes by its number
     return np.where(n > 0, (x @ c.T).argmax(1), np.arange(BUCKETS) % CLASSES)
@@ -230,15 +231,44 @@ def gradient(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray, slots: Slots, w
     return total
 
 
-def train(docs: DataFrame, slots: Slots, steps: int = 6, rate: float = 0.3, damp: float = 4.0, groups: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of classes and of slots. In each step a task sums the gradients of its rows; ``groups`` tasks add those up, and one more adds theirs, so
-    that the driver gets one table. A step has at most twice as many tasks as the cluster has cores, however large the input is, so
-    that gradients, which have a fixed size, are few.
+def packed(x: np.ndarray) -> tuple[float, bytes]:
+    """A scale and half-precision numbers; sums of many tasks need no more, and they are half as many bytes to send."""
+    top = float(np.abs(x).max(initial=0.0)) or 1.0
+    return top, (x * (32768 / top)).astype("<f2").tobytes()
+
+
+def unpacked(top: float, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<f2").astype(float) * (top / 32768)
+
+
+def train(docs: DataFrame, slots: Slots, steps: int = 6, rate: float = 0.3, damp: float = 4.0, blocks: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and of slots. In each step a task sums the gradients of its rows and sends them in ``blocks`` blocks of feature rows;
+    the tasks of the next stage add up a block each, so every number is shuffled once and the driver gets one table. A step has at most
+    twice as many tasks as the cluster has cores, however large the input is, so that gradients, which have a fixed size, are few.
     """
     w, v = np.zeros((FEATURES, CLASSES), np.float32), np.zeros((SLOT_ROWS, SLOTS_IN), np.float32)
     most = 2 * docs.sparkSession.sparkContext.defaultParallelism
     p, q = np.exp(slots.class_prior), np.exp(slots.slot_prior).mean(0)
     turn = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(steps))
+    names = ["g", "task", *"abcd", *(f"{k}_top" for k in "abcd")]
+
+    def sent(g: int, task: int, sums: list[np.ndarray]) -> pa.RecordBatch:
+        tops, raw = zip(*(packed(x.ravel()) for x in sums), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([task], pa.int32()), *(pa.array([x]) for x in raw), *(pa.array([x]) for x in tops)], names)
+
+    def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, []
+        for part in parts:
+            for row in part.to_pylist():
+                got = [unpacked(row[f"{k}_top"], row[k]) for k in "abcd"]
+                if at is not None and row["g"] != at:
+                    yield sent(at, 0, total)
+                    total = []
+                at, total = row["g"], [x + z for x, z in zip(total, got, strict=True)] if total else got
+        if at is not None:
+            yield sent(at, 0, total)
+
+    kinds = "g int, task int, a binary, b binary, c binary, d binary, a_top double, b_top double, c_top double, d_top double"
     for step in range(steps):
 
         def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, v: np.ndarray = v) -> Iterator[pa.RecordBatch]:
@@ -248,23 +278,14 @@ def train(docs: DataFrame, slots: Slots, steps: int = 6, rate: float = 0.3, damp
                     got = gradient(*tokens(buf, off), slots, w, v)
                     total = [x + z for x, z in zip(total, got, strict=True)] if total else got
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), *(pa.array([x.astype("<f4").tobytes()]) for x in total)], ["g", "a", "b", "c", "d"])
-
-        def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for part in parts:
-                for row in range(part.num_rows):
-                    got = [np.frombuffer(part.column(k)[row].as_py(), "<f4") for k in range(1, 5)]
-                    total = [x + z for x, z in zip(total, got, strict=True)] if total else got
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *(pa.array([x.astype("<f4").tobytes()]) for x in total)], ["g", "a", "b", "c", "d"])
+                for g, sums in enumerate(zip(*(np.split(x, blocks) for x in total), strict=True)):
+                    yield sent(g, TaskContext.get().partitionId(), list(sums))
 
-        kinds = "g int, a binary, b binary, c binary, d binary"
         each = mapped(docs.where(turn == step).select("text").coalesce(most), run, kinds)
-        made = mapped(mapped(each.repartition(groups, "g"), added, kinds).repartition(1), added, kinds).collect()
+        made = sorted(mapped(each.repartition(blocks, "g").sortWithinPartitions("g", "task"), added, kinds).collect(), key=lambda r: r["g"])
         if not made:
             continue
-        a, b, c, d = (np.frombuffer(made[0][k], "<f4") for k in "abcd")
+        a, b, c, d = (np.concatenate([unpacked(r[f"{k}_top"], r[k]) for r in made]) for k in "abcd")
         w = w + np.clip(rate * a.reshape(w.shape) / (c[:, None] * p * (1 - p) + damp), -1, 1).astype(np.float32)
         v = v + np.clip(rate * b.reshape(v.shape) / (d[:, None] * q * (1 - q) + damp), -1, 1).astype(np.float32)
     return w, v
@@ -306,11 +327,11 @@ def learn(docs: DataFrame, most_top: int = 262_144, steps: int = 6) -> Model:
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     sizes = np.zeros((BUCKETS, REST, 2))
     part = F.shiftright("h", 40).bitwiseAND(REST - 1)
-    for r in counts.groupBy("bucket", part.alias("part")).agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("z")).collect():
-        sizes[r["bucket"], r["part"]] = r["n"], r["z"]
-    near = neighbours(rows).toArrow()
-    around = np.zeros(BUCKETS * 2 * _WIDE)
-    around[near["at"].to_numpy()] = near["n"].to_numpy()
+    by = counts.groupBy("bucket", part.alias("part")).agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("z")).toArrow()
+    sizes[by["bucket"].to_numpy(), by["part"].to_numpy()] = np.stack([by["n"].to_numpy(), by["z"].to_numpy()], 1)
+    around = np.zeros(BUCKETS * 2 * _WIDE, np.float32)
+    for near in neighbours(rows).select("at", F.col("n").cast("float").alias("n")).toArrow().to_batches():
+        around[near.column(0).to_numpy()] = near.column(1).to_numpy()
     of = clusters(around.reshape(BUCKETS, 2 * _WIDE), sizes[:, :, 0].sum(1))
     top = top_words(counts, most_top)
     slots = Slots(of, top, sizes)
