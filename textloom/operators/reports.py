@@ -78,3 +78,16 @@ def checks(parts: dict[str, DataFrame]) -> DataFrame:
         one = df.select(F.lit(name).alias("check"), F.col("ok").cast("boolean").alias("ok"), F.col("detail").cast("string").alias("detail"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def link_summary(rows: DataFrame, majors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals, edges by method, amenders of the major records). rows: ``links.nested`` with base_num and base_year; majors: num, year, label.
+
+    The totals are sums over each base's lists. Of several bases with a major's number and year the least id counts.
+    """
+    size = lambda c: F.coalesce(F.sum(F.size(F.coalesce(c, F.array()))), F.lit(0)).cast("bigint")
+    totals = rows.agg(F.count("*").alias("bases_with_links"), size(F.transform("amended_by", lambda a: a["law_book_id"])).alias("amendment_edges"), size(F.transform("replaced_by", lambda a: a["law_book_id"])).alias("replace_edges"))
+    methods = rows.select(F.explode("amended_by").alias("a")).groupBy(F.col("a.method").alias("method")).agg(F.count("*").alias("n"))
+    of = rows.select("base", F.col("base_num").alias("num"), F.col("base_year").alias("year"), F.coalesce(F.size("amended_by"), F.lit(0)).alias("n"))
+    hit = majors.join(of, ["num", "year"], "left").groupBy("label").agg(F.min(F.struct("base", "n")).alias("x"))
+    return totals, methods, hit.select("label", F.col("x.base").alias("base"), F.coalesce(F.greatest("x.n", F.lit(0)), F.lit(0)).alias("amended_by"))

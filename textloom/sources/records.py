@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -109,11 +109,27 @@ def mirror(df: DataFrame, path: str, other: str) -> None:
         df.write.mode("overwrite").parquet(other)
 
 
+def save_state(spark: SparkSession, state: dict, path: str) -> None:
+    """A run's small state (last page, total, watermark, notes) as one JSON row; ids that were fetched are a table of their own."""
+    write_atomic(spark.createDataFrame([(json.dumps(state, sort_keys=True),)], "state STRING").coalesce(1), path)
+
+
+def load_state(spark: SparkSession, path: str) -> dict:
+    """The saved state; an empty one if there is none."""
+    recover(spark, path)
+    return json.loads(spark.read.parquet(path).first()["state"]) if exists(spark, path) else {}
+
+
+def backfill(spark: SparkSession, path: str, column: str, value: Column) -> None:
+    """Sets a column of a stored table, new or old, from its other columns; readers see the old table until the new one is whole."""
+    write_atomic(spark.read.parquet(path).withColumn(column, value), path)
+
+
 class CatalogSource(DataSource):
-    """``spark.read.format("catalog_pages").option("pages", n).option("template", "/dir/page-{page}.json")``: one partition a page.
+    """``spark.read.format("catalog_pages").option("template", "/dir/page-{page}.json")``: one partition a page.
 
-    A page is a JSON object with ``items`` and ``totalCount``; a missing page is empty. A network provider
-    replaces ``fetch``.
+    A page is a JSON object with ``items`` and ``totalCount``; a missing page is empty. The first page's totalCount and
+    ``pagesize`` tell how many pages there are; option ``pages`` overrides that. A network provider replaces ``fetch``.
     """
 
     @classmethod
@@ -137,11 +153,12 @@ class CatalogReader(DataSourceReader):
     def __init__(self, schema, options):
         self.fields = [f.name for f in schema.fields][:-3]
         self.types = {f.name: f.dataType.typeName() for f in schema.fields}
-        self.count, self.size = int(options.get("pages", "1")), int(options.get("pagesize", "20"))
+        self.pages, self.size = options.get("pages"), int(options.get("pagesize", "20"))
         self.template = options["template"]
 
     def partitions(self) -> list[Page]:
-        return [Page(k) for k in range(self.count)]
+        count = int(self.pages) if self.pages is not None else -(-int(self.fetch(0).get("totalCount") or 0) // self.size)
+        return [Page(k) for k in range(max(count, 1))]
 
     def fetch(self, page: int) -> dict:
         try:
