@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import catalog, catalogue_workloads
-from textloom.operators import cards, normalise, sync
-from textloom.profile import LEGAL_AR
+from textloom.operators import cards, normalise, search, sync
+from textloom.profile import GENERIC, LEGAL_AR
 from textloom.schemas import LAW
 from textloom.sources import records
 
@@ -76,3 +76,10 @@ def test_cards_keep_order_and_name_the_first_fault(spark):
     assert [r.error for r in got] == [None, None, "subject_tags", "no_object", "no_object", "no_object", "law_book_id"]
     assert (got[0].title, got[1].title, got[0].scope_summary, got[0].title_en) == ("given", "own", "s", None)
     assert got[1].subject_tags == ["b", "a", "3"] and got[1].likely_questions == ["one؟", "two", "one"]
+
+
+def test_rows_stay_where_no_instrument_is_named(spark):
+    rows = spark.createDataFrame([("a", 0, "Law labour"), ("a", 1, "Annex law labour"), ("a", 2, None), ("b", 0, "x"), ("c", 0, "x"), ("d", 0, "Law tax annex")], "qid string, pos int, title string")
+    asked = spark.createDataFrame([("a", "what says law labour?"), ("b", "anything"), ("c", "law water?"), ("d", "law tax?")], "qid string, question string")
+    keys = lambda hard: sorted((r.qid, r.place, r.pos) for r in search.prefer_titled(rows, asked, GENERIC, hard=hard).collect())
+    assert keys(True) == [("a", 0, 0), ("b", 0, 0), ("d", 0, 0)] and keys(False) == [("a", 0, 0), ("b", 0, 0), ("c", 0, 0), ("d", 0, 0)]

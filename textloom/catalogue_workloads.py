@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import cards, links, normalise, reports, sync
-from .workloads import query, read
+from .operators import cards, links, normalise, reports, search, sync
+from .workloads import PARTS, query, read
 
 SITE = "https://laws.example/"
 
@@ -126,3 +126,29 @@ def link_summary_methods(spark, d):
  SELECT label, min(base) AS base, min_by(n, base) AS amended_by FROM m LEFT JOIN b ON base % 100 = num GROUP BY 1 UNION ALL SELECT 'none', NULL, 0""")
 def link_summary_majors(spark, d):
     return _summary(spark, d)[2].withColumn("amended_by", F.col("amended_by").cast("long"))
+
+
+# --- retrieval ---
+_LAW = "(SELECT p_brand AS qid, p_partkey AS pos, 'law ' || p_name AS t, CASE WHEN p_brand LIKE '%1' THEN 'law small w' WHEN p_brand LIKE '%2' THEN 'law nothing' ELSE '' END AS f FROM part)"
+_PEN = "(CASE WHEN contains(t, 'small') AND NOT contains(f, 'small') THEN 48.0 ELSE 0 END + CASE WHEN contains(t, 'ring') THEN 38.0 ELSE 0 END + CASE WHEN contains(t, 'red') THEN 30.0 ELSE 0 END)"
+
+
+@query(f"""WITH a AS (SELECT *, f <> '' AND contains(t, f) AS inside, {_PEN} AS pen FROM {_LAW}), b AS (SELECT *, bool_or(inside) OVER (PARTITION BY qid) AS hit, min(pen) FILTER (inside) OVER (PARTITION BY qid) AS least FROM a)
+ SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN hit THEN pen END, CASE WHEN hit THEN length(t) - length(replace(t, ' ', '')) END, pos) - 1 AS place FROM b WHERE CASE WHEN hit THEN inside AND pen <= least + 20 ELSE f = '' END""")
+def titled_rows_first(spark, d):
+    """A brand's question names an instrument that titles hold, one that none holds, or none at all."""
+    p = read(spark, d, "part")
+    rows = p.select(F.col("p_brand").alias("qid"), F.col("p_partkey").alias("pos"), F.concat(F.lit("Law "), "p_name").alias("title"))
+    name = F.when(F.col("qid").endswith("1"), "law small w?").when(F.col("qid").endswith("2"), "law nothing?").otherwise("anything")
+    asked = rows.select("qid").distinct().withColumn("question", name)
+    return search.prefer_titled(rows, asked, PARTS, hard=True).select("qid", "pos", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS qid, max(o_orderkey) AS gold FROM orders GROUP BY 1), h AS (SELECT o_custkey AS qid, o_orderkey AS k, v.variant, row_number() OVER (PARTITION BY o_custkey, v.variant ORDER BY CASE v.variant WHEN 'newest' THEN -o_orderkey ELSE o_orderkey END) AS rank FROM orders, (VALUES ('newest'), ('oldest')) v(variant))
+ SELECT variant, count(DISTINCT qid) AS cases, count(*) FILTER (k = gold AND rank <= 3) AS passed, round(count(*) FILTER (k = gold AND rank <= 3) / count(DISTINCT qid), 6) AS recall FROM h JOIN c USING (qid) GROUP BY 1""")
+def recall_matrix(spark, d):
+    """Two orders of each customer's orders, judged by whether the newest is among the first three."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("k"))
+    cases = o.groupBy("qid").agg(F.max("k").alias("gold"))
+    ranked = [search.top_k(o, "qid", [by], 3).withColumn("variant", F.lit(name)) for name, by in (("newest", F.desc("k")), ("oldest", F.asc("k")))]
+    return reports.matrix(ranked[0].unionByName(ranked[1]), cases, 3, F.col("k") == F.col("gold"))

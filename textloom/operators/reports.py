@@ -91,3 +91,11 @@ def link_summary(rows: DataFrame, majors: DataFrame) -> tuple[DataFrame, DataFra
     of = rows.select("base", F.col("base_num").alias("num"), F.col("base_year").alias("year"), F.coalesce(F.size("amended_by"), F.lit(0)).alias("n"))
     hit = majors.join(of, ["num", "year"], "left").groupBy("label").agg(F.min(F.struct("base", "n")).alias("x"))
     return totals, methods, hit.select("label", F.col("x.base").alias("base"), F.coalesce(F.greatest("x.n", F.lit(0)), F.lit(0)).alias("amended_by"))
+
+
+def matrix(hits: DataFrame, cases: DataFrame, k: int, found: Column, variant: str = "variant", qid: str = "qid") -> DataFrame:
+    """``recall_at_k`` for each variant (a retrieval with or without a leg, say) over the same cases, in one plan."""
+    each = cases.select(qid).distinct().crossJoin(F.broadcast(hits.select(variant).distinct()))
+    ok = hits.where(F.col("rank") <= k).join(cases, qid).groupBy(variant, qid).agg(F.bool_or(found).alias("ok"))
+    out = each.join(ok, [variant, qid], "left").groupBy(variant).agg(F.count("*").alias("cases"), F.count_if(F.coalesce("ok", F.lit(False))).alias("passed"))
+    return out.withColumn("recall", F.round(F.col("passed") / F.col("cases"), 6))

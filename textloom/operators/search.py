@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import instrument_phrases, normalize, phrase_fit, title_penalty
+from ..profile import GENERIC, Profile
 from ..shipping import ship
 
 RRF = 60
@@ -171,3 +173,19 @@ def near_best(df: DataFrame, by: str, score: str, within: float, highest: bool =
     best = F.max(score).over(w) if highest else F.min(score).over(w)
     ok = F.col(score) >= F.col("_b") - within if highest else F.col(score) <= F.col("_b") + within
     return df.withColumn("_b", best).where(ok).drop("_b")
+
+
+def prefer_titled(rows: DataFrame, questions: DataFrame, p: Profile = GENERIC, hard: bool = False, within: float = 20.0, least: int = 6, qid: str = "qid", text: str = "question", title: str = "title", pos: str = "pos") -> DataFrame:
+    """Where a question names an instrument: its rows whose titles hold the name, near the least penalty, by penalty and fit, then as they came.
+
+    A question that names none keeps its rows; one whose name no title holds keeps them too, or none if ``hard``. ``place`` is the new order from 0.
+    """
+    named = F.filter(instrument_phrases(text, p), lambda x: F.length(x) >= least)
+    q = questions.select(qid, normalize(text, p).alias("_q"), named.alias("_p"))
+    met = rows.join(q, qid).withColumn("_t", normalize(title, p))
+    met = met.withColumns({"_in": F.exists("_p", lambda x: F.col("_t").contains(x)), "_pen": title_penalty(F.col("_t"), F.col("_q"), p), "_fit": F.coalesce(F.array_max(F.transform("_p", lambda x: phrase_fit(F.col("_t"), x))), F.lit(0.0))})
+    w = Window.partitionBy(qid)
+    seen = met.withColumns({"_any": F.max("_in").over(w), "_least": F.min(F.when(F.col("_in"), F.col("_pen"))).over(w)})
+    kept = seen.where(F.when(F.col("_any"), F.col("_in") & (F.col("_pen") <= F.col("_least") + within)).otherwise(F.size("_p") == 0 if hard else F.lit(True)))
+    order = [F.when(F.col("_any"), F.col("_pen")), F.when(F.col("_any"), -F.col("_fit")), F.col(pos)]
+    return kept.withColumn("place", F.row_number().over(w.orderBy(*order)) - 1).drop("_q", "_p", "_t", "_in", "_pen", "_fit", "_any", "_least")
