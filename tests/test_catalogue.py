@@ -83,3 +83,12 @@ def test_rows_stay_where_no_instrument_is_named(spark):
     asked = spark.createDataFrame([("a", "what says law labour?"), ("b", "anything"), ("c", "law water?"), ("d", "law tax?")], "qid string, question string")
     keys = lambda hard: sorted((r.qid, r.place, r.pos) for r in search.prefer_titled(rows, asked, GENERIC, hard=hard).collect())
     assert keys(True) == [("a", 0, 0), ("b", 0, 0), ("d", 0, 0)] and keys(False) == [("a", 0, 0), ("b", 0, 0), ("c", 0, 0), ("d", 0, 0)]
+
+
+def test_marked_rows_and_gap_filling(spark):
+    rows = spark.createDataFrame([("a", 1, True), ("a", 2, None), ("b", 3, False)], "qid string, k int, m boolean")
+    keys = lambda hard: sorted(r.k for r in search.prefer_marked(rows, F.col("m"), hard=hard).collect())
+    assert keys(True) == [1] and keys(False) == [1, 3]
+    have = spark.createDataFrame([("a", 7, 0), ("a", 8, 1)], "qid string, k int, pos int")
+    extra = spark.createDataFrame([("a", 8, 0), ("a", 9, 1), ("b", 7, 0)], "qid string, k int, pos int")
+    assert sorted((r.qid, r.pos, r.k) for r in search.not_yet(extra, have, ["qid", "k"]).collect()) == [("a", 0, 7), ("a", 1, 8), ("a", 2, 9), ("b", 0, 7)]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import cards, links, normalise, reports, search, sync
+from .operators import articles, cards, links, normalise, reports, search, sync
+from .sources import records
 from .workloads import PARTS, query, read
 
 SITE = "https://laws.example/"
@@ -152,3 +153,47 @@ def recall_matrix(spark, d):
     cases = o.groupBy("qid").agg(F.max("k").alias("gold"))
     ranked = [search.top_k(o, "qid", [by], 3).withColumn("variant", F.lit(name)) for name, by in (("newest", F.desc("k")), ("oldest", F.asc("k")))]
     return reports.matrix(ranked[0].unionByName(ranked[1]), cases, 3, F.col("k") == F.col("gold"))
+
+
+@query("""WITH a AS (SELECT p_brand AS qid, p_partkey AS k, contains(p_name, CASE WHEN p_brand LIKE '%3' THEN 'nothing' ELSE 'cold' END) AS m FROM part), b AS (SELECT *, bool_or(m) OVER (PARTITION BY qid) AS hit FROM a) SELECT qid, k FROM b WHERE m OR NOT hit""")
+def marked_rows_or_all(spark, d):
+    """Rows with the cited word, or all of a brand where no row has it."""
+    rows = read(spark, d, "part").select(F.col("p_brand").alias("qid"), F.col("p_partkey").alias("k"), "p_name")
+    word = F.when(F.col("qid").endswith("3"), F.lit("nothing")).otherwise("cold")
+    return search.prefer_marked(rows, F.col("p_name").contains(word)).select("qid", "k")
+
+
+@query("""WITH h AS (SELECT o_custkey AS qid, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_orderstatus = 'F'),
+ x AS (SELECT o_custkey AS qid, o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'F')
+ SELECT qid, k, pos FROM h UNION ALL SELECT x.qid, x.k, coalesce((SELECT max(pos) + 1 FROM h WHERE h.qid = x.qid), 0) + row_number() OVER (PARTITION BY x.qid ORDER BY x.k DESC) - 1 FROM x""")
+def leg_gap_fill(spark, d):
+    """A second leg's rows follow those that the first has."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("k"), "o_orderstatus")
+    at = lambda df, by: search.top_k(df, "qid", [by], 1 << 30, "pos").select("qid", "k", (F.col("pos") - 1).cast("long").alias("pos"))
+    return search.not_yet(at(o.where("k % 2 = 0"), F.desc("k")), at(o.where("o_orderstatus = 'F'"), F.asc("k")), ["qid", "k"])
+
+
+@query("SELECT o_orderkey, c_name AS title, CASE WHEN c_custkey IS NULL THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS year FROM (SELECT o_orderkey, c_custkey, coalesce(c_name, '') AS c_name, c_nationkey FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey > 4) ON c_custkey = o_custkey WHERE o_orderstatus = 'O')")
+def index_with_titles(spark, d):
+    """Rows of one role with their law's title and year, empty where the law is unknown."""
+    index = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("law_book_id"), F.col("o_orderstatus").alias("role"), F.lit("1").alias("article_label"))
+    laws = read(spark, d, "customer").where("c_nationkey > 4").select(F.col("c_custkey").alias("law_book_id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("year"))
+    return articles.with_titles(articles.lookup(index, role="O", label="1"), laws, ("title", "year")).select("o_orderkey", "title", "year")
+
+
+@query("SELECT p_partkey, p_size % 5 = 0 OR contains(p_name, 'cold') OR contains(p_name, 'ring') AS amending FROM part")
+def amending_rows(spark, d):
+    flag = F.when(F.col("p_size") % 5 == 0, " B ")
+    return read(spark, d, "part").select("p_partkey", links.is_amending(flag, F.upper("p_name"), "B", ("cold", "ring")).alias("amending"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ORDER BY c_custkey LIMIT 25")
+def first_new_rows(spark, d):
+    """The next 25 records that have no card yet; the limit is the feature."""
+    return records.first_new(read(spark, d, "customer").select("c_custkey", "c_name"), read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", 25, "c_custkey")
+
+
+@query("""SELECT o_orderkey AS qid, '{"answer":"' || o_orderpriority || '","rows":' || o_custkey || ',"error":' || CASE WHEN o_orderstatus = 'F' THEN '"F"' ELSE 'null' END || ',"disclaimer":"no advice"}' AS result FROM orders""")
+def answers_as_json(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), F.col("o_orderpriority").alias("answer"), F.col("o_custkey").alias("rows"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderstatus")).alias("error"))
+    return records.results_json(o, "no advice")

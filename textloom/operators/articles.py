@@ -67,3 +67,16 @@ def lookup(index: DataFrame, article: str, law: int | None = None, key: str = "l
     """Defining rows of an article, of one law or all."""
     rows = index.where((F.col("role") == "defines") & (F.col("article_label") == article))
     return rows.where(F.col(key) == law) if law is not None else rows
+
+
+def lookup(index: DataFrame, role: str | None = None, law: int | None = None, label: str | None = None) -> DataFrame:
+    """Rows of the article index with a role, of a law, with a label (compared as text); what is None is not asked for."""
+    for name, value in (("role", role), ("law_book_id", law), ("article_label", None if label is None else str(label))):
+        index = index.where(F.col(name) == value) if value is not None else index
+    return index
+
+
+def with_titles(rows: DataFrame, laws: DataFrame, fields: tuple[str, ...] = ("title", "year", "status_label", "law_flag", "source_url"), key: str = "law_book_id") -> DataFrame:
+    """Adds a law's fields; a law without a row of its own has empty ones, and rows are never lost or repeated."""
+    one = laws.groupBy(key).agg(F.min(F.struct(*fields)).alias("_l"))
+    return rows.join(one, key, "left").select("*", *[F.coalesce(F.col(f"_l.{f}").cast("string"), F.lit("")).alias(f) for f in fields]).drop("_l")

@@ -110,3 +110,8 @@ def warnings(hits: DataFrame, links: DataFrame, by: str, amended: str = "A", ame
     head = F.concat(F.substring("h.title", 1, 120), F.lit(" ["), F.col("h.flag"), F.lit("]"))
     listed = (F.col("h.flag") == amended) & (F.coalesce(F.size("_a"), F.lit(0)) > 0)
     return known.select(by, F.col("h.pos").alias("pos"), key, F.when(listed, F.concat(head, F.lit("\n"), names, more)).otherwise(head).alias("warning"))
+
+
+def is_amending(flag: Column, title: Column, amending: str, markers: tuple[str, ...], p: Profile = GENERIC) -> Column:
+    """A record that changes others: by its flag, or by a marker in its title."""
+    return (F.trim(F.coalesce(flag, F.lit(""))) == amending) | contains_any(normalize(title, p), cues(markers, p))

@@ -189,3 +189,19 @@ def prefer_titled(rows: DataFrame, questions: DataFrame, p: Profile = GENERIC, h
     kept = seen.where(F.when(F.col("_any"), F.col("_in") & (F.col("_pen") <= F.col("_least") + within)).otherwise(F.size("_p") == 0 if hard else F.lit(True)))
     order = [F.when(F.col("_any"), F.col("_pen")), F.when(F.col("_any"), -F.col("_fit")), F.col(pos)]
     return kept.withColumn("place", F.row_number().over(w.orderBy(*order)) - 1).drop("_q", "_p", "_t", "_in", "_pen", "_fit", "_any", "_least")
+
+
+def prefer_marked(rows: DataFrame, mark: Column, hard: bool = False, qid: str = "qid") -> DataFrame:
+    """A question's rows with the mark; where none has it, none if ``hard``, else all. For law ids, cited articles and the like."""
+    seen = rows.withColumn("_m", F.coalesce(mark, F.lit(False)))
+    if hard:
+        return seen.where("_m").drop("_m")
+    return seen.withColumn("_any", F.max("_m").over(Window.partitionBy(qid))).where("_m or not _any").drop("_m", "_any")
+
+
+def not_yet(extra: DataFrame, have: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
+    """``have`` with the rows of ``extra`` that it lacks (by ``by``, the question first) after its own, in their order: a leg fills another's gap."""
+    new = extra.join(have.select(*by), by, "left_anti")
+    last = have.groupBy(by[0]).agg((F.max(pos) + 1).alias("_at"))
+    moved = new.join(last, by[0], "left").withColumn(pos, F.coalesce("_at", F.lit(0)) + F.row_number().over(Window.partitionBy(by[0]).orderBy(pos)) - 1).drop("_at")
+    return have.unionByName(moved)

@@ -104,6 +104,17 @@ def new_rows(df: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return df.join(store.select(key), key, "left_anti")
 
 
+def first_new(df: DataFrame, store: DataFrame, key: str, n: int, order: str) -> DataFrame:
+    """The first n rows that the store lacks: the limit holds after the known ones are left out."""
+    return first_records(new_rows(df, store, key), n, order)
+
+
+def results_json(df: DataFrame, note: str, qid: str = "qid") -> DataFrame:
+    """qid and ``result``: the answer's fields and a note as one JSON object, nulls included."""
+    rest = [c for c in df.columns if c != qid]
+    return df.select(qid, F.to_json(F.struct(*rest, F.lit(note).alias("disclaimer")), {"ignoreNullFields": "false"}).alias("result"))
+
+
 def mirror(df: DataFrame, path: str, other: str) -> None:
     if path != other:
         df.write.mode("overwrite").parquet(other)
