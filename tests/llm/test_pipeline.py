@@ -66,3 +66,33 @@ def test_near_duplicate_stage_equals_plain_sets(spark, data):
                 a, b = sorted((find(i), find(j)))
                 top[b] = a
     assert {r.doc_id for r in P.near_duplicate_stage(spark, docs, data).collect()} == {i for i in rows if find(i) == i}
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names; then empty tables."""
+    import random
+
+    rng = random.Random(4)
+
+    def text(n, words="river stone light garden window letter morning winter paper silver"):
+        return " ".join(rng.choice(words.split()) + rng.choice("abcdefgh") + rng.choice("klmnop") for _ in range(n)) + "."
+
+    long = text(120_000)
+    rows = [(i, text(60), "en", "s", i, True) for i in range(40)] + [(100 + i, "## || BUY NOW !! " * 20, None, None, None, None) for i in range(40)]
+    odd = [(900, None, None, None, None, None), (901, "", "en", "s", 0, None), (902, "  \n ", "en", "s", 0, False), (903, "one two", "en", "s", 7, False), (904, long, None, "s", None, True)]
+    again = [(905, rows[3][1], "en", "s", 3, True), (905, rows[3][1], "en", "s", 3, True), (None, text(70), "en", None, 9, None), (5, rows[5][1], "en", "s", 5, True)]
+    df = spark.createDataFrame(rows + odd + again, "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean").withColumn("score", __import__("pyspark").sql.functions.lit(0.5))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(100 + i, 0, 1 if i % 2 else 0) for i in range(40)] + [(None, 1, 1), (904, None, None), (7, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for at, take in (("full", True), ("none", False)):
+        (df if take else df.limit(0)).coalesce(2).write.parquet(str(tmp_path / at / "documents.parquet"))
+        (labels if take else labels.limit(0)).coalesce(1).write.parquet(str(tmp_path / at / "labels.parquet"))
+    assert P.run(spark, str(tmp_path / "none")).count() == 0
+    d = str(tmp_path / "full")
+    docs = table(spark, d, "documents")
+    one = P.quality_stage(spark, docs, d)
+    left = {r.doc_id for r in one.collect()}
+    assert one.columns == docs.columns and not left & {900, 901, 902, 903} and {904, 905, None} <= left and set(range(40)) <= left
+    pieces = P.run(spark, d).collect()
+    assert {r.doc_id for r in pieces} == (left - {905}) - {i for i in left if i is not None and 100 <= i < 140}
+    assert sum(r.length for r in pieces if r.doc_id == 904) == next(r.doc_tokens for r in pieces if r.doc_id == 904) > 100_000
+    assert all(sum(r.length for r in pieces if r.doc_id == i) == next(r.doc_tokens for r in pieces if r.doc_id == i) for i in (5, None))

@@ -619,6 +619,15 @@ def test_fingerprints_align_and_edges(spark):
     assert chroma.aligned(chroma.fingerprints(spark.createDataFrame([], "id bigint, a array<double>"), "id", "a")).count() == 0
 
 
+def test_fingerprints_beside_clashing_names(spark):
+    """Other columns change nothing, whatever their names; a row without an id is a copy or stands alone."""
+    wave = chroma.render(np.random.default_rng(2).integers(0, 48, 40)).tolist()
+    rows = spark.createDataFrame([(1, wave), (1, wave), (None, wave), (None, None), (200, wave)], "key bigint, a array<double>")
+    wide = rows.selectExpr("key", "a", "0 AS id", "'x' AS fp", "1 AS rep", "2 AS code", "3 AS name")
+    plain, named = (sorted(map(repr, chroma.aligned(chroma.fingerprints(x, "key", "a")).collect())) for x in (rows, wide))
+    assert plain == named and len(named) == 5 and sum("class_id=1," in r for r in named) == 4
+
+
 def test_aligned_equals_align_on_noisy_pairs(spark):
     rng = np.random.default_rng(5)
     songs, want = [], {}

@@ -12,7 +12,8 @@ histogram); the share of differing bits over the overlap at that offset is their
 Recordings with the same fingerprint are one class. Queries (ids divisible by 100) are
 compared, by class, against all classes through equal integers, so no pair is made that
 shares none. Null, empty or too short recordings have an empty fingerprint and are
-aligned with nothing; repeated rows are copies; other columns are ignored.
+aligned with nothing; repeated rows are copies; other columns are ignored, whatever their names. Of equally good
+alignments the least query and offset are named. An empty table gives no rows; a recording must fit in a task.
 """
 
 from __future__ import annotations

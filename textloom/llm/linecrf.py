@@ -9,7 +9,9 @@ document's label.
 
 Chains are run side by side, position by position, so a batch costs a few numpy calls
 for each line of its longest document. Learns from at most ``most`` labelled rows of each
-class. A null or empty text is one empty line.
+class. A null or empty text is one empty line. Repeated rows are scored each, and alike. Columns named like the
+results are replaced, others are kept. An empty table gives no rows; without labels of both kinds every text gets
+one verdict. A very long text is scored whole, as a batch of its own, and must fit in a task.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ into sequences of a power of two, which need no padding. A group holds at most
 A document's tokens are those of the tokenizer without special tokens, then ``end_id``.
 The tokenizer splits at white space before it merges, so words are encoded apart and the
 ids of a bounded number of words kept. A null or empty text is its end token only.
-Repeated rows are packed each.
+Repeated rows are packed each, under their id; a null id stays null. Other columns are ignored, whatever their
+names. Windows that would be filled alike are taken in the order in which they were opened. A very long text
+is encoded whole and must fit in a task; its pieces lie in as many sequences as they need. An empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ classes' shares among all labelled training rows). Documents are scored in Arrow
 batches against a fixed threshold, with no shuffle.
 
 A null or empty text has zero counts and fails the base rules. Repeated rows give
-repeated rows; other columns of the input are ignored.
+repeated rows; other columns of the input are ignored. A probability equal to the threshold is kept. An empty
+table gives no rows; without labels of both kinds every text gets one verdict. A very long text is counted
+whole, as a batch of its own, and must fit in a task.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ sample's features, and is shipped with the task. Features of fewer than
 It learns from at most ``most`` toxic and ``most`` other labelled rows; a fifth of them
 calibrates the logit to the classes' shares among all labelled training rows. A null
 or empty text has no features and gets the bias's score. Other columns are kept as they
-are; repeated rows give repeated rows.
+are, but for those named like the results; repeated rows give repeated rows. An empty table gives no rows; without
+labels of both kinds every text gets one verdict. A very long text is scored whole and must fit in a task.
 """
 
 from __future__ import annotations
