@@ -2,35 +2,51 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..operators.upsert import last_wins, merge
+from ..shipping import ship
 from ..sources.records import exists, write_atomic
 
 
 def accepted(df: DataFrame, key: str, ts: str, limit: int = 8, seconds: float = 60.0, tie: str | None = None) -> DataFrame:
     """(key, ts as epoch seconds, ok) of each request in order: ok while fewer than ``limit`` accepted ones lie in the window before.
 
-    Rejected requests leave no trace, so this is a fold over a key's requests, not a range window. The state of the fold is
-    the last ``limit`` accepted times.
+    Rejected requests leave no trace, so this is a fold over a key's requests, not a range window. Sorted requests stream
+    through a task in batches; of a key, however many requests it has, only the last ``limit`` accepted times are held. A request without a time
+    is ok and leaves no trace.
     """
-    item = F.struct(F.col(ts).cast("timestamp").cast("double").alias("t"), *([F.col(tie).alias("id")] if tie else []))
-    by = df.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("r"))
-    zero = F.struct(F.array().cast("array<double>").alias("seen"), F.array().cast("array<boolean>").alias("ok"))
+    rows = df.select(key, F.col(ts).cast("timestamp").cast("double").alias("t"), *([tie] if tie else []))
+    ship(df.sparkSession)
 
-    def add(a: Column, x: Column) -> Column:
-        live = F.filter(a["seen"], lambda t: t > x["t"] - seconds)
-        fine = F.size(live) < limit
-        return F.struct(F.when(fine, F.concat(live, F.array(x["t"]))).otherwise(live).alias("seen"), F.concat(a["ok"], F.array(fine)).alias("ok"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = object(), deque()
+        for b in batches:
+            ok = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != at:
+                    at, seen = k, deque()
+                if t is None:
+                    ok.append(True)
+                    continue
+                while seen and seen[0] <= t - seconds:
+                    seen.popleft()
+                ok.append(len(seen) < limit)
+                if ok[-1]:
+                    seen.append(t)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], [*b.schema.names, "ok"])
 
-    out = by.select(key, F.explode(F.arrays_zip("r", F.aggregate("r", zero, add, lambda a: a["ok"]).alias("ok"))).alias("x"))
-    return out.select(key, F.col("x.r.t").alias("t"), *([F.col("x.r.id").alias(tie)] if tie else []), F.col("x.ok").alias("ok"))
+    schema = StructType([*rows.schema.fields, StructField("ok", BooleanType())])
+    return rows.repartition(key).sortWithinPartitions(*rows.columns).mapInArrow(run, schema)
 
 
 def limited_stream(stream: DataFrame, key: str, ts: str, limit: int = 8, seconds: float = 60.0) -> DataFrame:
