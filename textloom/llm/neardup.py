@@ -285,9 +285,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
     a Jaccard similarity of at least ``similarity``, taken in hundredths); kept marks the row with that id.
     class_links is the number of confirmed links of the document's class of equal sets that were followed.
     """
-    part, whole = round(similarity * 100), 100
     tables = Tables(docs.sparkSession)
-    feats = tables.put("features", features(docs, n, bins, rows))
+    return grouped(docs, tables.put("features", features(docs, n, bins, rows)), n, similarity, tables)
+
+
+def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables: Tables) -> DataFrame:
+    """The result of ``near_duplicates`` from a stored table of ``features``: documents that may be linked share a value in ``bands``, whatever it stands for."""
+    part, whole = round(similarity * 100), 100
     some = feats.where("n_shingles > 0 and doc_id is not null")
     # rep is a number of the class by itself: a doc_id may stand for several texts
     least = some.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.max("n_shingles").alias("n"))
