@@ -9,7 +9,7 @@ from textloom import catalog, catalogue_workloads
 from textloom.operators import cards, normalise, search, sync
 from textloom.profile import GENERIC, LEGAL_AR
 from textloom.schemas import LAW
-from textloom.sources import records
+from textloom.sources import catalogue, records
 
 NAMES = [n for n, f in catalog.queries().items() if f.__module__ == catalogue_workloads.__name__]
 
@@ -38,7 +38,7 @@ def test_records_have_all_fields_in_any_script(spark):
 def test_pages_follow_the_stated_total(spark, tmp_path):
     for k, n in enumerate((2, 2, 1)):
         (tmp_path / f"p{k}.json").write_text(json.dumps({"totalCount": 5, "items": [{"lawBookID": 10 * k + i} for i in range(n)]}))
-    spark.dataSource.register(records.CatalogSource)
+    spark.dataSource.register(catalogue.CatalogSource)
     got = spark.read.format("catalog_pages").option("pageSize", 2).option("template", str(tmp_path / "p{page}.json")).load()
     assert sorted(r.lawBookID for r in got.collect()) == [0, 1, 10, 11, 20]
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom import api, providers
 from textloom.schemas import CARD
-from textloom.sources import records
+from textloom.sources import catalogue, records
 from textloom.streaming import jobs
 
 
@@ -33,7 +33,7 @@ def test_side_tables_last_wins_and_atomic(spark, tmp_path):
 def test_catalog_pages(spark, tmp_path):
     for k in range(2):
         (tmp_path / f"p{k}.json").write_text(json.dumps({"totalCount": 3, "items": [{"lawBookID": 10 * k + i, "lawYear": 1999} for i in range(2 - k)]}))
-    spark.dataSource.register(records.CatalogSource)
+    spark.dataSource.register(catalogue.CatalogSource)
     got = spark.read.format("catalog_pages").option("pages", 3).option("pageSize", 2).option("template", str(tmp_path / "p{page}.json")).load()
     assert {(r.lawBookID, r.pos, r.lawYear) for r in got.collect()} == {(0, 0, "1999"), (1, 1, "1999"), (10, 2, "1999")}
 

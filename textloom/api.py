@@ -24,13 +24,14 @@ def build_store(records: DataFrame, key: str, text: str, title: str | None = Non
 
 def retrieve(
     questions: DataFrame, store: DataFrame, law: str, k: int = 6, depth: int = 20, in_force=None, p: Profile = GENERIC, dim: int = 64,
-    title: str = "title", year: str | None = None, seeds: DataFrame | None = None, lexicon: DataFrame | None = None,
+    title: str = "title", year: str | None = None, seeds: DataFrame | None = None, lexicon: DataFrame | None = None, text_index: DataFrame | None = None,
 ) -> DataFrame:
     """(qid, pos, chunk_id, law_book_id, leg, score). in_force: a predicate of the store, applied before any ranking.
 
     Routing evidence (phrases, seeds, cards, citations, aliases, nearest routes) decides a question's shape, scope and legs; each of
     the six legs runs over the questions whose plan has it and is cut at ``depth``. A question whose only legs find
-    nothing gets the hybrid leg under their name, so that every plan has rows.
+    nothing gets the hybrid leg under their name, so that every plan has rows. text_index: ``gram_index`` of the store's chunks as
+    stored (by law); without it the in-law leg indexes the first laws' chunks.
     """
     some = store.where(in_force) if in_force is not None else store
     text = lambda c: F.col(c).cast("string") if c and c in store.columns else F.lit(None).cast("string")
@@ -46,7 +47,7 @@ def retrieve(
     mixed = hybrid(bm25(asked, index, index_stats(rows, "chunk_text"), depth), near, depth)
     found = [
         legs.article_leg(wants("article_exact"), rows, "law", depth),
-        legs.scoped_leg(wants("law_scoped"), rows, "law", depth),
+        legs.law_leg(wants("law_scoped"), rows, "law", depth, p=p, index=text_index),
         legs.title_leg(wants("title_like"), rows, "law", depth, p),
         legs.defining_leg(wants("defining_articles"), rows, "law", depth),
         legs.scoped_leg(wants("card_route").select("qid", "qvec", F.array_distinct(F.concat("card_ids", "phrase_ids", "seed_ids")).alias("scope")), rows, "law", depth, "card_route", each=1),

@@ -116,7 +116,7 @@ def first_citation(c: str | Column, p: Profile = GENERIC) -> Column:
 
 def core_title(c: str | Column, p: Profile = GENERIC) -> Column:
     """A title without its citation, parentheses and year; empty if short or generic."""
-    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s*" + p.citation.replace("(?i)", "(?i)"), "")
+    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s*" + p.citation, "")
     t = F.regexp_replace(F.regexp_replace(t, r"\([^)]*\)", ""), p.year_tail, "")
     t = F.regexp_replace(t, r"(?U)\s*[–—-]\s*$", "")
     t = F.regexp_replace(normalize(t, p), r"^[ \-–—،,]+|[ \-–—،,]+$", "")
@@ -193,6 +193,14 @@ def topic_bonus(text_norm: Column, tokens: Column, each: float = 0.06, most: flo
     return F.least(F.lit(most), F.lit(each) * F.size(F.filter(F.slice(tokens, 1, first), lambda t: text_norm.contains(t))))
 
 
+def surface_variants(token: Column, p: Profile = GENERIC) -> Column:
+    """How a normalised token may stand in stored text: as it is, with the other ending, with letters that normalising folds, capitalised."""
+    ends = [F.when(token.endswith(a), F.concat(F.substr(token, F.lit(1), F.length(token) - len(a)), F.lit(b))) for a, b in p.ending_variants]
+    letters = [F.when(token.contains(a), F.replace(token, F.lit(a), F.lit(b))) for a, b in p.letter_variants]
+    capital = [F.initcap(token)] if p.lower else []
+    return F.filter(F.array_distinct(F.array(token, *ends, *letters, *capital)), lambda v: v.isNotNull() & (v != ""))
+
+
 def is_overview(c: str | Column, p: Profile = GENERIC) -> Column:
     """A definitional cue, and nothing left but named instruments and stop words."""
     q = normalize(c, p)

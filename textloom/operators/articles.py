@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +15,19 @@ from ..profile import GENERIC, Profile
 
 
 def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_no, line, start (0-based offset of the line in code points). A map over rows."""
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("out"))
-    placed = F.aggregate(parts, zero, lambda a, s: F.struct((a["at"] + F.length(s) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), s.alias("line")))).alias("out")), lambda a: a["out"])
-    return df.select(F.col(key), F.posexplode(placed).alias("line_no", "x")).select(key, "line_no", F.col("x.line").alias("line"), F.col("x.start").alias("start"))
+    """key, line_no, line, start (0-based offset of the line in code points). A map over rows in Arrow batches, linear in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256))):
+            lines = pc.split_pattern(pc.fill_null(b.column(1), ""), "\n")
+            flat, of = lines.flatten(), pc.list_parent_indices(lines)
+            size = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            first = np.r_[0, np.cumsum(pc.list_value_length(lines).to_numpy(zero_copy_only=False))][:-1]
+            row = of.to_numpy(zero_copy_only=False)
+            before = np.cumsum(size) - size
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array((np.arange(len(row)) - first[row]).astype(np.int32)), flat, pa.array((before - before[first][row]).astype(np.int32))], [key, "line_no", "line", "start"])
+
+    return df.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, line_no int, line string, start int")
 
 
 def header_spans(df: DataFrame, key: str, text: str, p: Profile = GENERIC, header: str | None = None) -> DataFrame:
@@ -63,12 +76,6 @@ def article_index(df: DataFrame, key: str, text: str, p: Profile = GENERIC, vers
     return defines.unionByName(inside).unionByName(loose).withColumn("builder_version", F.lit(version))
 
 
-def lookup(index: DataFrame, article: str, law: int | None = None, key: str = "law_book_id") -> DataFrame:
-    """Defining rows of an article, of one law or all."""
-    rows = index.where((F.col("role") == "defines") & (F.col("article_label") == article))
-    return rows.where(F.col(key) == law) if law is not None else rows
-
-
 def lookup(index: DataFrame, role: str | None = None, law: int | None = None, label: str | None = None) -> DataFrame:
     """Rows of the article index with a role, of a law, with a label (compared as text); what is None is not asked for."""
     for name, value in (("role", role), ("law_book_id", law), ("article_label", None if label is None else str(label))):

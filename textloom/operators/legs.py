@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_overview, normalize, phrase_fit, title_needles, title_penalty
+from ..functions.text import content_tokens, is_overview, normalize, phrase_fit, surface_variants, title_needles, title_penalty, topic_bonus
 from ..profile import GENERIC, Profile
-from .search import holding, near_best, top_k, vector_top_k
+from .search import gram_index, holding, holding_in, near_best, top_k, vector_top_k
 
 
 def ranked(df: DataFrame, leg: str) -> DataFrame:
@@ -57,6 +57,38 @@ def scoped_leg(questions: DataFrame, rows: DataFrame, law: str, limit: int, leg:
     return ranked(top_k(near, "qid", [F.col("_d"), F.col("chunk_id")], limit), leg)
 
 
+def text_rescue(questions: DataFrame, rows: DataFrame, law: str, p: Profile = GENERIC, tokens: int = 5, each: int = 3, index: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id): of the first law in scope, the ``each`` nearest chunks that hold a surface form of one of the question's ``tokens`` longest words.
+
+    index: ``gram_index(rows, "chunk_id", "chunk_text", (law,))`` as it is stored; else that of the first laws' chunks is made.
+    """
+    first = questions.where(F.size("scope") > 0).select("qid", "qvec", F.get("scope", F.lit(0)).alias(law), F.slice(content_tokens("question", p), 1, tokens).alias("_t"))
+    needles = first.select("qid", law, F.explode("_t").alias("_w")).select("qid", law, F.explode(surface_variants(F.col("_w"), p)).alias("_n")).distinct()
+    some = rows.join(first.select(law).distinct(), law, "left_semi")
+    index = gram_index(some, "chunk_id", "chunk_text", (law,)) if index is None else index
+    met = holding_in(index, some, needles, "chunk_id", "chunk_text", "_n", (law,))
+    near = met.join(first.select("qid", "qvec"), "qid").join(some.select("chunk_id", "vector"), "chunk_id").select(F.struct("qid", "_n").alias("_by"), "qid", "chunk_id", distance(F.col("vector"), F.col("qvec")).alias("_d"))
+    return top_k(near, "_by", [F.col("_d"), F.col("chunk_id")], each).select("qid", "chunk_id").distinct()
+
+
+def law_leg(questions: DataFrame, rows: DataFrame, law: str, limit: int = 12, first: int = 10, each: int = 3, p: Profile = GENERIC, index: DataFrame | None = None, leg: str = "law_scoped") -> DataFrame:
+    """Chunks of the laws in scope: the ``first`` nearest of the first law, ``each`` of the others, and the first law's ``text_rescue``; in
+    order of the laws, and in a law by distance less topic bonus.
+
+    questions: qid, question, qvec, scope (law ids, best first).
+    """
+    asked = questions.select("qid", "qvec", F.slice(content_tokens("question", p), 1, 12).alias("_t"), F.array_distinct("scope").alias("scope"))
+    of = asked.select("qid", "qvec", "_t", F.posexplode("scope").alias("_at", law))
+    inside = of.join(rows.select("chunk_id", law, "vector"), law)
+    scored = inside.select("qid", "_t", "_at", "chunk_id", distance(F.col("vector"), F.col("qvec")).alias("_d"), F.struct("qid", law).alias("_by"))
+    near = top_k(scored, "_by", [F.col("_d"), F.col("chunk_id")], max(first, each)).where(F.col("rank") <= F.when(F.col("_at") == 0, first).otherwise(each)).select("qid", "chunk_id")
+    found = near.unionByName(text_rescue(questions, rows, law, p, index=index)).distinct()
+    # texts are read and normalised for the few chunks that were found
+    kept = scored.join(found, ["qid", "chunk_id"]).join(rows.select("chunk_id", "chunk_text"), "chunk_id")
+    order = [F.col("_at"), F.round(F.col("_d") - topic_bonus(normalize("chunk_text", p), F.col("_t")), 6), F.col("chunk_id")]
+    return ranked(top_k(kept, "qid", order, limit), leg)
+
+
 def article_leg(questions: DataFrame, rows: DataFrame, law: str, limit: int) -> DataFrame:
     """Chunks with the asked article: of the laws in scope, or of all laws where the scope is empty, nearest first.
 

@@ -111,6 +111,48 @@ def holding(hays: DataFrame, needles: DataFrame, hay: str, needle: str) -> DataF
     return h.join(best.withColumn("_g", F.col("_rarest._g")).drop("_rarest"), "_g").where(F.col(hay).contains(F.col(needle))).drop("_g")
 
 
+def gram_index(rows: DataFrame, key: str, text: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """(on, key, _g): the distinct runs of three code points of each text, packed into a number, in time linear in the text.
+
+    Store it, sorted or bucketed by (on, _g), to look needles up without reading texts.
+    """
+    return _with_grams(rows.select(*on, key, text), text)
+
+
+def _with_grams(df: DataFrame, text: str) -> DataFrame:
+    """The other columns and ``_g`` for each run of three code points in text; texts of fewer give no row."""
+    kept = [f for f in df.schema.fields if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256))):
+            made = []
+            for t in b.column(len(kept)).to_pylist():
+                c = np.frombuffer((t or "").encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+                made.append(np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:]))
+            of = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(of) for i in range(len(kept))), pa.array(np.concatenate(made) if made else [], pa.int64())], [*(f.name for f in kept), "_g"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["_g long"])
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def holding_in(index: DataFrame, rows: DataFrame, needles: DataFrame, key: str, text: str, needle: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns of needles): rows whose text holds the needle, of those that equal it in ``on``, by the needle's rarest run of ``index`` there.
+
+    A needle meets the postings of one run, and only the rows found there are read and compared.
+    """
+    keys = list(needles.columns)
+    n = _with_grams(needles.where(F.length(needle) >= 3).withColumn("_text", F.col(needle)), "_text")
+    at = [*on, "_g"]
+    asked = index.join(n.select(*at).distinct(), at, "left_semi")
+    often = asked.groupBy(*at).agg(F.count("*").alias("_often"))
+    # an inner join: a needle with a run that no text has is dropped by the number of its runs
+    runs = n.groupBy(*keys).agg(F.count("*").alias("_runs"))
+    best = n.join(often, at).groupBy(*keys).agg(F.min(F.struct("_often", "_g")).alias("_r"), F.count("*").alias("_met")).join(runs, keys).where("_met = _runs")
+    found = asked.join(best.select(*keys, F.col("_r._g").alias("_g")), at).select(*keys, key)
+    return found.join(rows.select(key, text), key).where(F.col(text).contains(F.col(needle))).drop(text)
+
+
 def terms(c: Column) -> Column:
     """Lower-cased runs of letters and digits; no stemming, no stop words."""
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")

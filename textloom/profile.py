@@ -19,15 +19,15 @@ class Profile:
     repealed: str = "repealed"
     marker_line: str = r"^\s*[0-9]{1,4}\s*$"
     #: Groups: 1 first number, 2 last number of a range.
-    reference: str = r"(?:articles?|section)\s*[-–—]?\s*([0-9]{1,4})(?:\s*[-–—]\s*([0-9]{1,4}))?"
+    reference: str = r"(?i)(?:articles?|section)\s*[-–—]?\s*([0-9]{1,4})(?:\s*[-–—]\s*([0-9]{1,4}))?"
     #: Look-behind shorthand of one reference; group 1 is the number.
-    shorthand: str = r"(?<![^\s])art\.?\s*([0-9]{1,4})(?![0-9])"
+    shorthand: str = r"(?i)(?<![^\s])art\.?\s*([0-9]{1,4})(?![0-9])"
     #: Groups: 1 number, 2 letter, 3 "bis".
-    header: str = r"^[ \t]*(?:article|section)[ \t]*[-–—]?[ \t]*([0-9]{1,4})(?:[ \t]*([A-Za-z]))?(?:[ \t]*(bis))?[ \t]*$"
+    header: str = r"(?i)^[ \t]*(?:article|section)[ \t]*[-–—]?[ \t]*([0-9]{1,4})(?:[ \t]*([A-Za-z]))?(?:[ \t]*(bis))?[ \t]*$"
     bis: str = "bis"
     #: Groups: 1 number, 2 year.
-    citation: str = r"no\.?\s*\(?\s*([0-9]+)\s*\)?\s*(?:of|/)\s*([0-9]{2,4})"
-    year_tail: str = r"(?:of|/)\s*[0-9]{2,4}\s*$"
+    citation: str = r"(?i)\bno\.?\s*\(?\s*([0-9]+)\s*\)?\s*(?:of|/)\s*([0-9]{2,4})"
+    year_tail: str = r"(?i)(?:of|/)\s*[0-9]{2,4}\s*$"
     kinds: tuple[str, ...] = ("regulation", "decree", "notice", "decision", "law")
     phrase_kinds: tuple[str, ...] = ("law", "regulation", "instructions")
     title_kinds: tuple[str, ...] = ("law", "regulation", "instructions", "decision", "notice")
@@ -49,6 +49,9 @@ class Profile:
     title_penalties: tuple[tuple[str, float], ...] = (("amendment", 38.0), ("annex", 42.0), ("military", 48.0))
     alias_suffix: str = r"\s+(of the republic)\s*$"
     min_core: int = 8
+    #: How normalised words may stand in stored text: (ending, its other form) and (letter, what it may be everywhere).
+    ending_variants: tuple[tuple[str, str], ...] = ()
+    letter_variants: tuple[tuple[str, str], ...] = ()
     extra: dict = field(default_factory=dict)
 
 
@@ -95,5 +98,7 @@ LEGAL_AR = Profile(
         ("للاجانب", 40.0), ("تصديق", 32.0), ("اتفاقية التعاون", 30.0), ("بيان -", 28.0), ("اعادة العمل", 36.0), ("امر سلطة", 40.0), ("ائتلاف", 40.0),
     ),
     alias_suffix=r"\s+(العراقي|لجمهورية العراق|جمهورية العراق)\s*$",
+    ending_variants=(("ه", "ة"), ("ة", "ه")),
+    letter_variants=(("ي", "ى"), ("ى", "ي")),
 )
 GENERIC = Profile(lower=True)

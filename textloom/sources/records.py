@@ -1,16 +1,14 @@
-"""Reading and writing JSON-lines records, side tables and catalogue pages."""
+"""Reading and writing JSON-lines records, side tables and small state."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.upsert import last_wins
-from ..schemas import CATALOG_ITEM, LAW
+from ..schemas import LAW
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -134,53 +132,3 @@ def load_state(spark: SparkSession, path: str) -> dict:
 def backfill(spark: SparkSession, path: str, column: str, value: Column) -> None:
     """Sets a column of a stored table, new or old, from its other columns; readers see the old table until the new one is whole."""
     write_atomic(spark.read.parquet(path).withColumn(column, value), path)
-
-
-class CatalogSource(DataSource):
-    """``spark.read.format("catalog_pages").option("template", "/dir/page-{page}.json")``: one partition a page.
-
-    A page is a JSON object with ``items`` and ``totalCount``; a missing page is empty. The first page's totalCount and
-    ``pagesize`` tell how many pages there are; option ``pages`` overrides that. A network provider replaces ``fetch``.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "catalog_pages"
-
-    def schema(self) -> str:
-        return CATALOG_ITEM + ", page INT, pos BIGINT, total BIGINT"
-
-    def reader(self, schema) -> DataSourceReader:
-        return CatalogReader(schema, self.options)
-
-
-class Page(InputPartition):
-    def __init__(self, number: int):
-        super().__init__(number)
-        self.number = number
-
-
-class CatalogReader(DataSourceReader):
-    def __init__(self, schema, options):
-        self.fields = [f.name for f in schema.fields][:-3]
-        self.types = {f.name: f.dataType.typeName() for f in schema.fields}
-        self.pages, self.size = options.get("pages"), int(options.get("pagesize", "20"))
-        self.template = options["template"]
-
-    def partitions(self) -> list[Page]:
-        count = int(self.pages) if self.pages is not None else -(-int(self.fetch(0).get("totalCount") or 0) // self.size)
-        return [Page(k) for k in range(max(count, 1))]
-
-    def fetch(self, page: int) -> dict:
-        try:
-            with open(self.template.format(page=page), encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"items": [], "totalCount": 0}
-
-    def read(self, partition: Page) -> Iterator[tuple]:
-        got = self.fetch(partition.number)
-        for i, item in enumerate(got.get("items", [])):
-            row = [item.get(f) for f in self.fields]
-            row = [int(v) if v is not None and self.types[f] == "long" else None if v is None else str(v) for f, v in zip(self.fields, row, strict=True)]
-            yield (*row, partition.number, partition.number * self.size + i, got.get("totalCount", 0))
