@@ -6,9 +6,12 @@ no distance is computed. Nearness is symmetric, so the words that emitted a stri
 one shuffle by the emitted string counts them and finds the most frequent.
 
 * A word of length L emits about (2 L + 1) * A strings. They are made as sums of 64-bit products, all words of a length at once, and
-  a string is spelled out and sent only if its place in a bitmap of the vocabulary (4 MB, whatever the input) is taken. A taken place says
-  nothing yet: the join compares the strings. A vocabulary that fills the bitmap makes it useless, not wrong: then
-  all strings are sent, and grow with the distinct words, not with the text.
+  a string is spelled out and sent only if a Bloom filter of the vocabulary has it. A hit says nothing yet: the join compares the strings.
+* Two words at one edit share their first three code points or their last three (an edit at the third place or before leaves the end,
+  any other the beginning). So words are dealt into buckets by either, each bucket has a filter of its own of 4 MB, and a word's strings with the same
+  beginning or end are looked up in that bucket's only. The buckets grow with the vocabulary; a beginning that more words share than a
+  filter is made for lets more strings through to the join, and is no less right. Nothing is broadcast but the
+  alphabet. A bucket's words are dealt over tasks, each of which gets the filter first.
 * Words are counted inside a batch of texts before they are shuffled, so a frequent word is a few rows.
 * A form is at least ten times as frequent as its word, so chains of forms are no longer than the digits of the largest
   count; following them two, four, eight steps at once ends after a few joins.
@@ -32,8 +35,10 @@ from . import _text as T
 from ._io import Tables, mapped
 
 U64 = T.U64
-#: Bits of the vocabulary's bitmap, as a power of two.
-PLACES = 25
+#: Bits of a bucket's filter, as a power of two; bits for each word; places of a word in the filter.
+PLACES, BITS, PROBES = 25, 16, 6
+#: Words whose strings one task makes.
+DEALT = 100_000
 #: Words counted in a task before they are sent on.
 HELD = 200_000
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -108,8 +113,24 @@ def name(codes: np.ndarray) -> np.ndarray:
     return (value(codes) * powers(codes.shape[1] - 1)).sum(axis=1, dtype=U64)
 
 
-def place(names: np.ndarray, places: int = PLACES) -> np.ndarray:
-    return (T.mix(names) >> U64(64 - places)).astype(np.int64)
+def places(names: np.ndarray, probe: int) -> np.ndarray:
+    """The words' places in a filter; a different one for each probe."""
+    mask = U64((1 << PLACES) - 1)
+    first = names >> U64(64 - PLACES)
+    return ((first + U64(probe) * (names >> U64(64 - 2 * PLACES) | U64(1)) & mask if probe else first) & mask).astype(np.int64)
+
+
+def held(taken: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which names a filter has; each probe is made for those that passed the ones before."""
+    ok = None
+    for probe in range(PROBES):
+        at = places(names, probe)
+        hit = (taken[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        ok = np.flatnonzero(hit) if ok is None else ok[hit]
+        if not len(ok):
+            break
+        names = names[hit]
+    return ok
 
 
 def by_length(words_: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,45 +143,44 @@ def by_length(words_: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, np.frombuffer("".join(text[i] for i in at).encode("utf-32-le"), "<u4").reshape(-1, n)
 
 
-def neighbours(codes: np.ndarray, alphabet: np.ndarray, taken: np.ndarray | None) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(rows, strings): every string at one edit from each row's word once, if ``taken`` (bits by place; None: all) has its place."""
+def neighbours(codes: np.ndarray, alphabet: np.ndarray, taken: np.ndarray | None, begin: int = 0, end: int | None = None) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(rows, strings): every string at one edit at a place from begin to end (all by default) from each row's word once, if the filter ``taken`` (None: all) has it."""
     m, n = codes.shape
     p = powers(n)
     term = value(codes) * p[:n]
     before = np.concatenate([np.zeros((m, 1), U64), np.cumsum(term, axis=1, dtype=U64)], axis=1)
     whole = before[:, -1]
     a_value = value(alphabet)
+    width = len(alphabet)
 
-    def hits(names: np.ndarray) -> np.ndarray:
-        if taken is None:
-            return np.ones(names.shape, bool)
-        at = place(names.reshape(-1))
-        return ((taken[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).reshape(names.shape)
+    def hits(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = names.reshape(-1)
+        at = np.arange(len(flat)) if taken is None else held(taken, flat)
+        return (at, at) if names.ndim == 1 else (at // width, at % width)
 
-    for i in range(n):
+    for i in range(begin, min(n + 1, n + 1 if end is None else end)):
+        # a letter before place i; not the one that stands before, which is the same as one place earlier
+        rows, letter = hits((before[:, i] + (whole - before[:, i]) * U64(_STEP))[:, None] + a_value * p[i])
+        if i:
+            ok = codes[rows, i - 1] != alphabet[letter]
+            rows, letter = rows[ok], letter[ok]
+        if len(rows):
+            yield rows, _spelled(np.concatenate([codes[rows, :i], alphabet[letter][:, None], codes[rows, i:]], axis=1))
+        if i == n:
+            break
         # without code point i; of a run of equal ones, the first only
-        gone = before[:, i] + (whole - before[:, i + 1]) * U64(_BACK)
-        ok = hits(gone)
+        rows, _ = hits(before[:, i] + (whole - before[:, i + 1]) * U64(_BACK))
         if i:
-            ok &= codes[:, i] != codes[:, i - 1]
-        rows = np.flatnonzero(ok)
+            rows = rows[codes[rows, i] != codes[rows, i - 1]]
         if len(rows):
             yield rows, _spelled(np.delete(codes[rows], i, axis=1))
-        changed = (whole - term[:, i])[:, None] + a_value * p[i]
-        rows, letter = np.nonzero(hits(changed) & (codes[:, i : i + 1] != alphabet))
+        rows, letter = hits((whole - term[:, i])[:, None] + a_value * p[i])
+        ok = codes[rows, i] != alphabet[letter]
+        rows, letter = rows[ok], letter[ok]
         if len(rows):
             new = codes[rows].copy()
             new[:, i] = alphabet[letter]
             yield rows, _spelled(new)
-    for i in range(n + 1):
-        # a letter before place i; not the one that stands before, which is the same as one place earlier
-        more = (before[:, i] + (whole - before[:, i]) * U64(_STEP))[:, None] + a_value * p[i]
-        ok = hits(more)
-        if i:
-            ok &= codes[:, i - 1 : i] != alphabet
-        rows, letter = np.nonzero(ok)
-        if len(rows):
-            yield rows, _spelled(np.concatenate([codes[rows, :i], alphabet[letter][:, None], codes[rows, i:]], axis=1))
 
 
 def _spelled(codes: np.ndarray) -> list[str]:
@@ -168,60 +188,73 @@ def _spelled(codes: np.ndarray) -> list[str]:
     return [text[k : k + n] for k in range(0, len(text), n)] if n else [""] * len(codes)
 
 
-def vocabulary_bits(vocabulary: DataFrame) -> np.ndarray:
-    """The bitmap of the words' places: bounded, and summed up in blocks before it reaches the driver."""
-    blocks = 1 << 10
-    width = (1 << PLACES) // 8 // blocks
+def filters(sides: DataFrame) -> DataFrame:
+    """(bucket, bits): each bucket's filter. A bucket's words stream through one task, which holds the filter only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << PLACES, bool)
-        for b in batches:
-            for _, codes in by_length(b.column(0)):
-                bits[place(name(codes))] = True
-        rows = np.packbits(bits, bitorder="little").reshape(blocks, width)
-        full = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[k].tobytes() for k in full], pa.binary())], ["block", "bits"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
+        bucket, taken = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(taken, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if k != at:
-                    if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "bits"])
-                    at, total = k, np.zeros(width, np.uint8)
-                total |= np.frombuffer(x, np.uint8)
-        if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "bits"])
-
-    parts = mapped(vocabulary.select("word"), run, "block int, bits binary")
-    out = np.zeros((blocks, width), np.uint8)
-    for row in mapped(parts.repartition("block").sortWithinPartitions("block"), add, "block int, bits binary").toLocalIterator():
-        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
-
-
-def near_words(vocabulary: DataFrame, tables: Tables, rows: int = 512) -> DataFrame:
+            of = b.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi == lo:
+                    continue
+                if bucket != of[lo]:
+                    if bucket is not None:
+                        yield out()
+                    bucket, taken = int(of[lo]), np.zeros(1 << PLACES, bool)
+                for _, codes in by_length(b.column(1).slice(lo, hi - lo)):
+                    names = name(codes)
+                    for probe in range(PROBES):
+                        taken[places(names, probe)] = True
+        if bucket is not None:
+            yield out()
+
+    return mapped(sides.select("bucket", "word").repartition("bucket").sortWithinPartitions("bucket"), run, "bucket int, bits binary")
+
+
+def near_words(vocabulary: DataFrame, tables: Tables, least: int, rows: int = 4096) -> DataFrame:
     """word, n, n_near, near, near_n: how many words are one edit away, and the most frequent of them (null if none).
 
-    ``vocabulary`` has distinct words and their n. ``rows`` bounds the words whose strings are made at once.
+    ``vocabulary`` has distinct words of ``least`` code points or more and their n. ``rows`` bounds the words whose strings are made at once.
     """
-    sc = vocabulary.sparkSession.sparkContext
     letters = vocabulary.select(F.explode(F.split("word", "")).alias("a")).where("a <> ''").distinct()
     alphabet = np.array(sorted(ord(r["a"]) for r in letters.collect()), np.uint32)  # distinct code points: bounded by Unicode
-    known = sc.broadcast((alphabet, vocabulary_bits(vocabulary)))
+    shared = min(3, least // 2)
+    buckets = -(-2 * vocabulary.count() * BITS // (1 << PLACES)) or 1
+    ends = F.array(*[F.struct(F.lit(k).alias("side"), F.pmod(F.xxhash64(F.lit(k), end), F.lit(buckets)).cast("int").alias("bucket")) for k, end in enumerate((F.left("word", F.lit(shared)), F.right("word", F.lit(shared))))])
+    sides = vocabulary.select("word", "n", F.explode(ends).alias("s")).select("s.bucket", "s.side", "word", "n")
+    bits = tables.put("filters", filters(sides))
+    dealt = sides.groupBy("bucket").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("salts"))
+    salts = F.broadcast(dealt) if buckets <= 10_000 else dealt
+    asked = sides.join(salts, "bucket").select("bucket", F.pmod(F.xxhash64("word", F.lit(7)), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "side", "word", "n", F.lit(None).cast("binary").alias("bits"))
+    first = bits.join(dealt, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("side"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n"), "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters_, taken = known.value
+        taken = None
         for whole in batches:
-            for lo in range(0, whole.num_rows, rows):
-                b = whole.slice(lo, rows)
-                for at, codes in by_length(b.column(0)):
-                    for found, strings in neighbours(codes, letters_, taken):
-                        own = pa.array(at[found])
-                        yield pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), b.column(0).take(own), b.column(1).take(own)], ["word", "near", "near_n"])
-
-    emitted = mapped(vocabulary.select("word", "n"), run, "word string, near string, near_n long")
+            kind = whole.column(2).to_numpy(zero_copy_only=False)
+            side = whole.column(3).fill_null(0).to_numpy(zero_copy_only=False)
+            # a filter comes before its bucket's words
+            cuts = [*np.flatnonzero(kind == 0), whole.num_rows]
+            for lo, hi in zip([0, *cuts], cuts, strict=False):
+                if lo < hi and kind[lo] == 0:
+                    taken = np.frombuffer(whole.column(6)[lo].as_buffer(), np.uint8)
+                    lo += 1
+                for k in (0, 1):
+                    own = lo + np.flatnonzero(side[lo:hi] == k)
+                    for at in (own[x : x + rows] for x in range(0, len(own), rows)):
+                        words_, counts = whole.column(4).take(pa.array(at)), whole.column(5).take(pa.array(at))
+                        for of, codes in by_length(words_):
+                            for found, strings in neighbours(codes, alphabet, taken, *((0, shared) if k else (shared, None))):
+                                made = pa.array(of[found])
+                                yield pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), words_.take(made), counts.take(made)], ["word", "near", "near_n"])
+
+    emitted = mapped(asked.unionByName(first).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "kind"), run, "word string, near string, near_n long")
     best = emitted.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     return vocabulary.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.near").alias("near"), (-F.col("best.less")).alias("near_n"))
 
@@ -236,10 +269,10 @@ def spelling_variants(docs: DataFrame, least: int = 7, at_least: int = 2, times:
         raise ValueError("a form must be more frequent than its word")
     tables = Tables(docs.sparkSession)
     vocabulary = tables.put("vocabulary", word_counts(docs, least, rate).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least))
-    near = near_words(vocabulary, tables)
+    near = near_words(vocabulary, tables, least)
     ok = F.col("near_n") >= times * F.col("n")
     forms = tables.put("forms", near.select("word", "n", "n_near", F.when(ok, F.col("near")).alias("form"), F.when(ok, F.col("near_n")).alias("form_n")))
-    tables.drop("vocabulary")
+    tables.drop("vocabulary", "filters")
     steps = tables.put("steps", forms.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         on = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
