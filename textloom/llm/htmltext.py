@@ -10,7 +10,9 @@ kinds of weights are learned by gradient ascent on the likelihood of labelled pa
 
 The text directly inside a block whose marginal is at least a half is kept. Elements
 that never hold readable text (scripts, styles, forms and the like) are left out
-beforehand. White space inside a block is one space; blocks are joined by two ``\\n``
+beforehand. Inline elements lend their text to the block around them, and so do elements of unknown names that hold no blocks;
+an inline element whose class, id or role has a word against content (an advert in a sentence, say) is a node of its
+own: kept, its text stands in its block's sentence; left out, or hidden by an attribute, it goes without a break. White space inside a block is one space; blocks are joined by two ``\\n``
 in page order; nothing else is dropped and no length is capped. Null or empty html
 gives an empty text. Repeated rows give repeated rows. Columns named like the results
 are replaced, others are kept. An empty table gives no rows; a very long page must fit in a task.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 from math import exp, log1p
@@ -35,20 +38,26 @@ from ._io import scored
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+)?)*+)(?:>|\Z)""", re.S)
 #: One attribute: its whole name, and its value if it has one.
 _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+)?)?""")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _WORDS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their inside is not markup.
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
 #: Never readable text of the page.
+#: Of these, those that stand inside a sentence: they go without breaking it.
+NEVER_INLINE = frozenset("select option button svg canvas object audio video datalist math".split())
 NEVER = frozenset("script style textarea title noscript iframe xmp template head form select option button input svg canvas object audio video datalist dialog math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output picture progress q rb rp rt rtc ruby s samp slot small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+BLOCK = CLOSES_P | frozenset("html body head dd dt li tr td th tbody thead tfoot caption colgroup figcaption summary center dir menu search hgroup legend optgroup noframes dialog".split())
 #: An element of the left kind ends an open one of the right kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl article section div body html main aside nav footer header blockquote".split())
 #: Kinds of tags that share an edge potential.
 KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "nav": 3, "header": 3, "footer": 3, "aside": 3, "menu": 3, "article": 4, "main": 4, "section": 5, "div": 5, "body": 6, "html": 6, "ul": 7, "ol": 7, "li": 7, "dl": 7, "dt": 7, "dd": 7, "table": 8, "tr": 8, "td": 8, "th": 8, "tbody": 8, "thead": 8, "blockquote": 9, "pre": 9, "figure": 9, "figcaption": 9}
-N_KINDS = 10
+INLINE_KIND, N_KINDS = 10, 11
+#: Groups of cues that make an inline element a node of its own.
+APART = frozenset(range(7))
 #: Words of class, id and role attributes that speak against and for content.
 CUES = (
     frozenset("nav navbar menu navigation breadcrumb breadcrumbs pagination pager tabs toc skip".split()),
@@ -64,9 +73,11 @@ CUES = (
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "kids", "cues", "text", "link", "order", "hidden")
+    __slots__ = ("tag", "parent", "depth", "kids", "cues", "text", "link", "hidden", "host", "inline")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
+    def __init__(self, tag: str, parent: Node | None, attrs: str = "", host: Node | None = None):
+        self.host = host or self  # the block that an inline node's text stands in
+        self.inline: list[tuple[str, bool, Node | None]] = []  # open inline elements: name, hidden, own node
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.kids: list[Node] = []
         self.text: list[tuple[int, str]] = []  # (place, piece); a piece "\n" breaks the block
@@ -85,10 +96,15 @@ class Node:
 
 
 def parse(page: str) -> list[Node]:
-    """The block elements of a page, parents first. Inline elements lend their text to the block around them."""
+    """The block elements of a page and the inline ones that are nodes, parents first."""
     root = Node("html", None)
     blocks, at, place = [root], root, 0
-    inline: list[str] = []
+    tags = [(m.start(), m[1], m[2].lower()) for m in _TAG.finditer(page)] if _UNKNOWN.search(page) else []
+    starts = [p for p, closing, tag in tags if not closing and tag in BLOCK]
+    ends: dict[str, list[int]] = {}
+    for p, closing, tag in tags:
+        if closing:
+            ends.setdefault(tag, []).append(p)
     opened: Counter[str] = Counter()  # open blocks by tag, so that a stray closing tag costs no walk to the root
     pos, end = 0, len(page)
 
@@ -96,11 +112,12 @@ def parse(page: str) -> list[Node]:
         nonlocal place
         if raw:
             piece = entities.unescape(raw)
-            if not at.hidden:
-                at.text.append((place, piece))
+            if not at.hidden and not any(h for _, h, _ in at.inline):
+                to = next((n for _, _, n in reversed(at.inline) if n is not None), at)
+                to.text.append((place, piece))
                 place += 1
-                if "a" in inline:
-                    at.link += len(piece.strip())
+                if any(t == "a" for t, _, _ in at.inline):
+                    to.link += len(piece.strip())
 
     def up(node: Node) -> Node:
         k = at
@@ -108,9 +125,14 @@ def parse(page: str) -> list[Node]:
             opened[k.tag] -= 1
             k = k.parent
         opened[k.tag] -= 1
-        inline.clear()
         return node.parent or root
 
+    def holds_blocks(tag: str, after: int) -> bool:
+        """An element of an unknown name is a block if a block begins before it ends."""
+        last = ends.get(tag, [])
+        i, j = bisect_left(last, after), bisect_left(starts, after)
+        return i < len(last) and j < len(starts) and starts[j] < last[i]
+
     while pos < end:
         m = _TOKEN.search(page, pos)
         if not m:
@@ -122,6 +144,8 @@ def parse(page: str) -> list[Node]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "br" and any(h for _, h, _ in at.inline):
+            continue
         if tag == "br" or tag == "hr":
             at.text.append((place, "\n" if tag == "hr" else " "))
             place += 1
@@ -132,14 +156,21 @@ def parse(page: str) -> list[Node]:
             stop = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, pos)
             pos = stop.end() if stop else end
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag in NEVER_INLINE or tag not in BLOCK and tag not in NEVER and not opened[tag] and (closing or not holds_blocks(tag, pos)):
             if closing:
-                if tag in inline:
-                    inline.reverse()
-                    inline.remove(tag)
-                    inline.reverse()
-            else:
-                inline.append(tag)
+                for i in range(len(at.inline) - 1, -1, -1):
+                    if at.inline[i][0] == tag:
+                        del at.inline[i]
+                        break
+            elif not attrs.rstrip().endswith("/") or tag in INLINE:
+                node = Node(tag, next((n for _, _, n in reversed(at.inline) if n is not None), at), attrs, at) if "=" in attrs or "hidden" in attrs else None
+                hidden = tag in NEVER_INLINE or node is not None and node.hidden
+                if node is None or hidden or not APART.intersection(node.cues):
+                    node = None
+                else:
+                    node.parent.kids.append(node)
+                    blocks.append(node)
+                at.inline.append((tag, hidden, node))
             continue
         if closing:
             if opened[tag]:
@@ -148,7 +179,7 @@ def parse(page: str) -> list[Node]:
                     k = k.parent
                 at = up(k)
             continue
-        if tag in CLOSES_P and opened["p"]:
+        if tag in CLOSES_P and opened["p"] and not any(h for _, h, _ in at.inline):  # a button keeps its paragraph open
             k = at
             while k.parent and k.tag not in SCOPE and k.tag != "p":
                 k = k.parent
@@ -163,17 +194,18 @@ def parse(page: str) -> list[Node]:
         if tag in ("html", "body"):
             continue
         new = Node(tag, at, attrs or "")
-        new.hidden |= tag in NEVER
-        at.text.append((place, "\n"))
-        place += 1
+        new.hidden |= tag in NEVER or any(h for _, h, _ in at.inline)
+        if not any(h for _, h, _ in at.inline):
+            at.text.append((place, "\n"))
+            place += 1
         at.kids.append(new)
         blocks.append(new)
         at = new
         opened[tag] += 1
-        inline.clear()
     return blocks
 
 
+_UNKNOWN = re.compile(rf"<(?!(?:{'|'.join(sorted(BLOCK | INLINE | NEVER | RAW | VOID))})[\s/>])[a-zA-Z]", re.I)
 _SENTENCE = re.compile(r"[.!?;:,]")
 N_FEATURES = 2 + N_KINDS + 2 * len(CUES) + 14
 
@@ -182,7 +214,7 @@ def node_features(nodes: list[Node]) -> tuple[list[list[tuple[int, float]]], lis
     """Features (place, value), parents, kinds and own texts of nodes (parents first)."""
     index = {id(v): i for i, v in enumerate(nodes)}
     parent = [index[id(v.parent)] if v.parent else -1 for v in nodes]
-    kind = [KINDS.get(v.tag, 0) for v in nodes]
+    kind = [KINDS.get(v.tag, 0) if v.host is v else INLINE_KIND for v in nodes]
     texts = [" ".join("".join([p for _, p in v.text]).split()) for v in nodes]
     total = sum(map(len, texts)) or 1
     seen = 0
@@ -355,7 +387,21 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[str]]]:
         rng.shuffle(before)
         tail = pick(["</body></html>", "", "</body>"])
         pages.append(f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style></head><body>{''.join(before)}{main}{''.join(after)}{tail}")
-    return [(p, []) for p in pages]
+    # the same pages again, some with elements inside sentences: adverts and notes, hidden ones, unknown names
+    more = random.Random(seed + 1)
+    small = lambda: " ".join("".join(more.choice(_SYLLABLES) for _ in range(more.randint(1, 3))) for _ in range(more.randint(1, 6)))
+
+    def dressed(page: str) -> str:
+        def one(m: re.Match) -> str:
+            if more.random() > 0.25:
+                return m[0]
+            kind = more.choice(["ad", "promo", "share", "sponsored", "social-follow", "related", "newsletter-signup", "comment-count", "advert"])
+            extra = more.choice([f'<span class="{kind}">{small()}</span>', f'<em class="{kind}">{small()}.</em>', f'<a class="{kind}" href="#">{small()}</a>', f"<span hidden>{small()}</span>", f'<x-term class="term">\x02{small()}</x-term>', f"<button>{small()}</button>"])
+            return m[0] + extra
+
+        return re.sub(r"[.!?] (?=[A-Z])", one, page)
+
+    return [(p, []) for p in pages] + [(dressed(p), []) for p in pages[: n // 4]]
 
 
 @lru_cache(1)
@@ -437,19 +483,24 @@ def content(page: str, w: list[float], e: list, threshold: float = 0.5) -> str:
     rows, parent, kind, texts = node_features(nodes)
     p = fast_marginals([sum([w[k] * value for k, value in row]) for row in rows], e, parent, kind)
     blocks: list[tuple[int, str]] = []
+    kept: dict[int, list[tuple[int, str]]] = {}  # pieces by host; its own breaks stay where only an inline node is kept
     for v, t, q in zip(nodes, texts, p, strict=True):
         if t and q >= threshold:
-            held: list[str] = []
-            start = -1
-            for place, piece in [*v.text, (0, "\n")]:
-                if piece == "\n":
-                    if whole := " ".join("".join(held).split()):
-                        blocks.append((start, whole))
-                    held, start = [], -1
-                else:
-                    if start < 0:
-                        start = place
-                    held.append(piece)
+            if v.host is not v and id(v.host) not in kept:
+                kept[id(v.host)] = [x for x in v.host.text if x[1] == "\n"]
+            kept.setdefault(id(v.host), []).extend(v.text)
+    for pieces in kept.values():
+        held: list[str] = []
+        start = -1
+        for place, piece in [*sorted(pieces, key=lambda x: x[0]), (0, "\n")]:
+            if piece == "\n":
+                if whole := " ".join("".join(held).split()):
+                    blocks.append((start, whole))
+                held, start = [], -1
+            else:
+                if start < 0:
+                    start = place
+                held.append(piece)
     return "\n\n".join(t for _, t in sorted(blocks))
 
 
