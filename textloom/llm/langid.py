@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -85,11 +85,22 @@ def fit(rows: list[tuple[str, str]], clusters: int = 4, rounds: int = 12, reject
 
 
 def train(docs: DataFrame, per_language: int = 300, most_rows: int = 30_000, most_chars: int = 50_000) -> dict:
-    """Learns from rows whose fold of 4 is not 2 and that have a language and a text."""
-    known = docs.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Learns from rows whose fold of 4 is not 2 and that have a language and a text.
+
+    Rows of more than ``most_chars`` characters are left out where a language has shorter ones; one that has none is learned from its four shortest.
+    """
+    base = docs.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = base.where(F.length("text") <= most_chars)
+    counts = base.groupBy("lang").agg(F.count_if(F.length("text") <= most_chars).alias("n")).collect()
+    n = {r["lang"]: r["n"] for r in counts if r["n"]}
+    long_only = [r["lang"] for r in counts if not r["n"]]
+    rare: list[tuple] = []
+    if long_only:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.length("text"), F.xxhash64("text")))
+        shortest = base.where(F.col("lang").isin(long_only)).select("text", "lang", place.alias("place")).where("place <= 4")
+        rare = sorted((r["text"], r["lang"]) for r in shortest.collect())
     if not n:
-        return fit([])
+        return fit(rare)
     each = min(per_language, max(4, most_rows // len(n)))
     unit_hash = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
     share = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, (1.5 * each + 20) / c))])
@@ -99,7 +110,7 @@ def train(docs: DataFrame, per_language: int = 300, most_rows: int = 30_000, mos
     for r in sorted(rows, key=lambda r: (r["lang"], hash_of(r["text"]), r["text"])):
         if len(got := by.setdefault(r["lang"], [])) < each:
             got.append((r["text"], r["lang"]))
-    return fit([r for v in by.values() for r in v])
+    return fit([r for v in by.values() for r in v] + rare)
 
 
 def lettered(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
