@@ -642,3 +642,34 @@ def test_aligned_equals_align_on_noisy_pairs(spark):
     for i, (off, err) in want.items():
         assert got[i].n_links == (err <= 0.25) and (err > 0.25 or (got[i].best_query, got[i].best_offset) == (i - 1, off) and abs(got[i].best_error - err) < 1e-6)
     assert sum(e <= 0.25 for _, e in want.values()) >= 3
+
+
+def test_elements_inside_sentences():
+    """Unknown and hidden elements, and adverts inside a sentence, leave whole sentences; an unknown element that holds blocks is a block."""
+    page = "<html><body><article><h1>A title of the page</h1><p>The first sentence stands here and it is long enough to count, surely. And a second one.</p><p>{}</p><p>The last sentence stands here and it is long enough to count as well. Another one ends it.</p></article></body></html>"
+    w, e = htmltext.trained()
+    for inner, want in {
+        "A note <my-term>word</my-term> here is a part of the sentence.": ["A note word here is a part of the sentence."],
+        "Press <button>go</button> now. <svg><text>zz</text></svg>Then <math><mi>q</mi></math> wait for <picture><source><img></picture> the end of it.": ["Press now. Then wait for the end of it."],
+        'Some text <span hidden>secret</span>stays <span style="display:none">x</span> and <span class="ad">buy this now</span> this goes on for a while.': ["Some text stays and this goes on for a while."],
+        'See <time class="date">today</time>, <meter>5</meter> of <progress>6</progress> and <output>seven</output>.': ["See today, 5 of 6 and seven."],
+        "A <button><div>x</div> y</button> z is a sentence, long enough.": ["A z is a sentence, long enough."],
+        "</p><my-box><p>Inner paragraph of a box that is long enough to be read.</p></my-box>Tail text.": ["Inner paragraph of a box that is long enough to be read.", "Tail text."],
+        "A <br-x/>short <b>bold <i>both</b> words</i> and the rest of the sentence.": ["A short bold both words and the rest of the sentence."],
+    }.items():
+        got = htmltext.content(page.format(inner), w.tolist(), e.tolist()).split("\n\n")
+        assert [x for x in got[2:-1] if x] == want and got[0] == "A title of the page", inner
+    assert len(htmltext.parse("<x-a>" * 20000 + "<p>x" + "</x-a>" * 20000)) >= 2
+
+
+def test_rows_of_pages_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>One sentence that is long enough to be text.</p>", "old", 7)] * 2, "page_id int, url string, html string, text string, n_chars int")
+    got = htmltext.main_text(df).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].n_chars == len(got[0].text) and got[0].text != "old"
+
+
+def test_a_language_of_long_rows_is_learned(spark):
+    rows = [(i, "the cat sat on the mat and the dog ran " * 3, "en") for i in range(40)] + [(100 + i, "der hund und die katze sind nicht hier " * 1500, "de") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.lang_pred for r in langid.language(docs.where("lang = 'de'"), langid.train(docs)).collect()}
+    assert got == {"de"}

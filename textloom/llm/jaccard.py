@@ -8,12 +8,16 @@ classed by frequency: a rare token is a key by itself, frequent ones are keys in
 Losing all keys of a class of which the prefix has x tokens takes x - k + 1 missing ones (k: tokens in a key), so
 the prefix is extended until these numbers sum up to e + 1 over the classes; then every linked pair shares a key.
 
+* Of two linked sets the smaller lacks fewer: at most n - ceil(2 s / (1 + s) * n) of its tokens. So a shared key stands in the smaller
+  one's short prefix for that number, the first part of its prefix. Keys that no document has in its short prefix are
+  left out before anything is compared.
 * A class is cut into subclasses by hash, and tokens combine within one only, so that combinations grow with
   the prefix and not with its square or cube. Their number goes by the size of the set: a set uses the scheme of
   its own size level (powers of four) and, if a partner may be in the next, of that one too; a key names its level.
 * The frequency of a token is that of its place in a table of ``2 ** places`` counters: how many documents have a token there. Any
-  total order gives the same links, so a shared place costs time only. What is broadcast are two bits a place (4 MB by default, whatever
-  the input); larger inputs tell frequent from rare better with more places. A place of one document has no partner and makes no key.
+  total order gives the same links, so a shared place costs time only. What is broadcast are two bits a place (8 MB by default, whatever
+  the input); larger inputs tell frequent from rare better with more places. Places of one document make keys as others do: few are
+  left in a large input, so leaving them out would only make small inputs look cheap.
 * Documents with equal keys are compared as in ``neardup``: an exact histogram bound inside sorted streams, then
   the whole sets; components are exact, as each key's members are compared until they are one component or all met.
 
@@ -39,9 +43,9 @@ from ._io import Tables, mapped
 from .neardup import Sketcher, grouped, shingle_sets, text_hash
 
 U64 = T.U64
-#: Classes of places: one document only, rare, frequent, very frequent; and how many tokens make a key.
-ALONE, RARE, FREQUENT, HOT = range(4)
-TOGETHER = (1, 1, 2, 3)
+#: Classes of places, and how many of a class's tokens make a key.
+RARE, FREQUENT, HOT = range(3)
+TOGETHER = (1, 2, 3)
 
 
 def place_of(tokens: np.ndarray, places: int) -> np.ndarray:
@@ -52,7 +56,7 @@ def frequency_classes(docs: DataFrame, n: int, places: int) -> np.ndarray:
     """Two bits for each place, packed: its class by the number of documents that have a token there.
 
     Each task sums up its documents in one byte a place (255: that many or more) and sends blocks; the
-    blocks' sums are made in sorted streams. Frequent: above 16 and four times the mean place; very frequent: above 16 times that.
+    blocks' sums are made in sorted streams. Frequent: from 16 and four times the mean place; very frequent: from 16 times that.
     """
     blocks = 1 << max(0, places - 14)
     width = (1 << places) // blocks
@@ -91,7 +95,7 @@ def frequency_classes(docs: DataFrame, n: int, places: int) -> np.ndarray:
     seen = mapped(docs.select(F.col("text").cast("string").alias("text")), count, "block int, seen binary")
     sums = tables.put("places", mapped(seen.repartition("block").sortWithinPartitions("block"), add, "block int, docs long, total binary"))
     mean = (sums.agg(F.sum("docs")).first()[0] or 0) / (1 << places)
-    bounds = np.array([2, max(16.0, 4 * mean), 16 * max(16.0, 4 * mean)])
+    bounds = np.array([1, 16]) * max(16.0, 4 * mean)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,21 +113,22 @@ def level(size: float) -> int:
     return (int(size).bit_length() - 1) // 2
 
 
-def keys(tokens: np.ndarray, classes: np.ndarray, part: int, whole: int) -> np.ndarray:
-    """The keys of a set (sorted, distinct) whose tokens have these classes, for similarity part / whole."""
+def keys(tokens: np.ndarray, classes: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, those in the short prefix) of a set (sorted, distinct) whose tokens have these classes, for similarity part / whole."""
     n = len(tokens)
     if n * (whole - part) < part:  # no different set is similar enough
-        return np.zeros(0, U64)
+        return np.zeros(0, U64), np.zeros(0, bool)
     order = np.argsort(classes, kind="stable")
     token, kind = tokens[order], classes[order].astype(np.int64)
-    needed = n + 1 - -(-part * n // whole)
-    return np.concatenate([_keys(token, kind, needed, lv) for lv in sorted({level(n), level(n * whole // part)})])
+    needed, short = n + 1 - -(-part * n // whole), n + 1 - -(-2 * part * n // (whole + part))
+    made = [x for lv in sorted({level(n), level(n * whole // part)}) for x in _keys(token, kind, needed, short, lv)]
+    return np.concatenate([k for k, _ in made]), np.concatenate([s for _, s in made])
 
 
-def _keys(token: np.ndarray, kind: np.ndarray, needed: int, lv: int) -> np.ndarray:
-    """Keys under one level's scheme; tokens are in the global order."""
+def _keys(token: np.ndarray, kind: np.ndarray, needed: int, short: int, lv: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys under one level's scheme, and whether they stand in the short prefix; tokens are in the global order."""
     subs = max(1, 3 * 4**lv // 16)  # few enough for every set of this level, so that its keys can be taken until enough are worth it
-    salt = T.mix(np.array([lv * 4 + k for k in range(4)], U64) + U64(0x9E3779B97F4A7C15))
+    salt = T.mix(np.array([lv * 4 + k for k in range(len(TOGETHER))], U64) + U64(0x9E3779B97F4A7C15))
     size = np.array(TOGETHER)[kind]
     sub = np.where(size > 1, 1 + size * subs + (T.mix(token) % U64(subs)).astype(np.int64), 0)
     by = np.argsort(sub, kind="stable")
@@ -131,18 +136,18 @@ def _keys(token: np.ndarray, kind: np.ndarray, needed: int, lv: int) -> np.ndarr
     turn = np.empty(len(token), np.int64)
     turn[by] = np.arange(len(token)) - np.repeat(first, np.diff(np.r_[first, len(token)]))
     worth = np.cumsum((turn + 1 >= size) | (sub == 0))
-    end = int(np.searchsorted(worth, needed)) + 1  # at most the whole set
-    single = token[:end][kind[:end] == RARE]
-    made = [T.mix(single ^ salt[RARE])]
+    end, early = (int(np.searchsorted(worth, x)) + 1 for x in (needed, short))  # at most the whole set
+    single = np.flatnonzero(kind[:end] == RARE)
+    made = [(T.mix(token[single] ^ salt[RARE]), single < early)]
     for c in (FREQUENT, HOT):
         at = by[(kind[by] == c) & (by < end)]
         if len(at):
-            made += _combined(token[at], sub[at], TOGETHER[c], salt[c])
-    return np.concatenate(made)
+            made += [(k, at[last] < early) for k, last in _combined(token[at], sub[at], TOGETHER[c], salt[c])]
+    return made
 
 
-def _combined(token: np.ndarray, sub: np.ndarray, k: int, salt: np.uint64) -> list[np.ndarray]:
-    """Keys of all combinations of k tokens inside each subclass; a subclass's tokens stand together and in the global order."""
+def _combined(token: np.ndarray, sub: np.ndarray, k: int, salt: np.uint64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys of all combinations of k tokens inside each subclass, and their last tokens; a subclass's tokens stand together and in the global order."""
     made = []
     here, far = np.arange(len(token)), 0
     while True:
@@ -153,7 +158,7 @@ def _combined(token: np.ndarray, sub: np.ndarray, k: int, salt: np.uint64) -> li
             return made
         pair = T.mix(T.mix(token[here] ^ salt) + token[here + far])
         if k == 2:
-            made.append(pair)
+            made.append((pair, here + far))
             continue
         third, more = here, 0
         while True:
@@ -164,11 +169,11 @@ def _combined(token: np.ndarray, sub: np.ndarray, k: int, salt: np.uint64) -> li
             third, pair = third[ok], pair[ok]
             if not len(third):
                 break
-            made.append(T.mix(T.mix(pair) + token[third + far + more]))
+            made.append((T.mix(T.mix(pair) + token[third + far + more]), third + far + more))
 
 
 def features(docs: DataFrame, n: int, similarity: float, places: int) -> DataFrame:
-    """As ``neardup.features``, with prefix keys for bands."""
+    """As ``neardup.features``: bands are the keys of the short prefix, more_bands the other keys."""
     part, whole = round(similarity * 100), 100
     packed = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, n, places))
 
@@ -182,18 +187,19 @@ def features(docs: DataFrame, n: int, similarity: float, places: int) -> DataFra
                     c2 = int(T.signed(T.mix(s ^ U64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=U64))[0])
                     at = place_of(s, places)
                     kind = (bits[at >> 2] >> ((at & 3) * 2).astype(np.uint8)) & 3
-                    made.append((len(s), c1, c2, T.signed(keys(s, kind, part, whole)), sketch.counts(s)))
+                    found, early = keys(s, kind, part, whole)
+                    made.append((len(s), c1, c2, T.signed(found[early]), T.signed(found[~early]), sketch.counts(s)))
                 else:
-                    made.append((0, None, None, None, None))
-            kinds = [("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bands", pa.list_(pa.int64())), ("counts", pa.binary())]
-            found = [pa.array([m[i] for m in made], t) for i, (_, t) in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *found], ["doc_id", "text_hash", *(name for name, _ in kinds)])
+                    made.append((0, None, None, None, None, None))
+            kinds = [("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bands", pa.list_(pa.int64())), ("more_bands", pa.list_(pa.int64())), ("counts", pa.binary())]
+            columns = [pa.array([m[i] for m in made], t) for i, (_, t) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], ["doc_id", "text_hash", *(name for name, _ in kinds)])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash())
-    return mapped(src, run, "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, bands array<long>, counts binary")
+    return mapped(src, run, "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, bands array<long>, more_bands array<long>, counts binary")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, places: int = 24) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, places: int = 25) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id, n_links.
 
     component_id is the least doc_id reachable over links; n_links is the number of links of the document's class of equal sets

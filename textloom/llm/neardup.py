@@ -290,7 +290,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
 
 
 def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables: Tables) -> DataFrame:
-    """The result of ``near_duplicates`` from a stored table of ``features``: documents that may be linked share a value in ``bands``, whatever it stands for."""
+    """The result of ``near_duplicates`` from a stored table of ``features``: documents that may be linked share a value in ``bands``, whatever it stands for.
+
+    If there is a column ``more_bands``, a value may also stand there with one of the two.
+    """
     part, whole = round(similarity * 100), 100
     some = feats.where("n_shingles > 0 and doc_id is not null")
     # rep is a number of the class by itself: a doc_id may stand for several texts
@@ -298,7 +301,12 @@ def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables
     classes = tables.put("classes", least.select("c1", "c2", "n", "x.doc_id", "x.text_hash", F.monotonically_increasing_id().alias("rep")))
     # keys that more than one row has; then, of these few, each class once
     buckets = some.select("c1", "c2", F.explode("bands").alias("key"))
-    crowd = tables.put("crowd", buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    counts = buckets.groupBy("key").agg(F.count("*").alias("m"))
+    if "more_bands" in feats.columns:
+        marked = F.transform("bands", lambda k: F.struct(k.alias("key"), F.lit(1).alias("first")))
+        both = some.select("c1", "c2", F.explode(F.concat(marked, F.transform("more_bands", lambda k: F.struct(k.alias("key"), F.lit(0).alias("first"))))).alias("b")).select("c1", "c2", "b.key", "b.first")
+        buckets, counts = both.drop("first"), both.groupBy("key").agg(F.count("*").alias("m"), F.max("first").alias("f")).where("f = 1")
+    crowd = tables.put("crowd", counts.where("m > 1").select("key"))
     each = likely(buckets, crowd, "key").distinct().join(classes, ["c1", "c2"]).select("key", "rep")
     met = tables.put("buckets", each)
     size = met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")

@@ -53,7 +53,7 @@ def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.language(docs, langid.train(docs))
+    return langid.language(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
