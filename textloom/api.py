@@ -25,13 +25,15 @@ def build_store(records: DataFrame, key: str, text: str, title: str | None = Non
 def retrieve(
     questions: DataFrame, store: DataFrame, law: str, k: int = 6, depth: int = 20, in_force=None, p: Profile = GENERIC, dim: int = 64,
     title: str = "title", year: str | None = None, seeds: DataFrame | None = None, lexicon: DataFrame | None = None, text_index: DataFrame | None = None,
+    articles: DataFrame | None = None,
 ) -> DataFrame:
     """(qid, pos, chunk_id, law_book_id, leg, score). in_force: a predicate of the store, applied before any ranking.
 
     Routing evidence (phrases, seeds, cards, citations, aliases, nearest routes) decides a question's shape, scope and legs; each of
     the six legs runs over the questions whose plan has it and is cut at ``depth``. A question whose only legs find
     nothing gets the hybrid leg under their name, so that every plan has rows. text_index: ``gram_index`` of the store's chunks as
-    stored (by law); without it the in-law leg indexes the first laws' chunks.
+    stored (by law); without it the in-law leg indexes the first laws' chunks. articles: ``legs.article_rows``; with them the asked
+    article is looked up in the article index first, and such rows (chunk_id ``art:...``) are among the results.
     """
     some = store.where(in_force) if in_force is not None else store
     text = lambda c: F.col(c).cast("string") if c and c in store.columns else F.lit(None).cast("string")
@@ -40,13 +42,13 @@ def retrieve(
     registry = routing.registry_of(rows, "law", p)
     routes = registry.select("law_book_id", hashed_vector(F.col("title"), dim).alias("vector"))
     known = routing.evidence(asked, registry, routes, seeds, lexicon, p)
-    plans = plan(features(known, "question", p), k).withColumn("scope", F.col("scope_doc_ids")).persist()  # a row a question; each leg reads it
+    plans = plan(features(known, "question", p), k).withColumn("scope", F.when(F.size("scope_doc_ids") > 0, F.col("scope_doc_ids")).otherwise(F.col("route_ids"))).persist()  # a row a question; each leg reads it
     wants = lambda leg: plans.where(F.exists("legs", lambda x: x["name"] == leg))
     index = postings(rows, "chunk_id", "chunk_text")
     near = vector_top_k(asked.select("qid", "qvec"), rows, depth)
     mixed = hybrid(bm25(asked, index, index_stats(rows, "chunk_text"), depth), near, depth)
     found = [
-        legs.article_leg(wants("article_exact"), rows, "law", depth),
+        legs.article_leg(wants("article_exact"), rows, "law", depth) if articles is None else legs.article_index_leg(wants("article_exact"), articles, "law", depth, p, rows),
         legs.law_leg(wants("law_scoped"), rows, "law", depth, p=p, index=text_index),
         legs.title_leg(wants("title_like"), rows, "law", depth, p),
         legs.defining_leg(wants("defining_articles"), rows, "law", depth),
@@ -59,7 +61,9 @@ def retrieve(
     general = mixed.join(names, "qid").select("qid", "chunk_id", (F.col("rank") - 1).cast("int").alias("rank"), F.explode(F.array_distinct(use)).alias("u"))
     hits = hits.unionByName(general.select("qid", "u.leg", "rank", "chunk_id", "u.spare"))
     hits = hits.withColumn("bare", F.min("spare").over(Window.partitionBy("qid"))).where("not spare or bare")
-    full = hits.join(rows.select("chunk_id", F.col("law").alias("law_book_id"), "article_arr"), "chunk_id")
+    known_rows = rows.select("chunk_id", "law", "article_arr")
+    known_rows = known_rows if articles is None else known_rows.unionByName(articles.select("chunk_id", "law", "article_arr"))
+    full = hits.join(known_rows.select("chunk_id", F.col("law").alias("law_book_id"), "article_arr"), "chunk_id")
     full = full.withColumn("key", slot_key(F.col("law_book_id"), F.lit(None).cast("string"), F.col("article_arr"), F.col("chunk_id")))
     # comparisons of several laws give each law of the scope a place first
     sure = plans.where("shape = 'MULTI_INSTRUMENT'").select("qid", F.posexplode("scope").alias("slot", "law_book_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_workloads, retrieval_workloads, workloads  # noqa: F401  the others add their queries to workloads
+from . import catalogue_workloads, retrieval_workloads, sync_workloads, workloads  # noqa: F401  the others add their queries to workloads
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

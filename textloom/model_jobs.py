@@ -133,8 +133,11 @@ def answer(asked_: DataFrame, path: str, work: str, chain: list[Chat], check: Ch
     """
     spark = asked_.sparkSession
     none = lambda t="string": F.lit(None).cast(t)
-    old = cached(spark, path).select("cache_key", F.col("answer").alias("answer"), "model")
     full = asked_.where(F.coalesce("context", F.lit("")) != "")
+    # what the cache has now: it is written to below, and its old files go then
+    if not exists(spark, f"{work}/known/_SUCCESS"):
+        cached(spark, path).select("cache_key", "answer", "model").join(full.select("cache_key").distinct(), "cache_key").write.mode("overwrite").parquet(f"{work}/known")
+    old = spark.read.parquet(f"{work}/known")
     hits = full.join(old, "cache_key").select("qid", "question", "answer", F.lit("cached").alias("mode"), "model", F.lit("stop").alias("finish"), F.lit(False).alias("fresh"))
     fresh = full.join(old, "cache_key", "left_anti")
     once = fresh.groupBy("cache_key").agg(F.min(F.struct("question", "context")).alias("r")).select("cache_key", "r.*")

@@ -49,6 +49,13 @@ class Profile:
     title_penalties: tuple[tuple[str, float], ...] = (("amendment", 38.0), ("annex", 42.0), ("military", 48.0))
     alias_suffix: str = r"\s+(of the republic)\s*$"
     min_core: int = 8
+    #: Words of a question, words of a title, whether the title must begin with one, points: a seed's title that fits the question's kind.
+    seed_boosts: tuple[tuple[tuple[str, ...], tuple[str, ...], bool, float], ...] = ((("law",), ("law",), True, 25.0), (("regulation",), ("regulation",), False, 25.0))
+    #: A needle with this word, or of this length, is exact.
+    number_word: str = "no"
+    #: Titles of lesser acts, and the words of a question or phrase that ask for them.
+    lesser_titles: tuple[str, ...] = ("correction notice", "instructions", "decision")
+    lesser_asked: tuple[str, ...] = ("instructions", "decision", "notice")
     #: How normalised words may stand in stored text: (ending, its other form) and (letter, what it may be everywhere).
     ending_variants: tuple[tuple[str, str], ...] = ()
     letter_variants: tuple[tuple[str, str], ...] = ()
@@ -97,6 +104,10 @@ LEGAL_AR = Profile(
         ("عسكري", 48.0), ("ذيل", 42.0), ("ذيول", 42.0), ("تعديل", 38.0), ("سريان", 40.0), ("نفاذ قانون", 40.0), ("لانفاذ", 45.0), ("انفاذ قانون", 40.0),
         ("للاجانب", 40.0), ("تصديق", 32.0), ("اتفاقية التعاون", 30.0), ("بيان -", 28.0), ("اعادة العمل", 36.0), ("امر سلطة", 40.0), ("ائتلاف", 40.0),
     ),
+    seed_boosts=((("قانون",), ("قانون",), True, 25.0), (("نظام",), ("نظام",), False, 25.0), (("جامعة", "جامعات", "كلية", "كليات", "عالي"), ("عالي", "جامعة", "جامعات", "كلية"), False, 18.0)),
+    number_word="رقم",
+    lesser_titles=("بيان تصحيح", "تعليمات", "قرار"),
+    lesser_asked=("تعليمات", "قرار", "بيان"),
     alias_suffix=r"\s+(العراقي|لجمهورية العراق|جمهورية العراق)\s*$",
     ending_variants=(("ه", "ة"), ("ة", "ه")),
     letter_variants=(("ي", "ى"), ("ى", "ي")),

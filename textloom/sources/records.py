@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.upsert import last_wins
@@ -16,25 +19,60 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1) and value of every line of text files, empty ones included, however the files are split.
+
+    A task numbers the lines of each split it reads; the number of a split's first line is the sum of the lines of the splits
+    before it. Only a count for each split is shuffled.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            file, start = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+            # rows of a split stand together and in its order
+            new = [0, *(i for i in range(1, len(file)) if start[i] != start[i - 1] or file[i] != file[i - 1])]
+            place = np.empty(len(file), np.int64)
+            for lo, hi in zip(new, [*new[1:], len(file)], strict=True):
+                n = n if at == (file[lo], start[lo]) else 0
+                at = (file[lo], start[lo])
+                place[lo:hi] = np.arange(n, n + hi - lo)
+                n += hi - lo
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place)], ["file", "_start", "value", "_place"])
+
+    placed = lines.mapInArrow(run, "file string, _start long, value string, _place long")
+    counts = lines.groupBy("file", "_start").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("file").orderBy("_start")) - F.col("_n")).drop("_n")
+    return placed.join(before, ["file", "_start"]).select("file", (F.col("_before") + F.col("_place") + 1).alias("line_no"), "value")
+
+
 def read_lenient(spark: SparkSession, path: str, schema: str = LAW) -> DataFrame:
     """Objects of a JSON-lines file; bad and blank lines are left out (``quarantine`` has them)."""
-    return _parsed(spark, path, schema).where("_corrupt_record is null").drop("_corrupt_record", "_line")
+    lines = spark.read.text(path).select("value", F.lit(None).cast("string").alias("file"), F.lit(0).alias("line_no"))
+    return _parsed(lines, schema).where("_corrupt_record is null").drop("_corrupt_record", "value", "file", "line_no")
 
 
 def quarantine(spark: SparkSession, path: str, schema: str = LAW) -> DataFrame:
-    """file and line of what ``read_lenient`` leaves out."""
-    return _parsed(spark, path, schema).where("_corrupt_record is not null").select("_file", "_line")
+    """_file, line_no and _line of what ``read_lenient`` leaves out, blank lines apart."""
+    return _parsed(numbered_lines(spark, path), schema).where("_corrupt_record is not null").select(F.col("file").alias("_file"), "line_no", F.col("value").alias("_line"))
 
 
-def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file")).where(F.trim("_line") != "")
-    got = lines.withColumn("r", F.from_json("_line", schema + ", _corrupt_record STRING", {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    return got.select("r.*", "_line", "_file").withColumn("_corrupt_record", F.when(~F.col("_line").rlike(r"^\s*\{"), F.col("_line")).otherwise(F.col("_corrupt_record")))
+def _parsed(lines: DataFrame, schema: str) -> DataFrame:
+    got = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", schema + ", _corrupt_record STRING", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    return got.select("r.*", "value", "file", "line_no").withColumn("_corrupt_record", F.when(~F.col("value").rlike(r"^\s*\{"), F.col("value")).otherwise(F.col("_corrupt_record")))
 
 
 def read_strict(spark: SparkSession, path: str, schema: str = LAW) -> DataFrame:
-    """Fails on the first bad line."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Fails at a line that is no JSON object of the schema, with ``path:line``. Blank lines are passed over."""
+    got = _parsed(numbered_lines(spark, path), schema)
+    where = F.concat(F.regexp_replace("file", "^.*/", ""), F.lit(":"), F.col("line_no").cast("string"), F.lit(" is no JSON object of the schema"))
+    names = [c for c in got.columns if c not in ("_corrupt_record", "value", "file", "line_no")]
+    # the check stands in every column, so that none can be read around it
+    checked = [F.when(F.col("_corrupt_record").isNotNull(), F.raise_error(where).cast(got.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in names]
+    return got.select(*checked)
 
 
 def read_side_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,11 +81,22 @@ def read_side_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_last_wins(spark: SparkSession, path: str, schema: str, keys: list[str], order: str | None = None) -> DataFrame:
-    """The last row of each key: by a column, or by place in the (append-only) file."""
-    df = read_side_table(spark, path, schema)
+    """The last row of each key: by a column, or by place: the later file by name, then the later line, however the files are split.
+
+    An append log of Spark's own parts has no order of lines between its files: give it an order column.
+    """
     if order:
-        return last_wins(df, keys, order)
-    return last_wins(df.withColumn("_seq", F.monotonically_increasing_id()), keys, "_seq").drop("_seq")
+        return last_wins(read_side_table(spark, path, schema), keys, order)
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = _parsed(numbered_lines(spark, path), schema).where("_corrupt_record is null")
+    return last_wins(rows.withColumn("_seq", F.struct("file", "line_no")).drop("_corrupt_record", "value", "file", "line_no"), keys, "_seq").drop("_seq")
+
+
+def master_order(df: DataFrame, key: str = "lawBookID", identity: str = "identity") -> DataFrame:
+    """Sorted as master files are: by whole number of the key, then records without one by identity. Written, the parts follow each other in this order."""
+    number = F.col(key).cast("string").try_cast("bigint")
+    return df.orderBy(number.isNull(), number, F.when(number.isNull(), F.col(identity)))
 
 
 def first_records(df: DataFrame, n: int, order: str) -> DataFrame:
