@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, is_overview, normalize, phrase_fit, surface_variants, title_needles, title_penalty, topic_bonus
 from ..profile import GENERIC, Profile
-from .search import gram_index, holding, holding_in, near_best, top_k, vector_top_k
+from .search import gram_index, holding, holding_in, near_best, prefer_titled, top_k, vector_top_k
 
 
 def ranked(df: DataFrame, leg: str) -> DataFrame:
@@ -101,6 +101,42 @@ def article_leg(questions: DataFrame, rows: DataFrame, law: str, limit: int) ->
     return ranked(top_k(near, "qid", [F.col("_d"), F.col("chunk_id")], limit), "article_exact")
 
 
+def article_rows(index: DataFrame, laws: DataFrame, law: str, in_force: str, p: Profile = GENERIC) -> DataFrame:
+    """Defining articles as rows of a leg: chunk_id ``art:law:label``, law, title, year, article_label, article_arr, chunk_text, char_start. Laws known not to be in force are left out.
+
+    index: ``articles.article_index``. laws: law, title, year, status_label; a law without a row is kept, with an empty title. Of a label that a law defines
+    more than once the first place counts.
+    """
+    d = index.where("role = 'defines'").groupBy(law, "article_label").agg(F.min(F.struct("char_start", "text")).alias("x"))
+    one = laws.groupBy(law).agg(F.min(F.struct("title", F.col("year").cast("string").alias("year"), "status_label")).alias("l"))
+    full = d.join(one, law, "left").where(F.coalesce(F.col("l.status_label"), F.lit("")).isin("", in_force))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return full.select(F.concat_ws(":", F.lit("art"), F.col(law).cast("string"), "article_label").alias("chunk_id"), law, text("l.title").alias("title"), text("l.year").alias("year"), "article_label", F.array("article_label").alias("article_arr"), text("x.text").alias("chunk_text"), F.col("x.char_start").alias("char_start"))
+
+
+def article_index_leg(questions: DataFrame, articles: DataFrame, law: str, limit: int, p: Profile = GENERIC, chunks: DataFrame | None = None, scoped: int = 8) -> DataFrame:
+    """The asked article by ``article_rows``: of the first ``scoped`` laws in scope, else of all laws whose title holds what the question names.
+
+    questions: qid, question, qvec, article_label, scope. Where the scope has the article, titles only order and prefer; where
+    it has not, articles of laws that are not named are worth nothing and go. Questions that find no article at all get the
+    chunks that mention it (``article_leg`` over chunks).
+    """
+    asked = questions.where("article_label is not null").select("qid", "question", "article_label", F.slice("scope", 1, scoped).alias("scope"))
+    met = articles.select("chunk_id", law, "title", "article_label", "char_start").join(asked, "article_label")
+    inside = met.where((F.size("scope") == 0) | F.array_contains("scope", F.col(law)))
+    order = [F.col(law), F.col("char_start"), F.col("chunk_id")]
+    near = top_k(inside, "qid", order, limit).withColumn("pos", F.col("rank") - 1)
+    kept = prefer_titled(near.select("qid", "chunk_id", "title", "pos"), asked.select("qid", "question"), p).select("qid", "chunk_id", "place")
+    bare = met.where(F.size("scope") > 0).join(near.select("qid").distinct(), "qid", "left_anti")
+    loose = top_k(bare, "qid", order, max(3 * limit, 12)).withColumn("pos", F.col("rank") - 1)
+    named = prefer_titled(loose.select("qid", "chunk_id", "title", "pos"), asked.select("qid", "question"), p, hard=True).select("qid", "chunk_id", "place")
+    found = kept.unionByName(named).where(F.col("place") < limit).select("qid", F.lit("article_exact").alias("leg"), F.col("place").cast("int").alias("rank"), "chunk_id")
+    if chunks is None:
+        return found
+    rest = questions.join(found.select("qid").distinct(), "qid", "left_anti")
+    return found.unionByName(article_leg(rest, chunks, law, limit))
+
+
 def defining_leg(questions: DataFrame, rows: DataFrame, law: str, limit: int) -> DataFrame:
     """Chunks with articles 1 to 3: inside the scope in overview order; for questions without a scope the nearest of all laws."""
     low = rows.where(F.arrays_overlap("article_arr", F.array(F.lit("1"), F.lit("2"), F.lit("3"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bounded_in, citations, contains_any, core_title, cues, instrument_kind, normalize
 from ..profile import GENERIC, Profile
+from .search import holding
 
 
 def briefs(laws: DataFrame, p: Profile = GENERIC, key: str = "law_book_id", title: str = "title") -> DataFrame:
@@ -19,7 +20,7 @@ def briefs(laws: DataFrame, p: Profile = GENERIC, key: str = "law_book_id", titl
     num = F.when(code != "", code).otherwise(F.coalesce(match["num"], F.lit("")))
     return laws.where(F.col(key).isNotNull() & (F.col(key) != 0)).select(
         key, F.col(title).alias("title"), num.alias("num"), year.alias("year"), core_title(title, p).alias("core"), instrument_kind(title, p).alias("kind"),
-        normalize(F.concat_ws(" ", text("classification"), text("law_index"), text("category"), F.col(title)), p).alias("class_blob"),
+        normalize(F.concat_ws(" ", text("classification"), text("law_index"), text("category"), F.col(title)), p).alias("class_blob"), normalize(text("classification"), p).alias("class_norm"), normalize(text("law_index"), p).alias("index_norm"),
         F.array_distinct(F.concat(own, citations(text("notes"), p))).alias("cites"), normalize(text("notes"), p).alias("notes"), text("flag").alias("flag"), normalize(title, p).alias("title_norm"),
     )
 
@@ -31,31 +32,35 @@ def _narrow(df: DataFrame, by: list[str], flag: Column) -> DataFrame:
 
 
 def decide(cands: DataFrame, p: Profile = GENERIC, by: list[str] | None = None) -> DataFrame:
-    """One base of several, or none: longest core in title and notes, then equal kind, then class overlap, strictly best.
+    """One base of several, or none: the longest core in title and notes; of those held, equal kind; then class overlap, strictly best.
 
-    Columns: the keys of ``by``, base, base_core, base_kind, base_class, kind, class_blob, hay.
+    Columns: the keys of ``by``, base, base_core, base_kind, base_class, kind, class_blob, hay; if there are, base_class_norm and base_index_norm: a
+    whole classification in the amender's words is worth 3 points, a whole index entry 2, a word of three letters 1.
     """
     by = by or ["amender"]
     w = Window.partitionBy(*by)
     inside = bounded_in(F.col("base_core"), F.col("hay"), p)
     size = F.when(inside, F.length("base_core")).otherwise(0)
     one = cands.withColumn("_s", size).withColumn("_m", F.max("_s").over(w))
-    two = _narrow(one, by, (F.col("_s") == F.col("_m")) & (F.col("_m") > 0))
+    # a single longest core decides; of several equally long, all that are held stay
+    one = one.withColumn("_l", F.sum(F.when((F.col("_s") == F.col("_m")) & (F.col("_m") > 0), 1).otherwise(0)).over(w))
+    two = _narrow(one, by, F.when(F.col("_l") == 1, F.col("_s") == F.col("_m")).otherwise(F.col("_s") > 0))
     three = _narrow(two, by, (F.col("base_kind") == F.col("kind")) & (F.col("kind") != ""))
     tokens = F.filter(F.split("base_class", " "), lambda t: F.length(t) >= 3)
-    score = F.size(F.filter(tokens, lambda t: F.col("class_blob").contains(t)))
+    whole = lambda c, n: F.when((F.col(c) != "") & F.col("class_blob").contains(F.col(c)), n).otherwise(0) if c in cands.columns else F.lit(0)
+    score = F.size(F.filter(tokens, lambda t: F.col("class_blob").contains(t))) + whole("base_class_norm", 3) + whole("base_index_norm", 2)
     four = three.withColumn("_c", score).withColumn("_n", F.count("*").over(w)).withColumn("_b", F.max("_c").over(w))
     left = four.where("_n = 1 or (_c = _b and _c > 0)").withColumn("_n2", F.count("*").over(w))
-    return left.where("_n2 = 1").drop("_s", "_m", "_c", "_n", "_b", "_n2")
+    return left.where("_n2 = 1").drop("_s", "_m", "_l", "_c", "_n", "_b", "_n2")
 
 
 def amendment_edges(rows: DataFrame, amending: Column, p: Profile = GENERIC, key: str = "law_book_id") -> DataFrame:
     """(base, amender, method, confidence), at most one base for each amender; its own number is no citation.
 
     Citations are an equi-join on (num, year). Titles are compared only for amenders whose citations match
-    nothing: cores meet titles through their first word, an equi-join as well.
+    nothing: cores meet titles through their rarest three characters, an equi-join as well.
     """
-    base = rows.where(~amending).select(F.col(key).alias("base"), F.col("num").alias("b_num"), F.col("year").alias("b_year"), F.col("core").alias("base_core"), F.col("kind").alias("base_kind"), F.col("class_blob").alias("base_class"))
+    base = rows.where(~amending).select(F.col(key).alias("base"), F.col("num").alias("b_num"), F.col("year").alias("b_year"), F.col("core").alias("base_core"), F.col("kind").alias("base_kind"), F.col("class_blob").alias("base_class"), F.col("class_norm").alias("base_class_norm"), F.col("index_norm").alias("base_index_norm"))
     amend = rows.where(amending).select(F.col(key).alias("amender"), "num", "year", "kind", "class_blob", "cites", F.concat_ws(" ", "title_norm", "notes").alias("hay"), "title_norm")
     cited = amend.select("*", F.posexplode("cites").alias("prio", "c")).where(~((F.col("c.num") == F.col("num")) & (F.col("c.year") == F.col("year"))))
     met = cited.join(base, (F.col("c.num") == F.col("b_num")) & (F.col("c.year") == F.col("b_year")) & (F.col("base") != F.col("amender")))
@@ -64,9 +69,12 @@ def amendment_edges(rows: DataFrame, amending: Column, p: Profile = GENERIC, key
     sure = first.where("n = 1").select("base", "amender", F.lit("num_year").alias("method"), F.lit("high").alias("confidence"))
     tied = decide(first.where("n > 1"), p).select("base", "amender", F.lit("classification").alias("method"), F.lit("medium").alias("confidence"))
     rest = amend.join(first.select("amender").distinct(), "amender", "left_anti")
-    words = rest.select("*", F.explode(F.array_distinct(F.split("title_norm", r"[^\p{L}\p{Nd}]+"))).alias("_w"))
-    named = words.join(base.where("base_core <> ''").withColumn("_w", F.get(F.split("base_core", r"[^\p{L}\p{Nd}]+"), F.lit(0))), "_w").where(bounded_in(F.col("base_core"), F.col("title_norm"), p) & (F.col("base") != F.col("amender"))).drop("_w")
-    longest = named.withColumn("_l", F.max(F.length("base_core")).over(w)).where(F.length("base_core") == F.col("_l")).withColumn("n", F.count("*").over(w))
+    # distinct cores meet titles; the bases of a core are joined to what is found
+    held = holding(rest.select("amender", "title_norm"), base.where("base_core <> ''").select("base_core").distinct(), "title_norm", "base_core").where(bounded_in(F.col("base_core"), F.col("title_norm"), p)).select("amender", "base_core")
+    top = held.withColumn("_l", F.max(F.length("base_core")).over(w)).where(F.length("base_core") == F.col("_l")).drop("_l")
+    own = rest.select("amender", F.col("kind"), "class_blob", "hay", "title_norm")
+    named = top.join(base, "base_core").where(F.col("base") != F.col("amender")).join(own, "amender")
+    longest = named.withColumn("n", F.count("*").over(w))
     single = longest.where("n = 1").select("base", "amender", F.lit("title_contain").alias("method"), F.when(F.length("base_core") >= 12, "high").otherwise("medium").alias("confidence"))
     several = decide(longest.where("n > 1"), p).select("base", "amender", F.lit("title_contain").alias("method"), F.lit("medium").alias("confidence"))
     return sure.unionByName(tied).unionByName(single).unionByName(several)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alias_score, dangerous_alias, instrument_phrases, normalize, phrase_fit, title_aliases, title_penalty
+from ..functions.text import alias_score, contains_any, dangerous_alias, instrument_phrases, normalize, phrase_fit, title_aliases, title_penalty
 from ..profile import GENERIC, Profile
 from .search import holding, near_best, top_k
 from .upsert import last_wins
@@ -59,15 +61,52 @@ def lexicon_hits(questions: DataFrame, lex: DataFrame, p: Profile = GENERIC, lea
     return top_k(near_best(best, qid, "score", within), qid, [F.desc("score"), F.desc(key)], first)
 
 
+def lesser(title_norm: Column, asked: Column, p: Profile = GENERIC) -> Column:
+    """14 points off a title of a lesser act that is not asked for."""
+    return F.when(contains_any(title_norm, p.lesser_titles) & ~contains_any(asked, p.lesser_asked), 14.0).otherwise(0.0)
+
+
+def year_points(year: Column) -> Column:
+    """The first four digits of the year over 200: newer titles first, mildly."""
+    return F.coalesce(F.substring(year.cast("string"), 1, 4).try_cast("int"), F.lit(0)) / 200.0
+
+
+def seed_boost(title_norm: Column, question_norm: Column, p: Profile = GENERIC) -> Column:
+    """Points for a title of the kind that the question speaks of. Words are compared as they are in the profile, unfolded."""
+    total = F.lit(0.0)
+    for asked, words, begins, points in p.seed_boosts:
+        fits = reduce(lambda a, w: a | title_norm.startswith(w), words, F.lit(False)) if begins else contains_any(title_norm, words)
+        total = total + F.when(contains_any(question_norm, asked) & fits, points).otherwise(0.0)
+    return total
+
+
+def phrase_kind(title_norm: Column, phrase: Column, p: Profile = GENERIC) -> Column:
+    """20 points where phrase and title are of one kind: the first kind at the title's beginning, the others anywhere in it."""
+    total = F.lit(0.0)
+    for i, kind in enumerate(p.phrase_kinds):
+        fits = title_norm.startswith(kind) if i == 0 else title_norm.contains(kind)
+        total = total + F.when(phrase.startswith(kind) & fits, 20.0).otherwise(0.0)
+    return total
+
+
 def seed_hits(questions: DataFrame, registry: DataFrame, seeds: DataFrame, p: Profile = GENERIC, least: int = 5, limit: int = 8, qid: str = "qid", text: str = "question", key: str = "law_book_id") -> DataFrame:
-    """Rules whose alias stands in the question, then titles that hold the rule's needle. Seeds are a small dimension table."""
-    s = seeds.select("rule_id", normalize("alias", p).alias("_a"), normalize("needle", p).alias("_n")).where(F.length("_a") >= least)
+    """Rules whose alias stands in the question (``least`` characters), then titles that hold one of the rule's needles.
+
+    A title scores the longest alias that the question has, kind and recency, 12 for an exact needle, how the rule's longest alias fits it,
+    less penalties. Aliases meet questions, and needles titles, through their rarest three characters.
+    """
+    s = seeds.select("rule_id", normalize("alias", p).alias("_a"), normalize("needle", p).alias("_n"))
     q = questions.select(qid, normalize(text, p).alias("_q"))
-    fired = q.join(F.broadcast(s), F.col("_q").contains(F.col("_a")))
-    rule = fired.groupBy(qid, "_q", "rule_id", "_n").agg(F.max_by("_a", F.struct(F.length("_a"), "_a")).alias("_a"))
-    r = registry.select(key, normalize("title", p).alias("_t"), F.coalesce(F.col("year").try_cast("int"), F.lit(0)).alias("_y"))
+    fired = holding(q, s.where(F.length("_a") >= least).select("rule_id", "_a").distinct(), "_q", "_a")
+    size = fired.groupBy(qid, "_q", "rule_id").agg(F.max(F.length("_a")).alias("_size"))
+    # equal lengths: the first in order of code points
+    longest = s.groupBy("rule_id").agg(F.min(F.struct((-F.length("_a")).alias("n"), "_a")).alias("_l")).select("rule_id", F.col("_l._a").alias("_long"))
+    rule = size.join(longest, "rule_id").join(s.select("rule_id", "_n").distinct(), "rule_id")
+    r = registry.select(key, normalize("title", p).alias("_t"), year_points(F.col("year")).alias("_y"))
     met = holding(r, rule, "_t", "_n")
-    score = F.length("_a") + F.col("_y") / 200.0 + phrase_fit(F.col("_t"), F.col("_a")) - title_penalty(F.col("_t"), F.col("_q"), p)
+    exact = F.when(F.col("_n").contains(p.number_word) | (F.length("_n") >= 18), 12.0).otherwise(0.0)
+    t, asked = F.col("_t"), F.col("_q")
+    score = F.col("_size") + seed_boost(t, asked, p) + F.col("_y") + exact + phrase_fit(t, F.col("_long")) - title_penalty(t, asked, p) - lesser(t, asked, p)
     best = met.withColumn("_s", score).where("_s > 0").groupBy(qid, key).agg(F.round(F.max("_s"), 6).alias("score"))
     return top_k(best, qid, [F.desc("score"), F.desc(key)], limit)
 
@@ -75,14 +114,15 @@ def seed_hits(questions: DataFrame, registry: DataFrame, seeds: DataFrame, p: Pr
 def phrase_hits(questions: DataFrame, registry: DataFrame, p: Profile = GENERIC, limit: int = 8, qid: str = "qid", text: str = "question", key: str = "law_book_id") -> DataFrame:
     """Named phrases against titles (either way) and their first six aliases of at least six characters."""
     q = questions.select(qid, normalize(text, p).alias("_q"), F.explode(instrument_phrases(text, p)).alias("_p"))
-    r = registry.select(key, normalize("title", p).alias("_t"), F.coalesce(F.col("year").try_cast("int"), F.lit(0)).alias("_y"), F.filter(F.transform(F.slice("aliases", 1, 6), lambda a: normalize(a, p)), lambda a: F.length(a) >= 6).alias("_al"))
+    r = registry.select(key, normalize("title", p).alias("_t"), year_points(F.col("year")).alias("_y"), F.filter(F.transform(F.slice("aliases", 1, 6), lambda a: normalize(a, p)), lambda a: F.length(a) >= 6).alias("_al"))
     hit = F.get(F.filter("_al", lambda a: F.col("_p").contains(a) | a.contains(F.col("_p"))), F.lit(0))
     p1, al = q.select("_p").distinct(), r.select(key, F.explode("_al").alias("_a"))
     pairs = holding(r.select(key, "_t"), p1, "_t", "_p").select(key, "_p")
     pairs = pairs.unionByName(holding(al, p1, "_a", "_p").select(key, "_p")).unionByName(holding(p1, al, "_p", "_a").select(key, "_p")).distinct()
     met = q.join(pairs, "_p").join(r, key)
     size = F.when(F.col("_t").contains(F.col("_p")), F.length("_p")).otherwise(F.least(F.length(hit), F.length("_p")))
-    score = size + F.col("_y") / 200.0 + phrase_fit(F.col("_t"), F.col("_p")) - title_penalty(F.col("_t"), F.col("_q"), p)
+    t, phrase = F.col("_t"), F.col("_p")
+    score = size + phrase_kind(t, phrase, p) + F.col("_y") + phrase_fit(t, phrase) - title_penalty(t, F.col("_q"), p) - lesser(t, phrase, p)
     best = met.withColumn("_s", score).where("_s > 0").groupBy(qid, key).agg(F.round(F.max("_s"), 6).alias("score"))
     return top_k(best, qid, [F.desc("score"), F.desc(key)], limit)
 

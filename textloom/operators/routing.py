@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import citations, first_citation, normalize, title_aliases
+from ..functions.text import citations, first_citation, instrument_phrases, normalize, title_aliases
 from ..profile import GENERIC, Profile
 from .registry import lexicon_hits, phrase_hits, seed_hits
 from .search import holding, vector_top_k
@@ -17,10 +17,14 @@ def registry_of(rows: DataFrame, law: str, p: Profile = GENERIC) -> DataFrame:
     return one.where("title is not null").withColumn("aliases", title_aliases("title", p))
 
 
-def longest_alias(questions: DataFrame, registry: DataFrame, p: Profile = GENERIC) -> DataFrame:
-    """(qid, alias_len): of the longest registry alias that stands in the question; questions without one are left out."""
+def longest_alias(questions: DataFrame, registry: DataFrame, p: Profile = GENERIC, seeds: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """(qid, alias_len): of the longest alias of registry, seeds (five characters or more) or cards that stands in the question; questions without one are left out."""
     hays = questions.select("qid", normalize("question", p).alias("_q"))
-    needles = registry.select(F.explode("aliases").alias("_a")).select(normalize("_a", p).alias("_n")).where(F.length("_n") >= 4).distinct()
+    needles = registry.select(F.explode("aliases").alias("_a")).select(normalize("_a", p).alias("_n")).where(F.length("_n") >= 4)
+    for more, name in ((seeds, "alias"), (lexicon, "alias_norm")):
+        if more is not None:
+            needles = needles.unionByName(more.select(normalize(name, p).alias("_n")).where(F.length("_n") >= 5))
+    needles = needles.distinct()
     return holding(hays, needles, "_q", "_n").groupBy("qid").agg(F.max(F.length("_n")).cast("int").alias("alias_len"))
 
 
@@ -31,10 +35,12 @@ def cited_laws(questions: DataFrame, registry: DataFrame, p: Profile = GENERIC)
     return asked.join(own, ["num", "year"]).select("qid", "law_book_id")
 
 
-def evidence(questions: DataFrame, registry: DataFrame, routes: DataFrame | None = None, seeds: DataFrame | None = None, lexicon: DataFrame | None = None, p: Profile = GENERIC, most: int = 12) -> DataFrame:
-    """questions (qid, question, qvec) with phrase_ids, seed_ids, card_ids, citation_ids (best first), alias_len, d1 and d2.
+def evidence(questions: DataFrame, registry: DataFrame, routes: DataFrame | None = None, seeds: DataFrame | None = None, lexicon: DataFrame | None = None, p: Profile = GENERIC, most: int = 12, merged: int = 8, near: float = 0.28) -> DataFrame:
+    """questions (qid, question, qvec) with phrase_ids, seed_ids, card_ids, near_ids, citation_ids (best first), route_ids, alias_len, d1, d2 and sure.
 
-    routes: law_book_id, vector. At most ``most`` ids of a kind are kept for a question, as each list is a scope.
+    routes: law_book_id, vector. At most ``most`` ids of a kind are kept for a question, as each list is a scope. route_ids are the
+    first ``merged`` of phrases, seeds, cards and nearest routes, each law once, in that order. ``sure``: the question names an
+    instrument, has a long alias or a near route (distance of at most ``near``), so that routed laws go before the general ranking.
     """
     out = questions
 
@@ -51,9 +57,17 @@ def evidence(questions: DataFrame, registry: DataFrame, routes: DataFrame | None
     add(seed_hits(questions, registry, seeds, p) if seeds is not None else None, "seed_ids")
     add(lexicon_hits(questions, lexicon, p) if lexicon is not None else None, "card_ids")
     add(cited_laws(questions, registry, p), "citation_ids")
-    out = out.join(longest_alias(questions, registry, p), "qid", "left")
+    out = out.join(longest_alias(questions, registry, p, seeds, lexicon), "qid", "left")
     if routes is not None:
-        near = vector_top_k(questions.select("qid", "qvec"), routes, 2, key="law_book_id")
-        two = near.groupBy("qid").agg(F.min(F.when(F.col("rank") == 1, F.col("distance"))).alias("d1"), F.min(F.when(F.col("rank") == 2, F.col("distance"))).alias("d2"))
+        found = vector_top_k(questions.select("qid", "qvec"), routes, max(2 * merged, 16), key="law_book_id")
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("law_book_id").cast("bigint").alias("law")))), lambda x: x["law"])
+        two = found.groupBy("qid").agg(F.min(F.when(F.col("rank") == 1, F.col("distance"))).alias("d1"), F.min(F.when(F.col("rank") == 2, F.col("distance"))).alias("d2"), ids.alias("near_ids"))
         out = out.join(two, "qid", "left")
-    return out
+    else:
+        out = out.withColumns({"d1": F.lit(None).cast("double"), "d2": F.lit(None).cast("double"), "near_ids": F.lit(None).cast("array<bigint>")})
+    out = out.withColumn("near_ids", F.coalesce("near_ids", F.array().cast("array<bigint>")))
+    named = (F.size(instrument_phrases("question", p)) > 0) | (F.size("phrase_ids") > 0)
+    return out.withColumns({
+        "route_ids": F.slice(F.array_distinct(F.concat("phrase_ids", "seed_ids", "card_ids", "near_ids")), 1, merged),
+        "sure": named | F.coalesce(F.col("alias_len") >= 10, F.lit(False)) | F.coalesce(F.col("d1") <= near, F.lit(False)),
+    })
