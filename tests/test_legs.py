@@ -68,7 +68,7 @@ def test_matrix_and_join_give_the_same_rows(spark, monkeypatch):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "qid int, qvec array<float>")
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [0.0, 1.0]), ("d", None), ("e", [1.0]), ("f", [0.0, 0.0])], "chunk_id string, vector array<float>")
     fast = sorted(map(tuple, search.vector_top_k(q, rows, 3).collect()))
-    monkeypatch.setattr(search, "BLOCK", 0)
+    monkeypatch.setattr(search, "BLOCK", 1)
     assert fast == sorted(map(tuple, search.vector_top_k(q, rows, 3).collect())) and len(fast) == 9
     assert search.vector_top_k(q.limit(0), rows, 3).count() == 0
 

@@ -72,11 +72,14 @@ def test_catalog_pages(spark, tmp_path):
 
 
 def test_limiter_batch_and_stream_agree(spark, tmp_path):
-    rows = [("a", float(t)) for t in (0, 1, 2, 61, 62, 63, 64, 200)] + [("b", 5.0)]
+    rows = [("a", float(t)) for t in (0, 1, 2, 61, 62, 63, 64, 200)] + [("b", 5.0), ("b", None), ("c", None)]
     df = spark.createDataFrame(rows, "ip string, t double").withColumn("ts", F.timestamp_seconds("t"))
     want = {(r.ip, r.t, r.ok) for r in jobs.accepted(df, "ip", "ts", 2, 60.0).collect()}
     seen, plain = [], set()
     for ip, t in rows:
+        if t is None:
+            plain.add((ip, t, True))
+            continue
         live = [x for i, x in seen if i == ip and x > t - 60]
         ok = len(live) < 2
         if ok:
@@ -100,6 +103,8 @@ def test_merge_stream_replay_changes_nothing(spark, tmp_path):
     run("c1")
     first = {(r.id, r.fp) for r in spark.read.parquet(path).collect()}
     assert first == {(1, "C"), (2, "B")}
+    run("c2")  # from the beginning: the old row of 1 comes again, and the newer one after it
+    assert {(r.id, r.fp) for r in spark.read.parquet(path).collect()} == first
 
 
 def test_providers(spark):

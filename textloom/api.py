@@ -14,6 +14,7 @@ from .operators.search import bm25, hybrid, index_stats, postings, vector_top_k
 from .plans.planner import features, plan
 from .profile import GENERIC, Profile
 from .providers import hashed_vector
+from .shared import stored
 
 
 def build_store(records: DataFrame, key: str, text: str, title: str | None = None, status: str | None = None, p: Profile = GENERIC, dim: int = 64) -> DataFrame:
@@ -42,7 +43,8 @@ def retrieve(
     registry = routing.registry_of(rows, "law", p)
     routes = registry.select("law_book_id", hashed_vector(F.col("title"), dim).alias("vector"))
     known = routing.evidence(asked, registry, routes, seeds, lexicon, p)
-    plans = plan(features(known, "question", p), k).withColumn("scope", F.when(F.size("scope_doc_ids") > 0, F.col("scope_doc_ids")).otherwise(F.col("route_ids"))).persist()  # a row a question; each leg reads it
+    planned = plan(features(known, "question", p), k).withColumn("scope", F.when(F.size("scope_doc_ids") > 0, F.col("scope_doc_ids")).otherwise(F.col("route_ids")))
+    plans = stored(planned, "plans")  # a row a question; each leg reads it
     wants = lambda leg: plans.where(F.exists("legs", lambda x: x["name"] == leg))
     index = postings(rows, "chunk_id", "chunk_text")
     near = vector_top_k(asked.select("qid", "qvec"), rows, depth)

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import instrument_phrases, normalize, phrase_fit, title_penalty
 from ..profile import GENERIC, Profile
+from ..shared import stored
 from ..shipping import ship
 
 RRF = 60
-#: Questions that are shipped with a task as one matrix; more of them meet the rows in a join.
+#: Questions that are shipped with a task as one matrix; more of them follow in further blocks.
 BLOCK = 8192
 
 
@@ -34,22 +35,42 @@ def top_k(df: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def vector_top_k(questions: DataFrame, rows: DataFrame, k: int, where: Column | None = None, qid: str = "qid", qvec: str = "qvec", key: str = "chunk_id", vec: str = "vector", exclude: Column | None = None) -> DataFrame:
+def blocks(questions: DataFrame, qid: str) -> Iterator[pa.Table]:
+    """The questions as tables of about BLOCK rows, one at a time; all rows of a qid are in one of them."""
+    first = questions.limit(BLOCK + 1).toArrow()
+    if len(first) <= BLOCK:
+        yield first
+        return
+    parts = -(-5 * questions.count() // (4 * BLOCK))
+    for i in range(parts):
+        yield questions.where(F.pmod(F.xxhash64(qid), F.lit(parts)) == i).toArrow()
+
+
+def by_blocks(questions: DataFrame, qid: str, found) -> DataFrame:
+    """The union of ``found(table)`` over the questions' blocks; of several, each is stored before the next is made, so that the driver holds one."""
+    out, many = None, False
+    held = None
+    for t in blocks(questions, qid):
+        if held is not None:
+            many = True
+            one = stored(found(held), "block")
+            out = one if out is None else out.unionByName(one)
+        held = t
+    last = stored(found(held), "block") if many else found(held)
+    return last if out is None else out.unionByName(last)
+
+
+def vector_top_k(questions: DataFrame, rows: DataFrame, k: int, where: Column | None = None, qid: str = "qid", qvec: str = "qvec", key: str = "chunk_id", vec: str = "vector", others: bool = False) -> DataFrame:
     """(qid, key, distance, rank): exact cosine top-k of each question among rows that pass ``where`` (before the top-k).
 
-    Questions are the stated, small side of the comparison; the first k of a question on each partition leave it.
+    Questions meet the rows as matrices, a block of them at a time; the first k of a question in each batch of rows leave it. With ``others``
+    a question's own row (key equal to qid) does not count.
     """
     some = rows.where(where) if where is not None else rows
-    if exclude is None:
-        asked = questions.select(qid, qvec).limit(BLOCK + 1).toArrow()
-        if len(asked) <= BLOCK:
-            return _matrix_top_k(asked, questions, some, k, qid, key, vec)
-    norm = F.sqrt(dot(F.col(vec), F.col(vec)))
-    left = some.select(key, F.col(vec).alias("_v"), norm.alias("_vn"))
-    right = questions.select(qid, F.col(qvec).alias("_q"), F.sqrt(dot(F.col(qvec), F.col(qvec))).alias("_qn"))
-    both = left.join(right, how="cross" if exclude is None else "inner", on=None if exclude is None else exclude)
-    d = F.coalesce(F.when((F.col("_vn") > 0) & (F.col("_qn") > 0), 1 - dot(F.col("_v"), F.col("_q")) / (F.col("_vn") * F.col("_qn"))), F.lit(1.0))
-    return top_k(both.select(qid, key, F.round(d, 6).alias("distance")), qid, [F.col("distance"), F.col(key)], k)
+    n = k + 1 if others else k
+    found = by_blocks(questions.select(qid, qvec), qid, lambda asked: _matrix_top_k(asked, questions, some, n, qid, key, vec))
+    order = [F.col("distance"), F.col(key)]
+    return top_k(found.where(F.col(qid) != F.col(key)), qid, order, k) if others else found
 
 
 def vectors(col: pa.Array, dim: int) -> np.ndarray:
@@ -66,7 +87,7 @@ def vectors(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def _matrix_top_k(asked: pa.Table, questions: DataFrame, rows: DataFrame, k: int, qid: str, key: str, vec: str) -> DataFrame:
-    """The same by a matrix product of each batch with the questions (at most BLOCK, shipped with the task); a batch gives each
+    """The same by a matrix product of each batch with the questions (about BLOCK, shipped with the task); a batch gives each
     question's first k, and those that may tie with them after rounding."""
     dim = int(pc.max(pc.list_value_length(asked[1])).as_py() or 0) if len(asked) else 0
     q = vectors(asked[1], dim) if len(asked) else np.zeros((0, 0))
@@ -165,17 +186,77 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(questions: DataFrame, index: DataFrame, stats: DataFrame, k: int, qid: str = "qid", text: str = "question", key: str = "chunk_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, key, score, rank). stats: one row (n_docs, avg_dl). Only postings of asked terms leave their partition."""
-    asked = questions.select(qid, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    want = asked.select("term").distinct()
+    """(qid, key, score, rank). stats: one row (n_docs, avg_dl). Only postings of asked terms leave their partition, each once, whatever the number of questions.
+
+    Postings are dealt by chunk; a batch of chunks is a matrix of weights by term, which a block of questions (rows of term marks) is
+    multiplied with, and each question's first k of a batch leave it.
+    """
+    asked = questions.select(qid, F.array_distinct(terms(F.col(text))).alias("_terms"))
+    want = asked.select(F.explode("_terms").alias("term")).distinct()
     met = index.join(want, "term", "left_semi")
     df = met.groupBy("term").agg(F.count("*").alias("df"))
-    scored = met.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    parts = scored.select("term", key, (idf * tf).alias("w")).join(asked, "term")
-    total = parts.groupBy(qid, key).agg(F.round(F.sum("w"), 4).alias("score"))
-    return top_k(total, qid, [F.desc("score"), F.col(key)], k)
+    weights = met.join(df, "term").crossJoin(F.broadcast(stats)).select(key, "term", (idf * tf).alias("w"))
+    dealt = weights.repartition(F.col(key)).sortWithinPartitions(key)
+    schema = f"`{qid}` {questions.schema[qid].dataType.simpleString()}, `{key}` {index.schema[key].dataType.simpleString()}, score double"
+    ship(questions.sparkSession)
+    return by_blocks(asked, qid, lambda t: top_k(dealt.mapInArrow(_weighted_top_k(t, k, qid, key), schema), qid, [F.desc("score"), F.col(key)], k))
+
+
+def _weighted_top_k(asked: pa.Table, k: int, qid: str, key: str, at_once: int = 512):
+    """A function over batches of (key, term, w), sorted by key: each question's best k chunks of a batch, and those that may tie with them."""
+    names, lists = asked[0].combine_chunks(), asked[1].to_pylist()
+    vocabulary = {t: i for i, t in enumerate(sorted({t for ts in lists for t in ts or []}))}
+    of = np.repeat(np.arange(len(lists)), [len(ts or []) for ts in lists])
+    term = np.array([vocabulary[t] for ts in lists for t in ts or []], np.int64)
+    if isinstance(names, pa.ChunkedArray):
+        names = pa.concat_arrays(names.chunks)
+
+    def best(chunk: pa.Array, word: list[str], w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.array([vocabulary.get(x, -1) for x in word], np.int64)
+        col = pc.dictionary_encode(chunk)
+        ids = col.indices.to_numpy(zero_copy_only=False)
+        for begin in range(0, len(col.dictionary), at_once):  # chunks stand in order, so these are a run of rows
+            run_ = slice(*np.searchsorted(ids, [begin, begin + at_once]))
+            ok = at[run_] >= 0
+            here, row = np.unique(at[run_][ok], return_inverse=True)
+            if not len(here):
+                continue
+            weight = np.zeros((len(here), min(at_once, len(col.dictionary) - begin)))
+            np.add.at(weight, (row, ids[run_][ok] - begin), w[run_][ok])
+            place = np.full(len(vocabulary), -1)
+            place[here] = np.arange(len(here))
+            for lo in range(0, len(lists), at_once):
+                mine = (of >= lo) & (of < lo + at_once) & (place[term] >= 0)
+                marks = np.zeros((min(at_once, len(lists) - lo), len(here)))
+                marks[of[mine] - lo, place[term[mine]]] = 1
+                score = np.round(marks @ weight, 4)
+                n = min(k, score.shape[1])
+                last = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n]
+                i, j = np.nonzero((score > 0) & (score >= last - 1e-4))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i + lo)), col.dictionary.take(pa.array(j + begin)), pa.array(score[i, j])], [qid, key, "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None  # a chunk's postings may stand in two batches
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            chunk = t[0].combine_chunks()
+            chunk = pa.concat_arrays(chunk.chunks) if isinstance(chunk, pa.ChunkedArray) else chunk
+            if not len(chunk):
+                continue
+            same = pc.equal(chunk, chunk[len(chunk) - 1]).to_numpy(zero_copy_only=False)
+            cut = len(chunk) if not same.any() else int(np.argmax(same))
+            whole, rest = t.slice(0, cut), t.slice(cut)
+            if cut:
+                yield from best(chunk.slice(0, cut), whole[1].to_pylist(), whole[2].to_numpy())
+        if rest is not None and rest.num_rows:
+            chunk = rest[0].combine_chunks()
+            chunk = pa.concat_arrays(chunk.chunks) if isinstance(chunk, pa.ChunkedArray) else chunk
+            yield from best(chunk, rest[1].to_pylist(), rest[2].to_numpy())
+
+    return run
 
 
 def index_stats(rows: DataFrame, text: str) -> DataFrame:

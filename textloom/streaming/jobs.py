@@ -13,9 +13,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from ..operators.upsert import last_wins, merge
+from ..operators.upsert import merge
 from ..shipping import ship
-from ..sources.records import exists, write_atomic
+from ..sources.generations import bucket_of, rewrite_touched
 
 
 def accepted(df: DataFrame, key: str, ts: str, limit: int = 8, seconds: float = 60.0, tie: str | None = None) -> DataFrame:
@@ -50,7 +50,10 @@ def accepted(df: DataFrame, key: str, ts: str, limit: int = 8, seconds: float =
 
 
 def limited_stream(stream: DataFrame, key: str, ts: str, limit: int = 8, seconds: float = 60.0) -> DataFrame:
-    """The streaming form of ``accepted``: state per key holds the accepted times of the window; idle keys expire."""
+    """The streaming form of ``accepted``: state per key holds the accepted times of the window; idle keys expire.
+
+    Requests are judged as they arrive: inside a frame of a micro-batch in order of time, frames in their order. A request without a time is ok and leaves no trace.
+    """
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -61,6 +64,9 @@ def limited_stream(stream: DataFrame, key: str, ts: str, limit: int = 8, seconds
             f = f.sort_values("t", kind="stable")
             ok = []
             for t in f["t"]:
+                if t != t:  # no time: as in ``accepted``
+                    ok.append(True)
+                    continue
                 seen = [x for x in seen if x > t - seconds]
                 ok.append(len(seen) < limit)
                 if ok[-1]:
@@ -73,16 +79,20 @@ def limited_stream(stream: DataFrame, key: str, ts: str, limit: int = 8, seconds
     return src.groupBy(key).applyInPandasWithState(run, f"{key} string, t double, ok boolean", "seen array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def merge_stream(stream: DataFrame, path: str, checkpoint: str, key: str, fingerprint: str, seq: str) -> StreamingQuery:
-    """Upserts each micro-batch into the table at path. A batch that is run again changes nothing, as its fingerprints are there."""
+def merge_stream(stream: DataFrame, path: str, checkpoint: str, key: str, fingerprint: str, seq: str, buckets: int = 64) -> StreamingQuery:
+    """Upserts each micro-batch into the table at path, which is dealt into buckets by key: only those with a key of the batch are written.
+
+    A batch that is run again changes nothing, as its fingerprints are there. The table has a column ``bucket`` besides those of the stream.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        if exists(spark, path):
-            merged, _, _ = merge(spark.read.parquet(path), batch, key, fingerprint, seq)
-        else:
-            merged = last_wins(batch, [key], seq)
-        write_atomic(merged.select(batch.columns), path)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
+        at = bucket_of(key, buckets)
+
+        def change(held: DataFrame) -> DataFrame:
+            return merge(held.drop("bucket"), batch, key, fingerprint, seq)[0].select(batch.columns).withColumn("bucket", at)
+
+        rewrite_touched(batch.sparkSession, path, batch.select(at.alias("bucket")), change, schema)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

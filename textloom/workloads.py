@@ -18,6 +18,7 @@ from .functions import web
 from .operators import articles, chunking, fusion, legs, links, registry, reports, routing, search, upsert
 from .plans import planner
 from .profile import GENERIC
+from .shared import stored
 from .streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,7 +310,7 @@ def _vectors(spark, d, where=None, k=6):
     e = read(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     rows = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
-    return search.vector_top_k(q, rows, k, where, exclude=F.col("qid") != F.col("chunk_id")).withColumn("rank", F.col("rank").cast("long"))
+    return search.vector_top_k(q, rows, k, where, others=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_topk_sql(""))
@@ -696,6 +697,6 @@ def article_index_roles(spark, d):
 def ask_end_to_end(spark, d):
     """Flagship: in-force documents are chunked and indexed; each benchmark question is routed, planned, retrieved over six legs and fused."""
     docs = inforce_filter(spark, d).select("doc_id").join(read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("title")), "doc_id")
-    store = api.build_store(docs, "doc_id", "text").persist()  # each leg reads it
+    store = stored(api.build_store(docs, "doc_id", "text"), "store")  # each leg reads it
     questions = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"))
     return api.retrieve(questions, store, "doc_id")
