@@ -289,10 +289,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, bins:
     return grouped(docs, tables.put("features", features(docs, n, bins, rows)), n, similarity, tables)
 
 
-def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables: Tables) -> DataFrame:
+def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables: Tables, first_hubs: int = 0) -> DataFrame:
     """The result of ``near_duplicates`` from a stored table of ``features``: documents that may be linked share a value in ``bands``, whatever it stands for.
 
-    If there is a column ``more_bands``, a value may also stand there with one of the two.
+    If there is a column ``more_bands``, a value may also stand there with one of the two. Where a document has many hubs, ``first_hubs`` rounds
+    compare it with its most central hub outside its component only, so that confirmed links grow with the documents and not
+    with documents times hubs; then with all hubs that are left.
     """
     part, whole = round(similarity * 100), 100
     some = feats.where("n_shingles > 0 and doc_id is not null")
@@ -313,8 +315,8 @@ def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables
     # the hub is the member that meets most others over all its buckets: of copies of one text, the text rather than a copy
     central = met.join(size, "key").groupBy("rep").agg(F.sum(F.col("m") - 1).alias("meets"))
     placed = tables.put("placed", met.join(central, "rep").select("key", "rep", "meets"))
-    hub = placed.groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("far"), "rep")).alias("hub")).select("key", F.col("hub.rep").alias("g"))
-    group = tables.put("groups", placed.join(hub, "key").where("rep <> g").select("g", "rep").distinct())
+    hub = placed.groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("far"), "rep")).alias("hub")).select("key", F.col("hub.rep").alias("g"), *([F.col("hub.far").alias("far")] if first_hubs else []))
+    group = tables.put("groups", placed.join(hub, "key").where("rep <> g").drop("key", "meets").distinct())
     tables.drop("crowd", "buckets", "placed")
     # only these take part in any round
     ids = group.select("rep").unionByName(group.select(F.col("g").alias("rep"))).distinct().join(classes.select("rep", "n", "doc_id", "text_hash"), "rep")
@@ -336,9 +338,26 @@ def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables
         return meet(heads, members, texts, lambda col: objects(shingle_sets(col, n), len(col)), exact(part, whole))
 
     hubs = group.select("g", F.col("g").alias("rep"), F.col("g").alias("label")).distinct()
-    star = possible(hubs, group.select("g", "rep", F.col("rep").alias("label")))
+    left, early, labels = group, None, None
+    for k in range(first_hubs):
+        if labels is not None:
+            of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))  # noqa: B023, E731
+            left = left.join(of("g"), "g", "left").join(of("rep"), "rep", "left").where("coalesce(l_g, g) <> coalesce(l_rep, rep)").select("g", "rep", "far")
+            left = tables.put(f"left-{k}", left)
+        one = left.groupBy("rep").agg(F.min(F.struct("far", "g")).alias("x")).select(F.col("x.g").alias("g"), "rep")
+        found = tables.put(f"early-{k}", confirmed(tables.put("pairs", possible(hubs, one.select("g", "rep", F.col("rep").alias("label"))))))
+        early = found if early is None else early.unionByName(found)
+        labels = components(early, tables)
+        left = left.join(one, ["g", "rep"], "left_anti")
+    if early is not None:
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+        left = left.join(of("g"), "g", "left").join(of("rep"), "rep", "left").where("coalesce(l_g, g) <> coalesce(l_rep, rep)")
+    star = possible(hubs, left.select("g", "rep", F.col("rep").alias("label")))
     edges = tables.put("edges-0", confirmed(tables.put("pairs", star)))
+    if early is not None:
+        edges = edges.unionByName(early)
     labels = components(edges, tables)
+    group = group.select("g", "rep")
     # a hub has met its group; the group's members have yet to meet each other
     rest, rounds = group, 0
     while True:
@@ -367,6 +386,7 @@ def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables
     tops = labels.join(least, "label").select(F.col("node").alias("rep"), "top")
     linked_ = classes.select("c1", "c2", "rep", F.col("doc_id").alias("own")).join(tops, "rep", "left").join(degree, "rep", "left")
     top = tables.put("members", linked_.select("c1", "c2", F.coalesce("top", "own").alias("top"), F.coalesce("class_links", F.lit(0)).alias("class_links")))
+    tables.drop(*(f"{name}-{k}" for k in range(first_hubs) for name in ("early", "left")))
     tables.drop("classes", "groups", "ids", "sketches", "texts", "pairs", "open", "turn", "labels", *(f"edges-{i}" for i in range(rounds + 1)))
     placed = feats.select("doc_id", "text_hash", "n_shingles", "c1", "c2").join(top, ["c1", "c2"], "left")
     group = F.coalesce("top", "doc_id")
