@@ -75,3 +75,67 @@ def context(hits: DataFrame, by: str, order: list[str], title: str, text: str, t
     head = F.when(F.lag(title).over(w).eqNullSafe(F.col(title)), F.lit("same source")).otherwise(F.coalesce(F.col(title), F.lit("")))
     blocks = hits.withColumn("_n", n).withColumn("_b", F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] "), head, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))))
     return blocks.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_b"))), lambda s: s["_b"]), "\n\n---\n\n").alias(to))
+
+
+#: What the parts of a source's header are called.
+WORDS = {"source": "source", "year": "year", "same": "same law", "status": "status", "careful": "may be amended", "pulled": "from a linked amending law", "amended_by": "amended by", "article": "article"}
+
+
+def sourced_context(hits: DataFrame, by: str, order: list[str], amended: str = "A", amending: str = "B", links: DataFrame | None = None, words: dict[str, str] = WORDS, law: str = "law_book_id", to: str = "context") -> DataFrame:
+    """One text per question: a block for each source with its title, year, address and what is to be known of it, joined by a rule.
+
+    hits: ``by``, law, title, year, source_url, text, status_label, law_flag, article_label and pulled (a row that an amendment brought in); nulls
+    read as empty. links: ``links.nested`` rows, whose first three amenders are named for laws flagged ``amended``. A title that repeats the one
+    before is not written again.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    full = hits
+    if links is not None:
+        names = F.array_join(F.transform(F.slice("amended_by", 1, 3), lambda a: F.substring(F.coalesce(a["title"], F.lit("")), 1, 50)), "; ")
+        full = hits.join(links.select(F.col("base").alias(law), names.alias("_names")), law, "left")
+    else:
+        full = hits.withColumn("_names", F.lit(None).cast("string"))
+    w = Window.partitionBy(by).orderBy(*order)
+    bit = lambda ok, name, value=None: F.when(ok, F.lit(words[name]) if value is None else F.concat(F.lit(words[name] + ": "), value))
+    bits = F.concat_ws(
+        " | ",
+        bit(text("status_label") != "", "status", text("status_label")),
+        F.when(text("law_flag").isin(amended, amending), F.concat(F.lit(words["careful"] + " ("), text("law_flag"), F.lit(")"))),
+        bit(F.coalesce("pulled", F.lit(False)), "pulled"),
+        bit((text("law_flag") == amended) & (text("_names") != ""), "amended_by", text("_names")),
+        bit(text("article_label") != "", "article", text("article_label")),
+    )
+    full = full.withColumns({"_n": F.row_number().over(w), "_last": F.lag(text("title")).over(w), "_bits": F.when(bits != "", F.concat(F.lit(" | "), bits)).otherwise("")})
+    number = F.concat(F.lit(f"[{words['source']} "), F.col("_n").cast("string"), F.lit("] "))
+    whole = F.concat(number, text("title"), F.lit(f" ({words['year']} "), text("year"), F.col("_bits"), F.lit(") — "), text("source_url"))
+    same = F.concat(number, F.lit(f"({words['same']}"), F.col("_bits"), F.lit(")"))
+    head = F.when((text("title") != "") & F.coalesce(text("title") == F.col("_last"), F.lit(False)), same).otherwise(whole)
+    blocks = full.withColumn("_b", F.concat(head, F.lit("\n"), text("text")))
+    return blocks.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_b"))), lambda s: s["_b"]), "\n\n---\n\n").alias(to))
+
+
+#: Characters of a source's text that are shown beside a looked-up and a generated answer.
+SHOWN = {"lookup": 500, "generated": 400}
+
+
+def source_view(rows: DataFrame, mode: str = "generated", whole: bool = False, keys: tuple[str, ...] = ("qid", "pos")) -> DataFrame:
+    """keys and the columns that are shown of a source; nulls are empty texts. Texts are cut unless ``whole``."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    number = lambda c: F.col(c).cast("double") if c in rows.columns else F.lit(None).cast("double")
+    shown = text("text") if whole else F.substring(text("text"), 1, SHOWN[mode])
+    plain = [text(c).alias(c) for c in ("chunk_id", "title", "year", "status_label", "law_flag", "source_url")]
+    return rows.select(*keys, *plain, F.trim(text("article_nums"), F.lit(",")).alias("article_nums"), shown.alias("text"), number("distance").alias("distance"), number("relevance").alias("relevance"))
+
+
+def looked_up(rows: DataFrame, by: str = "qid", asked: str = "asked", most: int = 3) -> DataFrame:
+    """(by, answer): an asked article answered by the sources that have it, articles before chunks, the label itself before mentions, then as they came.
+
+    rows: by, pos, asked (the article), article_label, article_arr, title, year, source_url, text. Questions whose sources lack the article are left out.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = F.coalesce(F.col("article_label") == F.col(asked), F.lit(False))
+    has = rows.where(own | F.coalesce(F.array_contains("article_arr", F.col(asked)), F.lit(False)))
+    w = Window.partitionBy(by).orderBy((text("article_label") == "").cast("int"), (~own).cast("int"), "pos")
+    part = F.concat(F.lit("— "), text("title"), F.lit(" ("), text("year"), F.lit(")\n"), text("source_url"), F.lit("\n"), F.regexp_replace(text("text"), r"(?U)^\s+|\s+$", ""))
+    top = has.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).withColumn("_p", part)
+    return top.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_p"))), lambda s: s["_p"]), "\n\n").alias("answer"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import web
-from .operators import legs, links, registry, routing
+from .operators import fusion, legs, links, registry, routing
 from .workloads import _DIST, _HTML, _STOPS, PARTS, query, read
 
 #: The words of a question in order: longest first, then as they came.
@@ -134,3 +134,42 @@ def routing_longest_aliases(spark, d):
     """The longest alias in each customer's question, over the aliases of all parts."""
     laws, asked = _routed(spark, d)
     return routing.longest_alias(asked, laws).select("qid", F.col("alias_len").cast("long").alias("alias_len"))
+
+
+# --- what is shown of sources ---
+def _sources(spark, d):
+    c = read(spark, d, "conversations")
+    t = F.col("turn")
+    return c.select("conv_id", "turn", t.alias("pos"), (t % 5).alias("law_book_id"), F.when(t % 4 != 3, F.col("role")).alias("title"), (2000 + t).cast("string").alias("year"), F.concat(F.lit("u/"), t.cast("string")).alias("source_url"), "text",
+        F.when(t % 2 == 0, "in-force").alias("status_label"), F.when(t % 3 == 1, "A").when(t % 3 == 2, "B").otherwise("").alias("law_flag"), F.when(t % 2 == 1, (t % 3).cast("string")).alias("article_label"), (t % 6 == 5).alias("pulled"),
+        F.array((t % 3).cast("string"), ((t + 1) % 3).cast("string")).alias("article_arr"), F.concat(F.lit(","), (t % 3).cast("string"), F.lit(",")).alias("article_nums"))
+
+
+_SRC = """s AS (SELECT conv_id, turn, turn % 5 AS law, coalesce(CASE WHEN turn % 4 <> 3 THEN role END, '') AS title, CAST(2000 + turn AS VARCHAR) AS year, 'u/' || turn AS url, coalesce(text, '') AS text,
+ CASE WHEN turn % 2 = 0 THEN 'in-force' ELSE '' END AS status, CASE turn % 3 WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE '' END AS flag, CASE WHEN turn % 2 = 1 THEN CAST(turn % 3 AS VARCHAR) ELSE '' END AS label, turn % 6 = 5 AS pulled FROM conversations)"""
+
+
+@query(f"""WITH {_SRC}, l AS (SELECT n_regionkey AS law, string_agg(n_name, '; ' ORDER BY n_nationkey) AS names FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) WHERE r <= 3 GROUP BY 1),
+ b AS (SELECT s.*, names, row_number() OVER w AS n, lag(title) OVER w AS last, concat_ws(' | ', CASE WHEN status <> '' THEN 'status: ' || status END, CASE WHEN flag <> '' THEN 'may be amended (' || flag || ')' END, CASE WHEN pulled THEN 'from a linked amending law' END,
+  CASE WHEN flag = 'A' AND names <> '' THEN 'amended by: ' || names END, CASE WHEN label <> '' THEN 'article: ' || label END) AS bits FROM s LEFT JOIN l USING (law) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+ SELECT conv_id, md5(string_agg(CASE WHEN title <> '' AND title = last THEN '[source ' || n || '] (same law' || CASE WHEN bits <> '' THEN ' | ' || bits ELSE '' END || ')' ELSE '[source ' || n || '] ' || title || ' (year ' || year || CASE WHEN bits <> '' THEN ' | ' || bits ELSE '' END || ') — ' || url END || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n)) AS context FROM b GROUP BY 1""")
+def context_headers(spark, d):
+    """Conversations as questions' sources, with status, flags, amenders and articles in their headers."""
+    n = read(spark, d, "nation")
+    one = F.array_sort(F.collect_list(F.struct("n_nationkey", F.col("n_name").alias("title"))))
+    links_ = n.groupBy(F.col("n_regionkey").cast("bigint").alias("base")).agg(one.alias("amended_by"))
+    return fusion.sourced_context(_sources(spark, d), "conv_id", ["turn"], links=links_).select("conv_id", F.md5("context").alias("context"))
+
+
+@query(f"WITH {_SRC} SELECT conv_id, turn, title, year, status AS status_label, flag AS law_flag, CAST(turn % 3 AS VARCHAR) AS article_nums, md5(text[1:500]) AS text, length(text[1:500]) AS n FROM s")
+def source_views(spark, d):
+    got = fusion.source_view(_sources(spark, d), "lookup", keys=("conv_id", "turn"))
+    return got.select("conv_id", "turn", "title", "year", "status_label", "law_flag", "article_nums", F.md5("text").alias("text"), F.length("text").cast("long").alias("n"))
+
+
+@query(rf"""WITH {_SRC}, a AS (SELECT s.*, CAST(conv_id % 3 AS VARCHAR) AS asked FROM s), h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN label = '' THEN 1 ELSE 0 END, CASE WHEN label = asked THEN 0 ELSE 1 END, turn) AS n FROM a WHERE label = asked OR CAST(turn % 3 AS VARCHAR) = asked OR CAST((turn + 1) % 3 AS VARCHAR) = asked)
+ SELECT conv_id, md5(string_agg('— ' || title || ' (' || year || ')' || chr(10) || url || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY n)) AS answer FROM h WHERE n <= 3 GROUP BY 1""")
+def exact_hits(spark, d):
+    """Every conversation asks for an article, and its turns are the sources."""
+    rows = _sources(spark, d).withColumn("asked", (F.col("conv_id") % 3).cast("string"))
+    return fusion.looked_up(rows, "conv_id").select("conv_id", F.md5("answer").alias("answer"))
