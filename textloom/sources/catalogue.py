@@ -145,6 +145,7 @@ def discover(spark: SparkSession, options: dict, known: DataFrame, path: str, ke
     if state["stopped"]:
         return state
     step = int(options.get("step", 5))
+    last: dict = {}  # the state as this run has saved it: the table itself is being replaced while the loop below looks
 
     def each(batch: DataFrame, number: int) -> None:
         now = start | load_state(spark, f"{path}/state")
@@ -155,12 +156,14 @@ def discover(spark: SparkSession, options: dict, known: DataFrame, path: str, ke
             batch.write.mode("overwrite").parquet(at)
         if between:
             between(number)
-        save_state(spark, now | _digest(spark, at, known, path, number, now, key, size, least, limit, step, start["page"]), f"{path}/state")
+        after = now | _digest(spark, at, known, path, number, now, key, size, least, limit, step, start["page"])
+        save_state(spark, after, f"{path}/state")
+        last.update(after)
 
     stream = source(spark, options | {"from": state["page"], "step": step}, True).load()
     run = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").start()
     try:
-        while run.isActive and not (start | load_state(spark, f"{path}/state"))["stopped"]:
+        while run.isActive and not last.get("stopped"):
             run.awaitTermination(poll)
     finally:
         run.stop()
