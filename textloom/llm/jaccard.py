@@ -208,5 +208,5 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, places: i
     if not 0.8 <= similarity <= 1:
         raise ValueError("the prefixes are complete for similarities from 0.8 to 1")
     tables = Tables(docs.sparkSession)
-    found = grouped(docs, tables.put("features", features(docs, n, similarity, places)), n, similarity, tables, first_hubs=2)
+    found = grouped(docs, tables.put("features", features(docs, n, similarity, places)), n, similarity, tables, first_hubs=1)
     return found.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("class_links").alias("n_links"))

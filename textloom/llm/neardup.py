@@ -217,14 +217,18 @@ def histograms(col: pa.Array) -> list[np.ndarray]:
     return [out, some]
 
 
-def bounded(part: int, whole: int):
-    """Judges by sizes and histograms: no only where a link is impossible. Members of one label need no further link."""
+def bounded(part: int, whole: int, each_label: bool = False):
+    """Judges by sizes and histograms: no only where a link is impossible. Members of one label need no further link.
+
+    With ``each_label`` a head gets only its likeliest member of each label in a batch: enough to join components that belong together, not to tell them apart.
+    """
 
     def judge(heads: list[np.ndarray], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         v, labels, size, counts, some = rows
         at, of = [], []
         for i, (u, label, n, own, known) in enumerate(zip(*heads, strict=True)):
             near = np.flatnonzero((labels != label) & (v != u) & (whole * np.minimum(size, n) >= part * np.maximum(size, n)))
+            alike = np.zeros(len(near))
             if known and len(near):
                 ok = ~some[near]
                 for lo in range(0, len(near), 4096):
@@ -232,7 +236,11 @@ def bounded(part: int, whole: int):
                     if counts.shape[1] == len(own):
                         most = np.minimum(counts[j], own).sum(axis=1, dtype=np.int64)
                         ok[lo : lo + 4096] |= linked(n, size[j], most, part, whole)
-                near = near[ok]
+                        alike[lo : lo + 4096] = most / (n + size[j] - most)
+                near, alike = near[ok], alike[ok]
+            if each_label and len(near):
+                order = np.lexsort((-alike, labels[near]))
+                near = near[order[np.r_[True, np.diff(labels[near][order]) != 0]]]
             at.append(np.full(len(near), i))
             of.append(near)
         return np.concatenate(at), np.concatenate(of)
@@ -294,7 +302,8 @@ def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables
 
     If there is a column ``more_bands``, a value may also stand there with one of the two. Where a document has many hubs, ``first_hubs`` rounds
     compare it with its most central hub outside its component only, so that confirmed links grow with the documents and not
-    with documents times hubs; then with all hubs that are left.
+    with documents times hubs; then with all hubs that are left. Members outside their group's largest component first meet the likeliest member of
+    each component, so that those which belong there join it by one link; only then the whole group.
     """
     part, whole = round(similarity * 100), 100
     some = feats.where("n_shingles > 0 and doc_id is not null")
@@ -329,8 +338,8 @@ def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables
     sketches = tables.put("sketches", of_ids(feats.select(*key, F.col("counts").alias("data"))))
     texts = tables.put("texts", of_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("data"))))
 
-    def possible(heads: DataFrame, members: DataFrame) -> DataFrame:
-        return meet(heads, members, sketches, histograms, bounded(part, whole))
+    def possible(heads: DataFrame, members: DataFrame, each_label: bool = False) -> DataFrame:
+        return meet(heads, members, sketches, histograms, bounded(part, whole, each_label))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         heads = pairs.select(F.col("u").alias("g"), F.col("u").alias("rep"), F.col("u").alias("label")).distinct()
@@ -360,6 +369,7 @@ def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables
     group = group.select("g", "rep")
     # a hub has met its group; the group's members have yet to meet each other
     rest, rounds = group, 0
+    sketched = first_hubs == 0
     while True:
         at = rest.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("g", "rep", F.coalesce("label", "rep").alias("label"))
         at = tables.put("open", at)
@@ -367,19 +377,22 @@ def grouped(docs: DataFrame, feats: DataFrame, n: int, similarity: float, tables
         top = by.groupBy("g").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("g", F.col("top.label").alias("largest"))
         small = by.join(top, "g").where("label <> largest").select("g", "label", "m", "first")
         apart = at.join(small, ["g", "label"])
-        if rounds == 0:  # one of each component first: components that belong together are then joined at little cost
+        if rounds == 0 or rounds == 1 and first_hubs:  # one of each component first: components that belong together are then joined at little cost
             apart = apart.where("rep = first")
         rank = F.row_number().over(Window.partitionBy("g").orderBy("m", "rep"))
         turn = tables.put("turn", apart.withColumn("rank", rank).where(F.col("rank") <= HEADS).select("g", "rep", "label"))
         if turn.isEmpty():
             break
         rest = at.join(top.select("g"), "g", "left_semi")
-        found = possible(turn, rest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        found = possible(turn, rest, not sketched).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         rounds += 1
         new = tables.put(f"edges-{rounds}", confirmed(tables.put("pairs", found)))
         if not new.isEmpty():
             edges = edges.unionByName(new)
             labels = components(edges, tables)
+        if not sketched:  # likeliest links only, so nobody has met the whole group yet
+            sketched, rest = True, rest.select("g", "rep")
+            continue
         rest = rest.join(turn.select("g", "rep"), ["g", "rep"], "left_anti").select("g", "rep")
     degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("class_links"))
     least = labels.join(classes.select(F.col("rep").alias("node"), "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("top"))
