@@ -197,7 +197,7 @@ def test_spelling_variants_are_all_pairs(spark, data):
 
 
 def test_spelling_variants_of_odd_rows(spark):
-    # Ana(rchist)s: chains of forms, ties by code points, repeated letters, every kind of edit
+    # chains of forms, ties by code points, repeated letters, every kind of edit
     chain = ["letterbox " * 1200, "lettebox " * 110, "lettebos " * 9]
     ties = ["marbles " * 30 + "narbles " * 30 + "zarbles " * 3, "balloonn ballooon balloon " * 2, "Ângström ângström ÂNGSTRÖM ångström×x" * 2]
     rows = [(None, chain[0]), (1, chain[1]), (2, chain[2]), (3, ties[0]), (4, ties[1]), (5, ties[2]), (6, None), (7, ""), (7, "1234567 \U0001d11e"), (8, "x" * 3000 + " " + "x" * 3000), (9, "short"), (3, ties[0])]
