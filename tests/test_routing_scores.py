@@ -112,3 +112,16 @@ def test_lines_grow_with_the_text(spark):
     assert len(rows) == 60_004 and rows[3, 1] == (2, "") and rows[4, 0] == rows[2, 0] == (0, "")
     start, line = rows[1, 59_999]
     assert text[start : start + len(line)] == line == "line 59999 é"
+
+
+def test_equal_questions_and_titles_are_scored_once(spark):
+    """5,000 equal questions and 5,000 laws of one title: pairs are not all made, ties go to the last key, and all questions are answered."""
+    reg = spark.range(5000).select(F.col("id").alias("law_book_id"), F.lit("law feline").alias("title"), (1990 + F.col("id") % 3).cast("string").alias("year"), F.array(F.lit("feline rules")).alias("aliases"))
+    q = spark.range(5000).select(F.col("id").alias("qid"), F.lit("what does the law feline say").alias("question"))
+    seeds = spark.createDataFrame([("s", "feline", "feline")], "rule_id string, alias string, needle string")
+    began = time.monotonic()
+    best = [i for i in range(4999, 0, -1) if i % 3 == 2][:8]
+    for hits in (registry.seed_hits(q, reg, seeds), registry.phrase_hits(q.withColumn("question", F.lit("what of law feline")), reg)):
+        rows = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "law_book_id"))).alias("x")).groupBy(F.col("x.law_book_id").alias("ids")).count().collect()
+        assert [(r.ids, r["count"]) for r in rows] == [(best, 5000)]
+    assert time.monotonic() - began < 60
