@@ -125,3 +125,28 @@ def test_equal_questions_and_titles_are_scored_once(spark):
         rows = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "law_book_id"))).alias("x")).groupBy(F.col("x.law_book_id").alias("ids")).count().collect()
         assert [(r.ids, r["count"]) for r in rows] == [(best, 5000)]
     assert time.monotonic() - began < 60
+
+
+def test_like_candidates_are_counted_not_paired(spark):
+    """Twenty thousand amenders and bases of a slot; the ladder's rows are those of kinds, and what is held is what ``decide`` holds."""
+    base = lambda n: spark.range(n).select(F.col("id").alias("base"), (F.col("id") % 7).alias("slot"), F.lit("").alias("base_core"), F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("base_kind"), F.when(F.col("id") < 40, F.lit("word")).when(F.col("id") == 41, F.lit("word other")).otherwise("").alias("base_class"))
+    amend = lambda n: spark.range(n).select(F.col("id").alias("amender"), (F.col("id") % 7).alias("slot"), F.concat(F.lit("k"), (F.col("id") % 2).cast("string")).alias("kind"), F.lit("word other").alias("class_blob"), F.lit("").alias("hay"))
+    small = lambda df: sorted(tuple(r) for r in df.select("amender", "base").collect())
+    for n in (1, 5, 12, 60):
+        assert small(links.decide_between(amend(30), base(n), ["slot"])) == small(links.decide(amend(30).join(base(n), "slot")))
+    began = time.monotonic()
+    assert links.decide_between(amend(100_000), base(100_000), ["slot"]).count() > 0 and time.monotonic() - began < 60
+
+
+def test_article_of_all_laws_is_found_once(spark):
+    """Questions for one label of 20,000 laws, with no scope, with a scope that has it and with one that has not."""
+    rows = spark.range(20_000).select(F.concat(F.lit("art:"), F.col("id").cast("string"), F.lit(":3")).alias("chunk_id"), F.col("id").alias("law"), F.lit("plain").alias("title"), F.lit("3").alias("article_label"), F.lit(0).alias("char_start"))
+    scope = F.when(F.col("id") % 3 == 1, F.array(F.col("id"), F.lit(7).cast("bigint"))).when(F.col("id") % 3 == 2, F.array(F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    q = spark.range(20_000).select(F.col("id").alias("qid"), F.lit("article 3").alias("question"), F.lit("3").alias("article_label"), scope.alias("scope"))
+    began = time.monotonic()
+    got = {}
+    for r in legs.article_index_leg(q, rows, "law", 2).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.chunk_id)
+    assert got[0] == got[9999] == ["art:0:3", "art:1:3"] and got[1] == ["art:1:3", "art:7:3"] and got[10_000] == ["art:7:3", "art:10000:3"]
+    # a question that names no law keeps the first of all laws
+    assert len(got) == 20_000 and got[2] == ["art:0:3", "art:1:3"] and time.monotonic() - began < 60

@@ -31,29 +31,45 @@ def _narrow(df: DataFrame, by: list[str], flag: Column) -> DataFrame:
     return df.withColumn("_f", F.coalesce(flag, F.lit(False))).withColumn("_any", F.max("_f").over(w)).where("_f or not _any").drop("_f", "_any")
 
 
-def decide(cands: DataFrame, p: Profile = GENERIC, by: list[str] | None = None) -> DataFrame:
+def decide(cands: DataFrame, p: Profile = GENERIC, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """One base of several, or none: the longest core in title and notes; of those held, equal kind; then class overlap, strictly best.
 
     Columns: the keys of ``by``, base, base_core, base_kind, base_class, kind, class_blob, hay; if there are, base_class_norm and base_index_norm: a
-    whole classification in the amender's words is worth 3 points, a whole index entry 2, a word of three letters 1.
+    whole classification in the amender's words is worth 3 points, a whole index entry 2, a word of three letters 1. ``weight``: a column with the
+    number of like bases that a row stands for.
     """
     by = by or ["amender"]
+    each = F.col(weight) if weight else F.lit(1)
     w = Window.partitionBy(*by)
     inside = bounded_in(F.col("base_core"), F.col("hay"), p)
     size = F.when(inside, F.length("base_core")).otherwise(0)
     one = cands.withColumn("_s", size).withColumn("_m", F.max("_s").over(w))
     # a single longest core decides; of several equally long, all that are held stay
-    one = one.withColumn("_l", F.sum(F.when((F.col("_s") == F.col("_m")) & (F.col("_m") > 0), 1).otherwise(0)).over(w))
+    one = one.withColumn("_l", F.sum(F.when((F.col("_s") == F.col("_m")) & (F.col("_m") > 0), each).otherwise(0)).over(w))
     two = _narrow(one, by, F.when(F.col("_l") == 1, F.col("_s") == F.col("_m")).otherwise(F.col("_s") > 0))
     three = _narrow(two, by, (F.col("base_kind") == F.col("kind")) & (F.col("kind") != ""))
     tokens = F.filter(F.split("base_class", " "), lambda t: F.length(t) >= 3)
     whole = lambda c, n: F.when((F.col(c) != "") & F.col("class_blob").contains(F.col(c)), n).otherwise(0) if c in cands.columns else F.lit(0)
     score = F.size(F.filter(tokens, lambda t: F.col("class_blob").contains(t))) + whole("base_class_norm", 3) + whole("base_index_norm", 2)
-    four = three.withColumn("_c", score).withColumn("_n", F.count("*").over(w)).withColumn("_b", F.max("_c").over(w))
-    left = four.where("_n = 1 or (_c = _b and _c > 0)").withColumn("_n2", F.count("*").over(w))
+    four = three.withColumn("_c", score).withColumn("_n", F.sum(each).over(w)).withColumn("_b", F.max("_c").over(w))
+    left = four.where("_n = 1 or (_c = _b and _c > 0)").withColumn("_n2", F.sum(each).over(w))
     return left.where("_n2 = 1").drop("_s", "_m", "_l", "_c", "_n", "_b", "_n2")
 
 
+def decide_between(amenders: DataFrame, bases: DataFrame, on: list[str], p: Profile = GENERIC) -> DataFrame:
+    """(amender, base): ``decide`` where an amender's candidates are all bases that equal it in ``on``.
+
+    amenders: amender, ``on``, kind, class_blob, hay. bases: base, ``on`` and their columns. Like bases are one candidate with their number, as
+    none of several is ever held, and like amenders are decided once: pairs are those of different kinds, not of rows.
+    """
+    like = [c for c in bases.columns if c != "base"]
+    some = bases.groupBy(*like).agg(F.min("base").alias("base"), F.count("*").alias("_many"))
+    who = F.struct(*on, "kind", "class_blob", "hay")
+    kinds = amenders.select(*on, "kind", "class_blob", "hay").distinct().withColumn("_who", who)
+    held = decide(kinds.join(some, on), p, ["_who"], "_many").select("_who", "base")
+    return amenders.select("amender", who.alias("_who")).join(held, "_who").select("amender", "base")
+
+
 def amendment_edges(rows: DataFrame, amending: Column, p: Profile = GENERIC, key: str = "law_book_id") -> DataFrame:
     """(base, amender, method, confidence), at most one base for each amender; its own number is no citation.
 
