@@ -37,13 +37,13 @@ def leg_law_chunks(spark, d):
 @query(rf"""WITH w AS ({_WORDS}), f AS (SELECT DISTINCT unnest([w, upper(w[1]) || w[2:]]) AS needle FROM w WHERE i <= 5)
  SELECT doc_id, needle FROM documents JOIN f ON contains(coalesce(text, ''), needle)""")
 def text_holding(spark, d):
-    """Documents that hold a surface form of a question's longest words, by the postings of the form's rarest three characters."""
-    from .operators.search import gram_index, holding_in
+    """Documents that hold a surface form of a question's longest words, in one pass over the texts."""
+    from .operators.search import holding_by_scan
 
     words = read(spark, d, "benchmark").select(F.slice(T.content_tokens("text"), 1, 5).alias("t")).select(F.explode("t").alias("w")).distinct()
     needles = words.select(F.explode(T.surface_variants(F.col("w"))).alias("needle")).distinct()
     docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return holding_in(gram_index(docs, "doc_id", "text"), docs, needles, "doc_id", "text", "needle").select("doc_id", "needle")
+    return holding_by_scan(docs, needles, "text", "needle").select("doc_id", "needle")
 
 
 @query(f"SELECT page_id, md5('(1)' || coalesce(chr(10) || nullif(t, ''), '') || chr(10) || chr(10) || 'x]\"[' || coalesce(chr(10) || nullif(t, ''), '')) AS text, length(t) * 2 + 9 + 2 * CAST(t <> '' AS INT) AS n FROM (SELECT page_id, {_HTML} AS t FROM pages)")
