@@ -150,3 +150,27 @@ def test_article_of_all_laws_is_found_once(spark):
     assert got[0] == got[9999] == ["art:0:3", "art:1:3"] and got[1] == ["art:1:3", "art:7:3"] and got[10_000] == ["art:7:3", "art:10000:3"]
     # a question that names no law keeps the first of all laws
     assert len(got) == 20_000 and got[2] == ["art:0:3", "art:1:3"] and time.monotonic() - began < 60
+
+
+def test_pages_of_a_batch_are_not_all_strings(spark):
+    """5,000 pages of 20,000 characters in one batch: what Python allocates while it scans them is far less than the batch."""
+
+    def most(batches):
+        import tracemalloc
+
+        import pyarrow as pa
+
+        run = web.array_scan("articles")
+        for b in batches:
+            tracemalloc.start()
+            out = run(b.column(0))
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            yield pa.RecordBatch.from_arrays([pa.array([len(out)]), pa.array([peak])], ["n", "peak"])
+
+    from textloom.shipping import ship
+
+    ship(spark)
+    pages = spark.range(0, 5000, 1, 1).select(F.concat(F.lit("var articles = ['"), F.repeat(F.lit("x"), 20_000), F.lit("'];")).alias("p"))
+    got = pages.mapInArrow(most, "n long, peak long").collect()
+    assert sum(r.n for r in got) == 5000 and max(r.peak for r in got) < 20_000_000
