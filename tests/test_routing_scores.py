@@ -4,11 +4,12 @@ import json
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import web
-from textloom.operators import articles, legs, links, registry, routing
+from textloom.operators import articles, legs, links, registry, routing, search
 from textloom.profile import GENERIC, LEGAL_AR
 
 
@@ -152,6 +153,31 @@ def test_article_of_all_laws_is_found_once(spark):
     assert len(got) == 20_000 and got[2] == ["art:0:3", "art:1:3"] and time.monotonic() - began < 60
 
 
+def test_named_law_of_many_is_found(spark):
+    """900 laws define the article and the named one is among the last; of a scope of twelve only the last law defines it."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("law of wells", "annex to law feline", "law feline", "law feline rules 5", "amendment of law feline")]), F.when(F.col("id") < 890, 1).otherwise(F.col("id") % 4 + 2).cast("int"))
+    rows = spark.range(900).select(F.concat(F.lit("art:"), F.col("id").cast("string"), F.lit(":3")).alias("chunk_id"), F.col("id").alias("law"), kind.alias("title"), F.lit("3").alias("article_label"), F.lit(0).alias("char_start"))
+    rows = rows.unionByName(spark.createDataFrame([("art:7:4", 7, "law of wells", "4", 0)], rows.schema))
+    asks = [
+        ("bare", "article 3 of law feline", "3", [1000]), ("free", "article 3 of law feline", "3", []), ("annex", "article 3, annex, law feline", "3", [1000]), ("two", "article 3 of law feline, law wells", "3", []),
+        ("else", "article 4 of law feline", "4", []), ("none", "article 4 of law feline", "4", [1000]), ("plain", "article 3", "3", []), ("last", "article 3", "3", [*range(1000, 1011), 5]), ("titles", "article 3 of law feline", "3", [*range(10), 893]),
+    ]
+    q = spark.createDataFrame(asks, "qid string, question string, article_label string, scope array<bigint>")
+    got = {}
+    for r in legs.article_index_leg(q, rows, "law", 6).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(int(r.chunk_id.split(":")[1]))
+        assert r.rank == len(got[r.qid]) - 1
+    # what prefer_titled gives where no row was cut before
+    every = rows.withColumn("pos", F.row_number().over(Window.partitionBy("article_label").orderBy("law", "char_start", "chunk_id")))
+    want = {}
+    for hard, of in ((True, ("bare", "annex", "none")), (False, ("free", "two", "else", "plain"))):
+        some = q.where(F.col("qid").isin(*of))
+        for r in search.prefer_titled(every.join(some.select("qid", "article_label"), "article_label"), some, hard=hard).where("place < 6").orderBy("place").collect():
+            want.setdefault(r.qid, []).append(r.law)
+    assert got == want | {"last": [5], "titles": [893]}
+    assert got["bare"] == got["free"] == [893, 897, 890, 894, 898] and got["annex"] == [893, 897, 890, 894, 898, 892] and got["else"] == [7] and "none" not in got and got["plain"] == [*range(6)]
+
+
 def test_pages_of_a_batch_are_not_all_strings(spark):
     """5,000 pages of 20,000 characters in one batch: what Python allocates while it scans them is far less than the batch."""
 
